@@ -25,8 +25,8 @@ MIN_DOCS = 3
 #: Keys of one shard at most on average, and probes of one task at most on average: bounds a task's memory.
 SHARD_KEYS = 20_000
 TASK_PROBES = 20_000
-#: Keys of one displacement bucket on average.
-BUCKET_KEYS = 4
+#: Keys of one displacement bucket on average: few, so that the last buckets of two keys still find free places soon.
+BUCKET_KEYS = 2.5
 #: Set in the seed of a bucket of one key: the other bits are its place.
 DIRECT = np.uint32(1 << 31)
 INDEX = "shard int, n long, seeds binary, prints binary, counts binary, holders binary"
@@ -43,7 +43,7 @@ def mixed(x: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
 
 
 def buckets_of(n: int) -> int:
-    return max(1, -(-n // BUCKET_KEYS))
+    return max(1, int(n / BUCKET_KEYS))
 
 
 def slots(keys: np.ndarray, seeds: np.ndarray, n: int) -> np.ndarray:
