@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.decontamination import contaminated
+from plumbline.llm.html_text import html_extract
+from plumbline.llm.language_id import identify_languages
 from plumbline.llm.line_dedup import line_dedup
 from plumbline.llm.packing import best_fit_pack
 from plumbline.llm.secrets import secret_scan
@@ -27,6 +30,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "hits", "agreed", "compared")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -37,6 +45,15 @@ def op4_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = identify_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return labelled.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 OP10_SQL = r"""
 with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
@@ -61,7 +78,10 @@ from marked group by doc_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secret_scan": op2_secret_scan,
+        "op3_decontamination": op3_decontamination,
         "op4_best_fit_pack": op4_best_fit_pack,
+        "op5_language_id": op5_language_id,
+        "op6_html_extract": op6_html_extract,
         "op10_line_dedup": op10_line_dedup,
     }
 
