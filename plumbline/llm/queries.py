@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.decontamination import contaminated
+from plumbline.llm.hidden_markov import hmm_scores
 from plumbline.llm.html_text import html_extract
 from plumbline.llm.language_id import identify_languages
+from plumbline.llm.licenses import license_scan
 from plumbline.llm.line_dedup import line_dedup
+from plumbline.llm.jaccard_join import jaccard_components
+from plumbline.llm.minhash import fingerprint_pairs, packed
 from plumbline.llm.packing import best_fit_pack
 from plumbline.llm.secrets import secret_scan
 
@@ -24,6 +28,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = fingerprint_pairs(table(spark, sf_dir, "documents"))
+    digest = F.sha2("edited", 256).alias("edited_sha256")
+    prints = packed(F.col("bins")).alias("fingerprint"), packed(F.col("edited_bins")).alias("edited_fingerprint")
+    return pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), digest, *prints, "near_edited", "near_next")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -54,6 +65,18 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op7_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_scores(table(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = r"""
 with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
@@ -77,11 +100,15 @@ from marked group by doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprints": op1_fingerprints,
         "op2_secret_scan": op2_secret_scan,
         "op3_decontamination": op3_decontamination,
         "op4_best_fit_pack": op4_best_fit_pack,
         "op5_language_id": op5_language_id,
         "op6_html_extract": op6_html_extract,
+        "op7_hidden_markov": op7_hidden_markov,
+        "op8_license_scan": op8_license_scan,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_line_dedup": op10_line_dedup,
     }
 
