@@ -19,6 +19,7 @@ packed each on its own. Extra columns are dropped.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -44,31 +45,44 @@ _words: dict[str, dict[bytes, bytes]] = {}
 
 
 class WordIds:
-    """Little-endian ids of the words between white space; a text's ids are those of its words, one after the other."""
+    """Little-endian ids of the words between white space; a text's ids are those of its words, one after the other.
+
+    The tokenizer lower-cases, and cuts letters from what follows them; so words are remembered in lower case, and without a
+    closing comma or full stop. Those that a worker has not seen are encoded in one thread, as each core has a worker.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = _words.setdefault(path, {})
+        self.marks = dict(zip(b",.", self.encode([",", "."]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, words: list[bytes]) -> None:
+        known, marks = self.known, self.marks
+        marked = {w: w[:-1] for w in words if w[-1] in marks and len(w) > 1 and 97 <= w[-2] <= 122}
+        plain = list(dict.fromkeys(x for x in (marked.get(w, w) for w in words) if x not in known))
+        for i in range(0, len(plain), 20_000):
+            part = plain[i : i + 20_000]
+            known.update(zip(part, self.encode([w.decode() for w in part]), strict=True))
+        known.update((w, known[x] + marks[w[-1]]) for w, x in marked.items())
+
     def texts(self, texts: list[str]) -> list[bytes]:
-        cut = [t.encode().split() for t in texts]  # bytes split at ASCII white space only
+        cut = [t.encode().lower().split() for t in texts]  # bytes: ASCII case and ASCII white space only
         known = self.known
-        new = list(dict.fromkeys(w for words in cut for w in words if w not in known))
+        new = list({w for words in cut for w in words if w not in known})
         if len(known) + len(new) > WORD_MEMORY:
             known.clear()
-            new = list(dict.fromkeys(w for words in cut for w in words))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            known.update(zip(part, self.encode([w.decode() for w in part]), strict=True))
+            new = list({w for words in cut for w in words})
+        self.learn(new)
         out = [b"".join(map(known.__getitem__, words)) for words in cut]
-        for i, text in enumerate(texts):  # a special token's own text is cut out before words are
-            if any(s in text for s in self.special):
+        for i, text in enumerate(texts):  # a special token's own text is cut out before anything else
+            if "<|" in text and any(s in text.encode().lower() for s in self.special):
                 out[i] = self.encode([text])[0]
         return out
 

@@ -45,7 +45,7 @@ def test_configuration_respects_counts():
 
 
 def test_pack_round_trip(spark):
-    texts = {0: "Hello the world's end", 1: None, 2: "", 3: "the and of " * 5000, 4: "a\x1cb \x85 c d é<|endoftext|>x ́z", 5: "Ünïcode ΣΑΣ İ", 6: "same", 7: "same"}
+    texts = {0: "Hello the world's end", 1: None, 2: "", 3: "the and of " * 5000, 4: "A\x1cb \x85 c d é<|endoftext|>x ́z", 5: "Ünïcode ΣΑΣ İ", 6: "same", 7: "same"}
     texts |= {100 + i: "word " * (i % 37 + 1) for i in range(300)}
     df = spark.createDataFrame([(k, v, "x", 1) for k, v in texts.items()] + [(6, "same", "x", 1)], "doc_id long, text string, piece string, offset int")
     rows = best_fit_pack(df, PATH).collect()
