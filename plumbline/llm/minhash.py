@@ -70,7 +70,9 @@ def densified(minima: Column) -> Column:
             return F.coalesce(probed, nearest)
 
         low = lambda x: x.bitwiseAND((1 << BITS) - 1).cast("int")
-        borrow = lambda f: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: low(F.get(m, F.when(~empty(i), i).otherwise(chosen(i, f)))))
+        # what is borrowed is hashed with the borrower, so that few shingles still give independent bits
+        bits = lambda i, f: F.when(~empty(i), low(F.get(m, i))).otherwise(low(F.xxhash64(F.get(m, chosen(i, f)), i)))
+        borrow = lambda f: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: bits(i, f))
         return let(filled, lambda f: F.when(F.size(f) > 0, borrow(f)))
 
     return let(minima, of)
