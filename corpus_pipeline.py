@@ -1,11 +1,75 @@
-"""The corpus pipeline: the stages of a training-data clean-up, each over what its predecessor kept."""
+"""The corpus pipeline: five stages of a training-data clean-up, each over all that its predecessor kept.
 
-STAGES = []
+Every stage is (spark, docs, sf_dir) -> DataFrame and returns the columns of ``documents``, but for the last, which returns
+the packing. ``run`` writes each stage's result as a table and rereads it for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm.common import written
+from plumbline.llm.decontamination import decontaminate
+from plumbline.llm.jaccard_join import NO_DOC, jaccard_components
+from plumbline.llm.language_id import UNKNOWN, identify_languages
+from plumbline.llm.line_dedup import line_dedup
+from plumbline.llm.packing import best_fit_pack
+from plumbline.llm.queries import table, tokenizer_path
+
+#: A language is rejected below this probability; with four languages, chance is 0.25.
+LEAST_SCORE = 0.35
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised: those without a letter or without a likely language go."""
+    found = identify_languages(docs)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that others repeat; n_chars follows the text."""
+    kept = line_dedup(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the document with the smallest id; texts without a word are no copies."""
+    groups = jaccard_components(docs)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_DOC)).alias("_id"))
+    stay = written(stay.groupBy("_id").agg(F.count("*").alias("_rows")), "stay")
+    kept = docs.join(stay.hint("shuffle_hash"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_DOC)) == stay["_id"]).drop("_id")
+    if stay.where("_rows > 1").isEmpty():
+        return kept.drop("_rows")
+    # rows that repeat an id are one document: the first by its text stays
+    first = kept.groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in docs.columns if c != "doc_id"]), F.coalesce("text", F.lit(""))).alias("r"))
+    return first.select("doc_id", "r.*").select(*docs.columns)
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a benchmark item."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packing of all kept documents into token sequences."""
+    return best_fit_pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("line dedup", without_repeated_lines),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", without_benchmarks),
+    ("best-fit packing", packed),
+]
+
+#: The first stage is a trained network and the last a tokenizer: no SQL expresses the rows.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
