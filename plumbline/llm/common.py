@@ -40,9 +40,8 @@ def ascii_lower(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of the lower-cased text; null and blank texts have none."""
-    parts = F.split(ascii_lower(F.coalesce(text, F.lit(""))), SPACE_RUN)
-    return F.array_remove(parts, "")
+    """The words between ASCII white space of the lower-cased text; null and blank texts have none."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE_RUN), "")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -35,6 +35,11 @@ def picked(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 
 
+def codes(text: Column) -> Column:
+    """Each word's 64-bit hash: seeds are hashed from these, and words compared by them."""
+    return F.transform(words(text), lambda w: F.xxhash64(w))
+
+
 def seeds_at(tokens: Column, at: Column, n: Column, masks: tuple[str, ...]) -> Column:
     """The seed hashes of position ``at`` (from 0), null where a mask passes the end."""
     return F.array(*[F.when(at + len(m) <= n, F.xxhash64(F.lit(k), *[F.get(tokens, at + i) for i in picked(m)])) for k, m in enumerate(masks)])
@@ -42,7 +47,7 @@ def seeds_at(tokens: Column, at: Column, n: Column, masks: tuple[str, ...]) -> C
 
 def item_seeds(benchmark: DataFrame, masks: tuple[str, ...], window: int) -> DataFrame:
     """(seed, item_id, item_at, from_seed, item_tokens): for each seed of an item the tokens of the window compared around it and where they start, counted from the seed."""
-    items = benchmark.select("item_id", words(F.col("text")).alias("t")).withColumn("n", F.size("t")).where("n > 0")
+    items = benchmark.select("item_id", codes(F.col("text")).alias("t")).withColumn("n", F.size("t")).where("n > 0")
     at = items.where(F.col("n") >= min(map(len, masks))).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
     hashed = at.select("item_id", "t", "n", "at", F.explode(seeds_at(F.col("t"), F.col("at"), F.col("n"), masks)).alias("seed")).where("seed is not null")
     first = F.greatest(F.lit(0), F.least(F.col("at"), F.col("n") - window))
@@ -58,16 +63,16 @@ def short_items(benchmark: DataFrame, masks: tuple[str, ...]) -> DataFrame:
 
 def hits(docs: DataFrame, seeds: DataFrame, masks: tuple[str, ...], window: int, least: int) -> DataFrame:
     """(doc_id, text_hash, item_id, agreed, compared) of each position that verifies."""
-    tokens = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("tokens"))
-    tokens = tokens.withColumn("n", F.size("tokens")).where(F.col("n") >= min(map(len, masks)))
-    at = tokens.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
-    probes = at.select("*", F.explode(seeds_at(F.col("tokens"), F.col("at"), F.col("n"), masks)).alias("seed"))
+    tokens = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), codes(F.col("text")).alias("tokens"))
+    # short texts have no positions; a filter on their length would split every text twice
+    last = F.size("tokens") - min(map(len, masks))
+    at = tokens.select("*", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
+    probes = at.select("*", F.explode(seeds_at(F.col("tokens"), F.col("at"), F.size("tokens"), masks)).alias("seed"))
     found = probes.join(F.broadcast(seeds), "seed")
-    start = F.col("at") + F.col("from_seed")
-    same = [F.when((start + i >= 0) & (start + i < F.col("n")) & (F.lit(i) < F.size("item_tokens")), (F.get("tokens", start + i) == F.get("item_tokens", F.lit(i))).cast("int")).otherwise(0) for i in range(window)]
-    agreed = reduce(lambda a, b: a + b, same)
-    compared = F.size("item_tokens")
-    checked = found.select("doc_id", "text_hash", "item_id", agreed.alias("agreed"), compared.alias("compared"))
+    # a generator, not a column: the check must not move into the join, whose compiled loop would grow too large for the JIT
+    at_window = lambda i: F.get("tokens", F.col("at") + F.col("from_seed") + i)
+    same = F.filter(F.sequence(F.lit(0), F.size("item_tokens") - 1), lambda i: at_window(i) == F.get("item_tokens", i))
+    checked = found.select("doc_id", "text_hash", "item_id", F.size("item_tokens").alias("compared"), F.explode(F.array(F.size(same))).alias("agreed"))
     return checked.where(F.col("agreed") * window >= F.col("compared") * least)
 
 
