@@ -12,10 +12,11 @@ tolerances T add up so that sum(T+1) > D hold one that differs in at most T shin
 segment is shared by unrelated sets. With T = 0 empty segments write nothing: a set whose other segments outnumber D is safe,
 and a safe partner suffices. The few unsafe sets write one-deletion neighbourhoods and empty segments besides.
 
-Signatures shared by more than ``HOT`` sets are dropped for every set that has more shared-able segments to spare than it has hot
-ones; again one such partner suffices. What is left of hot signatures are large groups of near copies, and sets that
-consist mostly of common passages: their sets are compared with the smallest id of the group first, and then only across the components
-that result. All candidate pairs are verified exactly on their whole texts.
+A set with s filled segments shares at least s - D of them with any partner: all but one of these are spare. So of its signatures
+that more than ``HOT`` sets share, each set leaves out as many as it can spare, the most frequent first. All sets do so in the same
+order; hence of those that two partners share, the least frequent stays with both. What is left of hot signatures are large
+groups of near copies, and sets that consist mostly of common passages: their sets are compared with the smallest id of the group first, and then only
+across the components that result, where sketches of one byte a segment rule out nearly all pairs that cannot link. All candidate pairs are verified exactly on their whole texts.
 
 Texts without a word have empty sets and link with nothing; with fewer words than a shingle has, the whole sequence is one. Rows that
 repeat a doc_id are one document, linked as any of their texts is (its set size is the largest of theirs per row). Rows
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,9 @@ HOT = 8
 #: Ids in a broadcast: 32 MB; beyond it, ids meet texts in a shuffle join.
 BROADCAST_IDS = 2_000_000
 NO_DOC = -(2**63)
+#: Sets of a hot signature whose sketches are compared in one task: more are dealt into pairs of blocks.
+BLOCK = 4_000
+MAX_SKETCH = 4_096
 #: Cost of an empty segment, in signatures written.
 EMPTY_COST = 200.0
 STEP = 1.6
@@ -57,10 +62,10 @@ def differing(a: int, b: int, share: tuple[int, int]) -> int:
 def allocation(low: int, high: int, share: tuple[int, int]) -> tuple[int, int]:
     """(segments, tolerance) of the band of sizes low..high: the cheaper of both tolerances at its middle size."""
     d, size = differing(high, high, share), (low * high) ** 0.5
-    exact = max(d + 1, high // 4 + 1)
-    unsafe = np.exp(-size / exact) if exact > 40 else min(1.0, exact * np.exp(-size / exact))
-    single = -(-(d + 1) // 2)
-    costs = {0: exact + EMPTY_COST * unsafe * (exact <= 40), 1: single + size + EMPTY_COST * single * np.exp(-size / single)}
+    exact, single = max(d + 2, 3 * high // 10 + 1), -(-(d + 1) // 2)
+    empty = np.exp(-size / exact)
+    unsafe = sum(comb(exact, k) * empty**k * (1 - empty) ** (exact - k) for k in range(exact - d, exact + 1)) if exact < 200 else 0.0
+    costs = {0: exact + EMPTY_COST * unsafe, 1: single + size + EMPTY_COST * single * np.exp(-size / single)}
     tolerance = min(costs, key=costs.get)
     return (exact, 0) if tolerance == 0 else (single, 1)
 
@@ -136,6 +141,52 @@ def sign(share: tuple[int, int]):
     return signatures
 
 
+def sketch(share: tuple[int, int]):
+    p, q = share
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, band, n, sketch): one byte for each of the band's segments, from the segment's subset of the set."""
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                rows = []
+                for i, of, s in zip(part.column("id").to_pylist(), part.column("bands").to_pylist(), shingle_sets(part.column("text"), WORDS), strict=True):
+                    token = mix(s, 12)
+                    for band in of if len(s) else ():
+                        m = min(MAX_SKETCH, bands(2 * (len(s) * q // p), share)[0][band])
+                        sums = np.zeros(m, np.uint64)
+                        np.add.at(sums, (token % np.uint64(m)).astype(np.int64), token)
+                        rows.append((i, band, len(s), (mix(sums) >> np.uint64(56)).astype(np.uint8).tobytes()))
+                columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int16(), pa.int32(), pa.binary()), strict=True)], ["id", "band", "n", "sketch"])
+
+    return made
+
+
+def nearby(share: tuple[int, int]):
+    p, q = share
+
+    def compared(key: tuple, rows: pa.Table) -> pa.Table:
+        """(a, b) of the pairs of two blocks in different components whose sketches do not rule them out.
+
+        Each segment that differs holds a shingle that only one of both sets has: more differing bytes than D, and no link.
+        """
+        i, j = key[1].as_py(), key[2].as_py()
+        ids, component, n, own = (rows[c].to_numpy() for c in ("id", "component", "n", "own"))
+        lines = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found = [np.zeros((0, 2), np.int64)]
+        for k in left:
+            fits = right[(component[right] != component[k]) & (p * np.maximum(n[right], n[k]) <= q * np.minimum(n[right], n[k]))]
+            fits = fits[ids[fits] > ids[k]] if i == j else fits
+            differ = (lines[fits] != lines[k]).sum(1)
+            fits = fits[differ <= (q - p) * (n[fits] + n[k]) // (q + p)]
+            found.append(np.stack((np.minimum(ids[fits], ids[k]), np.maximum(ids[fits], ids[k])), 1))
+        ab = np.concatenate(found)
+        return pa.table({"a": ab[:, 0], "b": ab[:, 1]})
+
+    return compared
+
+
 def compare(share: tuple[int, int]):
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(a, b) of the pairs whose sets reach the similarity; rows of one ``a`` come together, so that its set is made once."""
@@ -194,22 +245,29 @@ def shingle_links(docs: DataFrame, share: tuple[int, int] = SHARE) -> tuple[Data
     shared = keys.withColumn("cnt", F.count("*").over(Window.partitionBy("key"))).where("cnt > 1")
     shared = written(shared, "signatures")
 
-    hot = shared.where(F.col("cnt") > HOT)
-    bound = hot.groupBy("id", "band").agg(F.count("*").alias("n_hot"), F.max("spare").alias("most")).where("n_hot > most").select("id", "band")
-    hot = written(hot.select("key", "id", "band").join(bound.hint("shuffle_hash"), ["id", "band"], "left_semi").select("key", "id").distinct(), "hot")
+    # each set leaves out as many of its hottest signatures as it can spare
+    hottest = Window.partitionBy("id", "band").orderBy(F.desc("cnt"), "key")
+    hot = shared.where(F.col("cnt") > HOT).withColumn("n", F.row_number().over(hottest)).where("n > spare")
+    hot = written(hot.select("key", "id", "band").distinct(), "hot")
     hubs = hot.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("cnt")).where("cnt > 1")
     spokes = hot.join(hubs.hint("merge"), "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     pairs = written(group_pairs(shared).unionByName(spokes).distinct(), "pairs")
     edges = verified(texts, pairs, share)
 
-    # what the hubs left apart: sets of one hot signature in different components
+    # what the hubs left apart: sets of one hot signature in different components, by block pairs of their sketches
     component = connected_components(edges)
-    placed = hot.join(component.hint("shuffle_hash"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    placed = hot.join(component.hint("shuffle_hash"), "id", "left").select("key", "id", "band", F.coalesce("component", "id").alias("component"))
     placed = written(placed, "placed")
-    torn = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("hub")).where("low < high")
-    open_ = placed.join(torn.hint("shuffle_hash"), "key").where("id <> hub").select("key", "id", "component")
-    one, other = open_.select("key", F.col("id").alias("a"), F.col("component").alias("ca")), open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    across = one.join(other.hint("merge"), "key").where("a < b and ca <> cb").select("a", "b").distinct()
+    torn = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("hub"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low < high")
+    open_ = written(placed.join(torn.hint("shuffle_hash"), "key").where("id <> hub").select("key", "id", "band", "component", "blocks"), "open")
+    asked = written(open_.groupBy("id").agg(F.sort_array(F.collect_set("band")).alias("bands")), "asked")
+    few = asked.count() <= BROADCAST_IDS
+    sketches = texts.join(asked.hint("broadcast" if few else "shuffle_hash"), "id").mapInArrow(sketch(share), "id long, band short, n int, sketch binary")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "id", "band", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = dealt.join(sketches.hint("shuffle_hash"), ["id", "band"])
+    across = dealt.groupBy("key", "i", "j").applyInArrow(nearby(share), "a long, b long").distinct()
     across = written(across.join(pairs.hint("shuffle_hash"), ["a", "b"], "left_anti"), "across")
     if across.isEmpty():
         return sets, edges
