@@ -103,7 +103,7 @@ def pack_bits(values: Column) -> Column:
 
 
 def fixed(x: Column, digits: int = 4, missing: str = "—") -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", x), F.lit(missing))
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x)).otherwise(missing)
 
 
 def percent(x: Column, digits: int = 1) -> Column:

@@ -24,7 +24,7 @@ def write_report(metrics: DataFrame, path: str, date: str) -> None:
 
 def latest_report(spark: SparkSession, path: str) -> DataFrame:
     """(value, file) of the file that is last by name; an empty table where there is none."""
-    files = spark.read.option("wholetext", "true").text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     return files.agg(F.max_by("value", "file").alias("value"), F.max("file").alias("file")).where(F.col("file").isNotNull())
 
 

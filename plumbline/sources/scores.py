@@ -49,7 +49,7 @@ def parse_calibration(lines: DataFrame) -> DataFrame:
 def read_calibration(spark: SparkSession, path: str) -> DataFrame:
     """The calibration at a path; a missing one is empty."""
     try:
-        lines = spark.read.option("wholetext", "true").text(path)
+        lines = spark.read.text(path, wholetext=True)
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
