@@ -40,29 +40,38 @@ def shingle_hashes(text: Column) -> Column:
     return let(words(text), of)
 
 
+REST = 64 - BIN_BITS
+FULL = (1 << REST) - 1
+
+
+def numbers(xs) -> Column:
+    """A literal array; unlike a transformed sequence it is folded once, not made anew for each element that asks for it."""
+    return F.array(*[F.lit(x) for x in xs])
+
+
 def ends() -> Column:
     """The greatest hash of each bin: marks it as empty where no hash is smaller. Bins follow the signed order of hashes."""
-    return F.expr(f"transform(sequence(0, {BINS - 1}), b -> shiftleft(cast(b - {BINS // 2} as bigint), {64 - BIN_BITS}) + {(1 << (64 - BIN_BITS)) - 1}L)")
+    return numbers([((b - BINS // 2) << REST) + FULL for b in range(BINS)])
 
 
 def bin_minima(hashes: Column) -> Column:
     """The least value of each bin, the marks included: always BINS values, by bin."""
     ordered = F.sort_array(F.concat(hashes, ends()))
-    top = lambda x: F.shiftright(x, 64 - BIN_BITS)
+    top = lambda x: F.shiftright(x, REST)
     return let(ordered, lambda s: F.filter(s, lambda x, i: (i == 0) | (top(x) != top(F.get(s, i - 1)))))
 
 
 def probe_table() -> Column:
-    """The first probes of each bin, by a rule."""
-    return F.expr(f"transform(sequence(0, {BINS - 1}), b -> transform(sequence(1, {PROBES}), t -> cast(pmod(xxhash64(b, t), {BINS}) as int)))")
+    """The first probes of each bin, by a multiplicative rule."""
+    return F.array(*[numbers([((b * PROBES + t + 1) * 0x9E3779B97F4A7C15 % 2**64) >> REST for t in range(PROBES)]) for b in range(BINS)])
 
 
 def densified(minima: Column) -> Column:
     """The low bits of each bin's value; empty bins borrow theirs. Null where all bins are empty."""
 
     def of(m: Column) -> Column:
-        empty = lambda i: F.get(m, i) == F.get(ends(), i)
-        filled = F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: ~empty(i))
+        empty = lambda i: F.get(m, i).bitwiseAND(F.lit(FULL)) == FULL
+        filled = F.filter(numbers(range(BINS)), lambda i: ~empty(i))
 
         def chosen(i: Column, f: Column) -> Column:
             probed = F.get(F.filter(F.get(probe_table(), i), lambda j: ~empty(j)), F.lit(0))
@@ -72,7 +81,7 @@ def densified(minima: Column) -> Column:
         low = lambda x: x.bitwiseAND((1 << BITS) - 1).cast("int")
         # what is borrowed is hashed with the borrower, so that few shingles still give independent bits
         bits = lambda i, f: F.when(~empty(i), low(F.get(m, i))).otherwise(low(F.xxhash64(F.get(m, chosen(i, f)), i)))
-        borrow = lambda f: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: bits(i, f))
+        borrow = lambda f: F.transform(numbers(range(BINS)), lambda i: bits(i, f))
         return let(filled, lambda f: F.when(F.size(f) > 0, borrow(f)))
 
     return let(minima, of)
@@ -98,10 +107,10 @@ def fingerprint_bins(text: Column) -> Column:
 
 
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """``docs(doc_id, text, bins)`` with ``next_text`` and ``next_bins`` of the row that follows by doc_id (nulls first, then text); after the last, the first.
+    """``docs(doc_id, text)`` with ``bins``, ``next_text`` and ``next_bins`` of the row that follows by doc_id (nulls first, then text); after the last, the first.
 
     Ranges of doc_id between approximate quantiles are ordered each in its own task. The first row of each range is
-    copied to the end of the range before, so that no row of a range needs another.
+    copied to the end of the range before, so that no row of a range needs another. Texts are hashed behind the shuffle, which carries no bins.
     """
     bounds = sorted(set(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
     step = max(1, int(len(bounds) ** 0.5))
@@ -117,9 +126,10 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     before = Window.orderBy("_range")
     last = F.max("_range").over(before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     firsts = firsts.select("_first", F.coalesce(F.lag("_range").over(before), last).alias("_before"))
-    heads = ranged.join(F.broadcast(firsts), ranged["doc_id"].eqNullSafe(firsts["_first"])).groupBy("_before").agg(F.min(F.struct("text", "bins")).alias("_head"))
-    heads = heads.select(F.col("_before").alias("_range"), F.lit(None).cast("long").alias("doc_id"), "_head.text", "_head.bins", F.lit(1).alias("_copy"))
-    both = ranged.select("_range", F.col("doc_id").cast("long").alias("doc_id"), "text", "bins", F.lit(0).alias("_copy")).unionByName(heads)
+    heads = ranged.join(F.broadcast(firsts), ranged["doc_id"].eqNullSafe(firsts["_first"])).groupBy("_before").agg(F.min("text").alias("text"))
+    heads = heads.select(F.col("_before").alias("_range"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(1).alias("_copy"))
+    both = ranged.select("_range", F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).alias("_copy")).unionByName(heads)
+    both = both.repartition("_range").withColumn("bins", fingerprint_bins(F.col("text")))
     order = Window.partitionBy("_range").orderBy("_copy", F.asc_nulls_first("doc_id"), "text")
     led = both.select("_copy", "doc_id", "text", "bins", F.lead("text").over(order).alias("next_text"), F.lead("bins").over(order).alias("next_bins"))
     return led.where("_copy = 0").drop("_copy")
@@ -132,7 +142,6 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     Null texts are empty. Rows that repeat an id follow each other by text; a table of one row is followed by itself. Extra columns are ignored.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = own.withColumn("bins", fingerprint_bins(F.col("text")))
     led = with_next(own, 4 * shuffle_partitions(docs.sparkSession))
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
