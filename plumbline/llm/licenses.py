@@ -71,9 +71,14 @@ def template_grams(spark: SparkSession, templates: dict[str, list[str]]) -> Data
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, paragraph, words) of the lines with two words or more."""
+    """(doc_id, text_hash, paragraph, words) of all lines."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
-    return lines.select("doc_id", "text_hash", "paragraph", tokens(F.col("line")).alias("words")).where(F.size("words") > 1)
+    return lines.select("doc_id", "text_hash", "paragraph", tokens(F.col("line")).alias("words"))
+
+
+def gram_key(n: int, word) -> Column:
+    """64-bit key of an n-gram of words."""
+    return F.xxhash64(F.lit(n), *[word(k) for k in range(n)])
 
 
 def training_rows(docs: DataFrame, templates: dict[str, list[str]], max_unknown: int) -> DataFrame:
@@ -88,7 +93,7 @@ def training_rows(docs: DataFrame, templates: dict[str, list[str]], max_unknown:
     # passages that several families share name none of them
     common = whole.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("n") - 3))).select("family", F.slice("w", F.col("a") + 1, F.lit(3)).alias("words"))
     common = common.groupBy("words").agg(F.countDistinct("family").alias("k")).where("k > 1").select(F.lit(UNKNOWN).alias("family"), "words")
-    sample = paragraphs(docs).select("words").orderBy(F.xxhash64("words"), "words").limit(max_unknown)
+    sample = paragraphs(docs).select("words").where(F.size("words") > 1).orderBy(F.xxhash64("words"), "words").limit(max_unknown)
     sample = sample.select(F.lit(UNKNOWN).alias("family"), "words")
     own = [F.collect_set(F.when(F.col("family") == f, F.col("gram"))).alias(f"f{i}") for i, f in enumerate(templates)]
     held_grams = F.broadcast(template_grams(spark, templates).groupBy().agg(*own))
@@ -128,14 +133,17 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, m
     kinds = len(templates) + 1
     held = template_grams(spark, templates).groupBy("gram").agg(F.collect_list(F.struct("family", "template", "size")).alias("held"))
     table = spark.createDataFrame([(g, [float(x) for x in weights[:, i]]) for i, g in enumerate(vocabulary)], "gram string, weights array<double>").coalesce(1)
-    table = F.broadcast(table.join(held, "gram").select("gram", "weights", "held"))  # one row a template n-gram
+    parts = F.split("gram", " ")
+    key = F.when(F.size(parts) == 2, gram_key(2, lambda k: F.get(parts, F.lit(k)))).otherwise(gram_key(3, lambda k: F.get(parts, F.lit(k))))
+    table = F.broadcast(table.join(held, "gram").select(key.alias("gram"), "weights", "held"))  # one row a template n-gram
 
-    at = paragraphs(docs).select("*", F.explode(F.sequence(F.lit(0), F.size("words") - 2)).alias("at"))
+    # lines without a bigram have no position; a filter on their length would split every line twice
+    last = F.size("words") - 2
+    at = paragraphs(docs).select("*", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
     word = lambda k: F.get("words", F.col("at") + k)
-    pair = F.concat_ws(" ", word(0), word(1))
-    triple = F.when(F.col("at") + 2 < F.size("words"), F.concat_ws(" ", word(0), word(1), word(2)))
-    spread = at.select("doc_id", "text_hash", "paragraph", F.explode(F.array(pair, triple)).alias("gram")).where("gram is not null")
-    shared = spread.join(table, "gram").select("doc_id", "text_hash", "paragraph", "gram").distinct().join(table, "gram")
+    keys = F.array(gram_key(2, word), F.when(F.col("at") + 2 < F.size("words"), gram_key(3, word)))
+    spread = at.select("doc_id", "text_hash", "paragraph", F.explode(keys).alias("gram"))
+    shared = spread.join(table.select("gram"), "gram").distinct().join(table, "gram")
 
     sums = [F.sum(F.get("weights", F.lit(k))).alias(f"z{k}") for k in range(kinds)]
     scores = shared.groupBy("doc_id", "text_hash", "paragraph").agg(*sums, F.collect_list("held").alias("held"))
