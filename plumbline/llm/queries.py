@@ -98,6 +98,30 @@ from marked group by doc_id
 """
 
 
+OP9_SQL = r"""
+with recursive cut as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') as w
+  from documents),
+shingles as (
+  select doc_id, unnest(list_distinct(case
+    when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as s
+  from cut),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (
+  select a.doc_id as x, b.doc_id as y, count(*) as k from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (
+  select x, y from common join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * k >= 80 * (p.n + q.n - k)),
+both_ways as (select x, y from links union all select y, x from links),
+reached as (
+  select doc_id, doc_id as c from documents
+  union
+  select b.y, r.c from reached r join both_ways b on b.x = r.doc_id)
+select d.doc_id, coalesce(max(z.n), 0) as n_shingles, min(r.c) as component_id
+from documents d join reached r on r.doc_id = d.doc_id left join sizes z on z.doc_id = d.doc_id group by d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -114,4 +138,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL}
+    return {"op9_jaccard_join": OP9_SQL, "op10_line_dedup": OP10_SQL}
