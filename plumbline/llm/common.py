@@ -46,3 +46,12 @@ def words(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def least_hashes(hash_: Column, wanted: int, rows: int) -> Column:
+    """A bound below which the ``wanted`` smallest of at least ``rows`` 64-bit hashes lie, with all but no doubt: eight times as many are expected there.
+
+    Before an ordered limit it keeps what tasks hand on as small as the limit, however many tasks there are.
+    """
+    share = min(1.0, 8 * wanted / max(1, rows))
+    return hash_ <= int(-(2**63) + share * (2**64 - 1025)) if share < 1 else F.lit(True)

@@ -24,6 +24,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import least_hashes
+
 #: Notices by which works name their licence, by family.
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"],
@@ -93,7 +95,9 @@ def training_rows(docs: DataFrame, templates: dict[str, list[str]], max_unknown:
     # passages that several families share name none of them
     common = whole.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("n") - 3))).select("family", F.slice("w", F.col("a") + 1, F.lit(3)).alias("words"))
     common = common.groupBy("words").agg(F.countDistinct("family").alias("k")).where("k > 1").select(F.lit(UNKNOWN).alias("family"), "words")
-    sample = paragraphs(docs).select("words").where(F.size("words") > 1).orderBy(F.xxhash64("words"), "words").limit(max_unknown)
+    # the paragraphs with the smallest hashes; documents bound their number from below
+    own = F.xxhash64("words")
+    sample = paragraphs(docs).select("words").where(least_hashes(own, max_unknown, docs.count()) & (F.size("words") > 1)).orderBy(own, "words").limit(max_unknown)
     sample = sample.select(F.lit(UNKNOWN).alias("family"), "words")
     own = [F.collect_set(F.when(F.col("family") == f, F.col("gram"))).alias(f"f{i}") for i, f in enumerate(templates)]
     held_grams = F.broadcast(template_grams(spark, templates).groupBy().agg(*own))
