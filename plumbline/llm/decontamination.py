@@ -2,8 +2,8 @@
 
 A spaced seed is a fixed mask over consecutive tokens: its 1s are hashed, its 0s are ignored, so that a substituted token under
 a 0 does not hide a copy. Every position of every text is hashed under every mask and looked up among the hashes of the
-benchmark. Around each hit the ``window`` aligned tokens of text and item are compared: the text is contaminated by the item if
-at least ``least`` of them agree. Items shorter than the window are compared whole, at the same share of agreement; items shorter
+benchmark. Around each hit all aligned windows of ``window`` tokens that hold it are compared, the best counts: the text is
+contaminated by the item if at least ``least`` of its tokens agree. Items shorter than the window are compared whole, at the same share of agreement; items shorter
 than the shortest mask must occur in full.
 
 Positions are exploded, hashed, looked up and verified inside one stage beside the text, so that no text and no hash is shuffled; only verified
@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import words
 
-#: Weight 6; together they find every alignment of WINDOW tokens with up to two substitutions, and most with three.
+#: Weight 6; together they find every alignment of WINDOW tokens with up to two substitutions, and 249 of 286 with three.
 MASKS = ("111111", "1101011001", "1011000111")
 WINDOW = 13
 LEAST = 10
-#: Seeds in one broadcast: at about 200 bytes each with the tokens beside them, 100 MB.
+#: Seeds in one broadcast: at about 300 bytes each with the tokens beside them, 150 MB.
 MAX_SEEDS = 500_000
 
 
@@ -46,12 +46,14 @@ def seeds_at(tokens: Column, at: Column, n: Column, masks: tuple[str, ...]) -> C
 
 
 def item_seeds(benchmark: DataFrame, masks: tuple[str, ...], window: int) -> DataFrame:
-    """(seed, item_id, item_at, from_seed, item_tokens): for each seed of an item the tokens of the window compared around it and where they start, counted from the seed."""
+    """(seed, item_id, from_seed, compared, item_tokens): for each seed of an item the tokens of all windows that hold its first, where they start, counted from the seed, and a window's length."""
     items = benchmark.select("item_id", codes(F.col("text")).alias("t")).withColumn("n", F.size("t")).where("n > 0")
     at = items.where(F.col("n") >= min(map(len, masks))).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
     hashed = at.select("item_id", "t", "n", "at", F.explode(seeds_at(F.col("t"), F.col("at"), F.col("n"), masks)).alias("seed")).where("seed is not null")
-    first = F.greatest(F.lit(0), F.least(F.col("at"), F.col("n") - window))
-    wide = hashed.select("seed", "item_id", (first - F.col("at")).alias("from_seed"), F.slice("t", first + 1, F.lit(window)).alias("item_tokens"))
+    compared = F.least(F.lit(window), F.col("n"))
+    first = F.greatest(F.lit(0), F.col("at") - compared + 1)
+    around = F.slice("t", first + 1, F.least(F.col("n"), F.col("at") + compared) - first)
+    wide = hashed.select("seed", "item_id", (first - F.col("at")).alias("from_seed"), compared.alias("compared"), around.alias("item_tokens"))
     return wide.distinct()
 
 
@@ -69,10 +71,14 @@ def hits(docs: DataFrame, seeds: DataFrame, masks: tuple[str, ...], window: int,
     at = tokens.select("*", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
     probes = at.select("*", F.explode(seeds_at(F.col("tokens"), F.col("at"), F.size("tokens"), masks)).alias("seed"))
     found = probes.join(F.broadcast(seeds), "seed")
-    # a generator, not a column: the check must not move into the join, whose compiled loop would grow too large for the JIT
+    # generators, not columns: the check must not move into the join, whose compiled loop would grow too large for the JIT
     at_window = lambda i: F.get("tokens", F.col("at") + F.col("from_seed") + i)
     same = F.filter(F.sequence(F.lit(0), F.size("item_tokens") - 1), lambda i: at_window(i) == F.get("item_tokens", i))
-    checked = found.select("doc_id", "text_hash", "item_id", F.size("item_tokens").alias("compared"), F.explode(F.array(F.size(same))).alias("agreed"))
+    near = found.select("doc_id", "text_hash", "item_id", "compared", F.explode(F.array(same)).alias("same"))
+    near = near.where(F.size("same") * window >= F.col("compared") * least)
+    # a best window starts at a token that agrees, or ends with the tokens and holds no fewer than one that does
+    agreed = F.array_max(F.transform("same", lambda s: F.size(F.filter("same", lambda i: (i >= s) & (i < s + F.col("compared"))))))
+    checked = near.select("doc_id", "text_hash", "item_id", "compared", F.explode(F.array(agreed)).alias("agreed"))
     return checked.where(F.col("agreed") * window >= F.col("compared") * least)
 
 

@@ -55,6 +55,25 @@ def test_against_brute_force(spark):
     assert left == {i for i, _ in texts} - {i for i, _ in got}
 
 
+def test_two_substitutions_anywhere_in_a_long_item(spark):
+    import itertools
+
+    item = [f"b{i}" for i in range(40)]
+    texts = []
+    for start in (0, 14, 27):  # the head, the middle and the tail of the item
+        for gone in itertools.combinations(range(WINDOW), 2):
+            passage = ["other" if i in gone else w for i, w in enumerate(item[start : start + WINDOW])]
+            before, after = (["x"] * k for k in (len(texts) % 3, len(texts) % 5))
+            texts.append((len(texts), " ".join(before + passage + after)))
+        for gone in itertools.combinations(range(WINDOW), 4):
+            texts.append((len(texts), " ".join("other" if i in gone else w for i, w in enumerate(item[start : start + WINDOW]))))
+    docs, bench = frames(spark, texts, [(1, " ".join(item))])
+    found = contaminated(docs, bench).collect()
+    want = {i for i, t in texts if plain(t, " ".join(item))}
+    assert len(want) == 3 * 78 and {r.doc_id for r in found} == want
+    assert all((r.agreed, r.compared) == (WINDOW - 2, WINDOW) for r in found)
+
+
 def test_empty_tables(spark):
     docs, bench = frames(spark, [], [(1, "a b c d e f g h i j k l m n")])
     assert contaminated(docs, bench).count() == 0
