@@ -1,6 +1,6 @@
 """Licence scan: a trained paragraph classifier with a calibrated unknown class, confirmed by templates; DataFrame expressions only.
 
-A paragraph is a line. Its features are its word bigrams and trigrams that occur in any template. A sparse multinomial logistic
+A paragraph is a line, or a run of lines up to one without a word, so that n-grams may cross line ends. Its features are its word bigrams and trigrams that occur in any template. A sparse multinomial logistic
 regression (L1) is fitted to passages of the templates of each family and, as *unknown*, to a bounded sample of the corpus' own
 paragraphs (``MAX_UNKNOWN``, those with the smallest hashes, less those that hold a template) beside template passages cut so
 short that they name no family. On the half of these rows that the fit did not see, a temperature is chosen that makes the
@@ -10,8 +10,8 @@ The prediction is confirmed if the paragraph holds at least ``CONFIRM`` of the n
 over the n-grams that a paragraph shares with the templates: every position of every text is hashed once and looked up in a
 broadcast table, which the templates bound. Paragraphs that share none have the unknown class's probability and are not reported.
 
-Null and empty texts have no paragraph with features. A licence repeated in one text is reported for each of its lines, and once if rows repeat
-id and text. Extra columns are ignored. With no documents the result is empty.
+Null and empty texts have no paragraph with features. A licence repeated in one text is reported for each of its lines or runs, and once if rows repeat
+id and text. A run is not reported beside lines of it that name the same family, and has one family. Extra columns are ignored. With no documents the result is empty.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import least_hashes
@@ -78,6 +78,21 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "text_hash", "paragraph", tokens(F.col("line")).alias("words"))
 
 
+def lines_and_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, run, whole, paragraph, words) of all lines with a word and all runs of two or more: the first line of the run, whether it is the whole run, the first line."""
+    worded = lambda line: F.lower(line).rlike("[a-z0-9]")
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("lines"))
+    first = lambda i: worded(F.get("lines", i)) & ~F.coalesce(worded(F.get("lines", i - 1)), F.lit(False))
+    starts = lines.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), first))
+    runs = starts.select("*", F.posexplode("starts").alias("k", "run"))
+    runs = runs.withColumn("n", F.coalesce(F.get("starts", F.col("k") + 1), F.size("lines")) - F.col("run"))
+    least = F.when(F.coalesce(worded(F.get("lines", F.col("run") + 1)), F.lit(False)), -1).otherwise(0)
+    units = runs.select("*", F.explode(F.sequence(least, F.col("n") - 1)).alias("i"))
+    whole = F.col("i") < 0
+    text = F.when(whole, F.array_join(F.slice("lines", F.col("run") + 1, F.col("n")), "\n")).otherwise(F.get("lines", F.col("run") + F.col("i")))
+    return units.select("doc_id", "text_hash", "run", whole.alias("whole"), (F.col("run") + F.greatest("i", F.lit(0))).alias("paragraph"), tokens(text).alias("words"))
+
+
 def gram_key(n: int, word) -> Column:
     """64-bit key of an n-gram of words."""
     return F.xxhash64(F.lit(n), *[word(k) for k in range(n)])
@@ -130,7 +145,7 @@ def fitted(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, max_unk
 
 
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, max_unknown: int = MAX_UNKNOWN, sure: float = SURE, confirm: float = CONFIRM) -> DataFrame:
-    """One row a confirmed licence paragraph of ``docs(doc_id, text, ...)``: doc_id, paragraph (line number from 0), family, probability, template, similarity."""
+    """One row a confirmed licence paragraph of ``docs(doc_id, text, ...)``: doc_id, paragraph (number of its first line, from 0), family, probability, template, similarity."""
     spark = docs.sparkSession
     vocabulary, model, temperature = fitted(docs, templates, max_unknown)
     weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
@@ -141,26 +156,30 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, m
     key = F.when(F.size(parts) == 2, gram_key(2, lambda k: F.get(parts, F.lit(k)))).otherwise(gram_key(3, lambda k: F.get(parts, F.lit(k))))
     table = F.broadcast(table.join(held, "gram").select(key.alias("gram"), "weights", "held"))  # one row a template n-gram
 
-    # lines without a bigram have no position; a filter on their length would split every line twice
+    unit = ["doc_id", "text_hash", "run", "whole", "paragraph"]
+    # paragraphs without a bigram have no position; a filter on their length would split every one twice
     last = F.size("words") - 2
-    at = paragraphs(docs).select("*", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
+    at = lines_and_runs(docs).select("*", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
     word = lambda k: F.get("words", F.col("at") + k)
     keys = F.array(gram_key(2, word), F.when(F.col("at") + 2 < F.size("words"), gram_key(3, word)))
-    spread = at.select("doc_id", "text_hash", "paragraph", F.explode(keys).alias("gram"))
+    spread = at.select(*unit, F.explode(keys).alias("gram"))
     shared = spread.join(table.select("gram"), "gram").distinct().join(table, "gram")
 
     sums = [F.sum(F.get("weights", F.lit(k))).alias(f"z{k}") for k in range(kinds)]
-    scores = shared.groupBy("doc_id", "text_hash", "paragraph").agg(*sums, F.collect_list("held").alias("held"))
+    scores = shared.groupBy(*unit).agg(*sums, F.collect_list("held").alias("held"))
     z = F.array(*[(F.col(f"z{k}") + F.lit(float(bias[k]))) / temperature for k in range(kinds)])
-    scores = scores.select("doc_id", "text_hash", "paragraph", "held", z.alias("z"))
+    scores = scores.select(*unit, "held", z.alias("z"))
     top = F.array_max("z")
     place = F.array_position("z", top) - 1
     probability = 1 / F.aggregate(F.transform("z", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
     names = F.array(*[F.lit(f) for f in [*templates, UNKNOWN]])
-    found = scores.select("doc_id", "text_hash", "paragraph", "held", F.get(names, place.cast("int")).alias("family"), probability.alias("probability"))
+    found = scores.select(*unit, "held", F.get(names, place.cast("int")).alias("family"), probability.alias("probability"))
     found = found.where((F.col("family") != UNKNOWN) & (F.col("probability") >= sure))
     # the family's templates, by the share of their n-grams that the paragraph holds
     own = found.select("*", F.explode(F.flatten("held")).alias("h")).where("h.family = family")
-    similar = own.groupBy("doc_id", "text_hash", "paragraph", "family", "probability", F.col("h.template").alias("template")).agg((F.count("*") / F.max("h.size")).alias("similarity"))
-    best = similar.groupBy("doc_id", "text_hash", "paragraph", "family", "probability").agg(F.max(F.struct("similarity", (-F.col("template")).alias("t"))).alias("best"))
-    return best.where(F.col("best.similarity") >= confirm).select("doc_id", "paragraph", "family", "probability", (-F.col("best.t")).alias("template"), F.col("best.similarity").alias("similarity"))
+    similar = own.groupBy(*unit, "family", "probability", F.col("h.template").alias("template")).agg((F.count("*") / F.max("h.size")).alias("similarity"))
+    best = similar.groupBy(*unit, "family", "probability").agg(F.max(F.struct("similarity", (-F.col("template")).alias("t"))).alias("best"))
+    sure_ones = best.where(F.col("best.similarity") >= confirm)
+    by_line = F.max(~F.col("whole")).over(Window.partitionBy("doc_id", "text_hash", "run", "family"))
+    told = sure_ones.withColumn("by_line", by_line).where(~(F.col("whole") & F.col("by_line")))
+    return told.select("doc_id", "paragraph", "family", "probability", (-F.col("best.t")).alias("template"), F.col("best.similarity").alias("similarity"))

@@ -39,3 +39,23 @@ def test_few_documents(spark):
     one = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     assert {(r.doc_id, r.family) for r in license_scan(one).collect()} == {(1, "MIT")}
     assert license_scan(one.limit(0)).count() == 0
+
+
+def test_wrapped_notices(spark):
+    rows, want = [], set()
+    for k, family in enumerate(["MIT", "BSD", "ISC", "LGPL", "GPL-3.0"]):
+        for j, (width, lead) in enumerate([(40, ""), (72, " * "), (60, "# ")]):
+            words, lines = TEMPLATES[family][1].split(), [""]
+            for w in words:
+                lines = [*lines[:-1], f"{lines[-1]} {w}".strip()] if len(lines[-1]) + len(w) < width else [*lines, w]
+            notice = [lead + x for x in lines]
+            assert len(notice) > 1
+            text = ["kalo mira", "some words of prose", lead.rstrip(), *notice, lead.rstrip(), "and others after it"]
+            rows.append((10 * k + j, "\n".join(text)))
+            want.add((10 * k + j, 3, family))
+    # a line that names the family tells of its run; words on both sides of a blank line are no passage
+    rows += [(90, "kalo mira\n" + TEMPLATES["MIT"][0] + "\nsome prose"), (91, "\n\n".join(TEMPLATES["MIT"][1].split())), (92, None), (93, "\n\n")]
+    want.add((90, 1, "MIT"))
+    found = license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.paragraph, r.family) for r in found) == sorted(want)
+    assert all(r.similarity >= 0.9 for r in found)
