@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import written
 from plumbline.llm.decontamination import decontaminate
-from plumbline.llm.jaccard_join import NO_DOC, jaccard_components
+from plumbline.llm.jaccard_join import jaccard_components
 from plumbline.llm.language_id import UNKNOWN, identify_languages
 from plumbline.llm.line_dedup import line_dedup
 from plumbline.llm.packing import best_fit_pack
@@ -34,16 +34,23 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id; texts without a word are no copies."""
-    groups = jaccard_components(docs)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_DOC)).alias("_id"))
-    stay = written(stay.groupBy("_id").agg(F.count("*").alias("_rows")), "stay")
-    kept = docs.join(stay.hint("shuffle_hash"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_DOC)) == stay["_id"]).drop("_id")
-    if stay.where("_rows > 1").isEmpty():
-        return kept.drop("_rows")
-    # rows that repeat an id are one document: the first by its text stays
-    first = kept.groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in docs.columns if c != "doc_id"]), F.coalesce("text", F.lit(""))).alias("r"))
-    return first.select("doc_id", "r.*").select(*docs.columns)
+    """Of each component of near copies the document with the smallest id, those without an id last; texts without a word are no copies.
+
+    Rows are told apart by id and text: different texts under one id, or without one, are documents of their own.
+    """
+    own = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    rows = docs.select(own.alias("doc_id"), "text")
+    groups = jaccard_components(rows).groupBy("doc_id", "n_shingles", "component_id").agg(F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_row")
+    ids = docs.select(own.alias("_row"), "doc_id").distinct()
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_row", "n_shingles", "_rows")
+    stay = groups.join(ids.hint("shuffle_hash"), "_row").groupBy("component_id").agg(F.min(rank).alias("r"))
+    # copies of one row: with words one of them stays
+    stay = written(stay.select("r._row", ((F.col("r.n_shingles") > 0) & (F.col("r._rows") > 1)).alias("_copies")), "stay")
+    kept = docs.withColumn("_row", own).join(stay.hint("shuffle_hash"), "_row")
+    if stay.where("_copies").isEmpty():
+        return kept.select(*docs.columns)
+    first = kept.where("_copies").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("r"))
+    return kept.where("not _copies").select(*docs.columns).unionByName(first.select("r.*"))
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

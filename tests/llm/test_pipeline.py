@@ -71,3 +71,15 @@ def test_repeated_rows_and_empty_tables(spark, tmp_path):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "None"]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_unrelated_texts_under_one_id_stay(spark):
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(None, say(k)) for k in range(6)] + [(7, say(k)) for k in range(6, 12)] + [(20 + k, say(k)) for k in (0, 3, 8)]
+    rows += [(None, say(1)), (7, say(9)), (40, say(50)), (41, say(50)), (None, ""), (None, ""), (42, None)]
+    docs = spark.createDataFrame([(i, t, "xx", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert kept.columns == docs.columns
+    want = [(None, say(k)) for k in (1, 2, 4, 5)] + [(20, say(0)), (23, say(3))] + [(7, say(k)) for k in range(6, 12)]
+    want += [(40, say(50)), (None, ""), (None, ""), (42, None)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want))
