@@ -391,7 +391,9 @@ def balanced_sample(spark, sf_dir):
 @query("""select url as path, case split_part(lower(url), '/', 4) when 'en' then 1 when 'de' then 0 end as label from (select distinct split_part(url, '?', 1) || '.jpg' as url from pages where page_id % 3 <> 0)
  where split_part(lower(url), '/', 4) in ('en', 'de')""")
 def labelled_members(spark, sf_dir):
-    pages = fx.table(spark, sf_dir, "pages").where("page_id % 3 <> 0").select(F.concat(F.substring_index("url", "?", 1), F.lit(".jpg")).alias("path")).distinct()
+    # all pages are members, a third of them no media: the operator's suffix rule leaves these out
+    suffix = F.when(F.col("page_id") % 3 != 0, ".jpg").otherwise(".html")
+    pages = fx.table(spark, sf_dir, "pages").select(F.concat(F.substring_index("url", "?", 1), suffix).alias("path")).distinct()
     return sampling.labelled_members(pages.withColumn("archive", F.lit("a")), 3, {"en": 1, "de": 0}).select("path", "label")
 
 

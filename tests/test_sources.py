@@ -3,9 +3,12 @@ import json
 from pyspark.sql import functions as F
 
 from plumbline.functions.scorers import batch_scorer, variants
+from plumbline.operators import sampling
 from plumbline.operators.rollup import pool_variants
+from plumbline.queries import QUERIES
 from plumbline.sources import reports, scores
 
+SF = "/root/testdata/sf0.001"
 LINE = {"key": "a", "label": 1, "spatial": None, "frequency": 0.5, "provenance_fired": False, "faces_found": 0, "dataset": "d"}
 
 
@@ -65,3 +68,13 @@ def test_user_scorers(spark):
     scored = batch_scorer(made, lambda: lambda m: m @ [[0.0, 1.0], [0.0, 0.0]], "x", ["item_id", "variant"])
     pooled = {r.item_id: (r.score, r.n_variants) for r in pool_variants(scored).collect()}
     assert pooled[0] == (0.5, 2) and pooled[4][0] > pooled[1][0]
+
+
+def test_labelled_members_reads_all_pages(spark, monkeypatch):
+    seen, operator = [], sampling.labelled_members
+    monkeypatch.setattr(sampling, "labelled_members", lambda members, *a: seen.append(members) or operator(members, *a))
+    found = QUERIES["labelled_members"](spark, SF)
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    stems = lambda df, c: {r[0] for r in df.selectExpr(c).collect()}
+    assert stems(seen[0], "regexp_replace(path, '[.](jpg|html)$', '')") == stems(pages, "substring_index(url, '?', 1)")
+    assert 0 < found.count() < seen[0].count()
