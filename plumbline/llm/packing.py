@@ -20,16 +20,19 @@ packed each on its own. Extra columns are dropped.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import shuffle_partitions, written
+from plumbline.llm.shingles import chunks
 
 CAPACITY = 4096
 END_ID = 1
@@ -37,18 +40,25 @@ GROUPS = 128
 #: Lengths above capacity / SMALL_SHARE are large.
 SMALL_SHARE = 4
 #: Distinct words kept by a Python worker; beyond it, the memory starts anew.
-WORD_MEMORY = 400_000
+WORD_MEMORY = 800_000
+#: Bytes of text whose distinct words are looked up together.
+CHUNK_BYTES = 8 << 20
+#: ASCII marks that may close a word.
+MARKS = string.punctuation
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
 
-_words: dict[str, dict[bytes, bytes]] = {}
+_words: dict[str, dict[str, bytes]] = {}
+#: Texts that tell whether a tokenizer takes each word between white space by itself, in lower case, and closing marks by themselves.
+PROBES = ("Ab cD\tx.Y\n 12 A's\x0b\x0c\r\rZ", "one,two  three... Four!?", "\u00c9t\u00e9%%% STRASSE\u00df&& o''", "x @a.b-c_ 'll ## 1a2", " lead and trail ")
 
 
 class WordIds:
-    """Little-endian ids of the words between white space; a text's ids are those of its words, one after the other.
+    """Little-endian ids of texts from those of their distinct words between ASCII white space.
 
-    The tokenizer lower-cases, and cuts letters from what follows them; so words are remembered in lower case, and without a
-    closing comma or full stop. Those that a worker has not seen are encoded in one thread, as each core has a worker.
+    A batch is split and dictionary-encoded by Arrow, so that a worker looks up each of its distinct words once. Unseen words are encoded many at a time, in
+    one thread, as each core has a worker: a word's closing marks apart, and words of letters joined by spaces, as each ends with an end-of-word token.
+    A tokenizer for which ``PROBES`` show that words don't stand by themselves gets whole texts instead.
     """
 
     def __init__(self, path: str):
@@ -56,34 +66,69 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known = _words.setdefault(path, {})
-        self.marks = dict(zip(b",.", self.encode([",", "."]), strict=True))
+        self.wordwise = all(self.encode([t])[0] == b"".join(self.encode([x for w in t.lower().split() for x in (w.rstrip(MARKS), w[len(w.rstrip(MARKS)) :]) if x])) for t in PROBES)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[bytes]) -> None:
-        known, marks = self.known, self.marks
-        marked = {w: w[:-1] for w in words if w[-1] in marks and len(w) > 1 and 97 <= w[-2] <= 122}
-        plain = list(dict.fromkeys(x for x in (marked.get(w, w) for w in words) if x not in known))
-        for i in range(0, len(plain), 20_000):
-            part = plain[i : i + 20_000]
-            known.update(zip(part, self.encode([w.decode() for w in part]), strict=True))
-        known.update((w, known[x] + marks[w[-1]]) for w, x in marked.items())
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        cut = [t.encode().lower().split() for t in texts]  # bytes: ASCII case and ASCII white space only
+    def encode_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone."""
+        joined = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], "<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(words):  # a letter that becomes more than letters in lower case
+            return self.encode(words)
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def learn(self, words: list[str]) -> None:
+        known, letters, rest, marked = self.known, set(), set(), []
+        for w in words:
+            core = w.rstrip(MARKS)
+            if not core.isalpha():
+                rest.add(w)
+                continue
+            if core not in known:
+                letters.add(core)
+            if len(core) < len(w):
+                tail = w[len(core) :]
+                marked.append((w, core, tail))
+                if tail not in known:
+                    rest.add(tail)
+        for found, encode in ((list(letters), self.encode_letters), (list(rest), self.encode)):
+            for i in range(0, len(found), 20_000):
+                part = found[i : i + 20_000]
+                known.update(zip(part, encode(part), strict=True))
+        for w, core, tail in marked:
+            known[w] = known[core] + known[tail]
+
+    def texts(self, column: pa.Array) -> list[memoryview | bytes]:
+        """The ids of each text of a string column without nulls."""
+        if not self.wordwise:
+            return self.encode(column.to_pylist())
+        low = pc.ascii_lower(column)
+        words = pc.ascii_split_whitespace(low)
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
         known = self.known
-        new = list({w for words in cut for w in words if w not in known})
+        new = [w for w in distinct if w not in known]
         if len(known) + len(new) > WORD_MEMORY:
             known.clear()
-            new = list({w for words in cut for w in words})
+            new = distinct
         self.learn(new)
-        out = [b"".join(map(known.__getitem__, words)) for words in cut]
-        for i, text in enumerate(texts):  # a special token's own text is cut out before anything else
-            if "<|" in text and any(s in text.encode().lower() for s in self.special):
-                out[i] = self.encode([text])[0]
+        joined = pa.array(map(known.__getitem__, distinct), pa.large_binary()).take(coded.indices)
+        starts = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
+        bounds = (starts[words.offsets.to_numpy() - words.offsets[0].as_py()] if len(joined) else np.zeros(len(column) + 1, np.int64)).tolist()
+        data = memoryview(joined.buffers()[2] or b"")
+        out = [data[a:b] for a, b in zip(bounds, bounds[1:])]
+        for i in np.flatnonzero(pc.match_substring(low, "<|").to_numpy(zero_copy_only=False)).tolist():  # a special token's own text is cut out before anything else
+            if any(s in low[i].as_py() for s in self.special):
+                out[i] = self.encode([column[i].as_py()])[0]
         return out
 
 
@@ -93,14 +138,13 @@ def piece_maker(path: str, capacity: int, end_id: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
-                rows = []
-                for doc_id, raw in zip(ids, words.texts([t or "" for t in texts]), strict=True):
-                    raw += end
-                    for k, i in enumerate(range(0, len(raw), 4 * capacity)):
-                        part = raw[i : i + 4 * capacity]
-                        rows.append((doc_id, k, i // 4, len(part) // 4, zlib.crc32(part)))
+            for part in chunks(batch, "text", CHUNK_BYTES):
+                ids, rows = part.column(0).to_pylist(), []
+                for doc_id, raw in zip(ids, words.texts(pc.fill_null(part.column(1), "")), strict=True):
+                    n = len(raw) // 4 + 1
+                    for k, i in enumerate(range(0, n, capacity)):
+                        crc = zlib.crc32(raw[4 * i : 4 * (i + capacity)])
+                        rows.append((doc_id, k, i, min(capacity, n - i), zlib.crc32(end, crc) if i + capacity >= n else crc))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 

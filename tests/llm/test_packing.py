@@ -1,10 +1,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from plumbline.llm.packing import best_configuration, best_fit_pack, packed_runs
+from plumbline.llm.packing import WordIds, best_configuration, best_fit_pack, packed_runs
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -67,3 +68,20 @@ def test_pack_round_trip(spark):
 
 def test_empty_table(spark):
     assert best_fit_pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+TRICKY = ["İstanbul İ x", "ΣΑΣ Σ", "áb é é", "don't 's 'S I'LL x'd. ab.'t it's's 're.'re", "<|endoftext|> hi <|ENDOFTEXT|> a<|b", "a b c\u0085d", "12ab 3.4 ½ ²", "́x", "ﬁ Å K Ω", "日本語、テスト。", "x..'s x' ' w***.", "", " ", "\n\n", "a\x00b \x1c \x1f c", "word " * 3000]
+
+
+def test_word_ids_are_the_library_s():
+    words = WordIds(PATH)
+    assert words.wordwise
+    got = [bytes(x) for x in words.texts(pa.array(TRICKY))]
+    assert got == words.encode(TRICKY) == [bytes(x) for x in words.texts(pa.array(["skipped", *TRICKY]).slice(1))]
+
+
+def test_a_tokenizer_that_joins_words_gets_whole_texts():
+    other = public_tokenizers.path("byte_bpe_50k.json")  # keeps case and spaces
+    words = WordIds(other)
+    assert not words.wordwise
+    assert [bytes(x) for x in words.texts(pa.array(TRICKY))] == words.encode(TRICKY)
