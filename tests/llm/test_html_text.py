@@ -1,4 +1,7 @@
-from plumbline.llm.html_text import BAD, GOOD, UNDECIDED, html_extract, main_text, second_labels
+import random
+import time
+
+from plumbline.llm.html_text import BAD, GOOD, UNDECIDED, blocks, first_label, html_extract, kept_blocks, main_text, nearest
 
 STOPPY = "This is the story of a man who was in the house with all of his friends and it was for the good of them that he came to stay."
 
@@ -28,9 +31,99 @@ def test_plain_and_broken_input():
 
 
 def test_second_pass_inherits_from_the_nearest():
-    assert second_labels([GOOD, UNDECIDED, UNDECIDED, UNDECIDED, BAD]) == [GOOD, GOOD, BAD, BAD, BAD]
-    assert second_labels([UNDECIDED, GOOD]) == [GOOD, GOOD]
-    assert second_labels([UNDECIDED]) == [BAD]
+    assert nearest([GOOD, UNDECIDED, UNDECIDED, UNDECIDED, BAD], BAD) == [GOOD, GOOD, BAD, BAD, BAD]
+    assert nearest([UNDECIDED, GOOD], BAD) == [GOOD, GOOD]
+    assert nearest([UNDECIDED], BAD) == [BAD] and nearest([], BAD) == []
+
+
+def test_structure_rejects_by_whole_names_and_never_accepts():
+    for name in ("ad", "cookie-notice", "site-footer", "share_buttons", "relatedPosts", "comment-list", "comment body", "sidebar right"):
+        assert main_text(f"<p>{STOPPY}</p><div class='{name}'><p>{STOPPY}</p></div>") == STOPPY, name
+    for name in ("search-results-analysis", "badge", "header-less", "shareholder", "main has-sidebar", "article-body", "adventure"):
+        assert main_text(f"<p>{STOPPY}</p><div class='{name}'><p>{STOPPY}</p></div>") == f"{STOPPY}\n{STOPPY}", name
+    links = "".join(f"<li><a href=/{i}>Another story number {i}</a></li>" for i in range(9))
+    assert main_text(f"<article><p>{STOPPY}</p><ul>{links}</ul><p>{STOPPY}</p></article>") == f"{STOPPY}\n{STOPPY}"
+    assert main_text("<article><div class='article-header'><h1>T</h1></div><p>x</p></article>") == "T\nx"
+
+
+def test_inline_parts_end_by_depth_and_with_their_block():
+    assert main_text('<p>Body<span class="ad"><span>buy</span> now cheap</span> More') == "Body More"
+    assert main_text('<p>Body<span class="ad">buy <p>More') == "Body\nMore"
+    assert main_text("<main><p>a</p><article><p>b</p></article><p>c</p></main>") == "a\nb\nc"
+    began = time.process_time()
+    main_text("<p>" + "<span class=ad>x " * 40_000)
+    assert time.process_time() - began < 3
+
+
+def plain_kept(specs):
+    """The rules in plain loops over (words, stop words, linked characters, rejected, region)."""
+
+    def alone(text, stop, linked):
+        n = len(text)
+        if linked > 0.4 * n:
+            return "bad"
+        share = stop / len(text.split())
+        if n >= 140:
+            return "good" if share >= 0.08 else "bad" if linked > 0.1 * n else "?"
+        return "good" if n >= 60 and share >= 0.25 else "?"
+
+    first = [alone(t, s, linked) for t, s, linked, _, _ in specs]
+    out = [x[3] for x in specs]
+    if not any(f == "good" and not o for f, o in zip(first, out)):
+        return [not o and linked <= 0.4 * len(t) for (t, _, linked, _, _), o in zip(specs, out)]
+
+    def look(i, places, labels, otherwise):
+        if labels[i] != "?":
+            return labels[i]
+        at, best = places.index(i), {}
+        for k, j in enumerate(places):
+            if labels[j] != "?":
+                best.setdefault(abs(k - at), []).append(labels[j])
+        return ("bad" if "bad" in best[min(best)] else "good") if best else otherwise
+
+    labels = ["bad" if o else f for f, o in zip(first, out)]
+    once = list(labels)
+    for i, spec in enumerate(specs):
+        if spec[4] and not out[i]:
+            once[i] = look(i, [j for j, x in enumerate(specs) if x[4] == spec[4] and not out[j]], labels, "?")
+    return [look(i, list(range(len(specs))), once, "bad") == "good" for i in range(len(specs))]
+
+
+def test_passes_agree_with_plain_loops():
+    rng, first_pass = random.Random(5), {GOOD: 0, BAD: 0, UNDECIDED: 0}
+    for _ in range(600):
+        html, specs, region, regions, wrap = [], [], 0, 0, rng.random() < 0.6
+        for _ in range(rng.randint(1, 14)):
+            if wrap and not region and rng.random() < 0.4:
+                html.append("<article>")
+                regions, region = regions + 1, regions + 1
+            elif region and rng.random() < 0.2:
+                html.append("</article>")
+                region = 0
+            n = rng.choice([2, 5, 12, 40])
+            words = [rng.choice(["the", "of", "and"]) if rng.random() < p else rng.choice(["kalo", "mirate", "sostenu"]) for p in [rng.choice([0, 0.05, 0.3, 0.6])] for _ in range(n)]
+            k = rng.choice([0, 0, n // 6, n // 2, n])
+            linked = " ".join(words[:k])
+            text = (f"<a href=/x>{linked}</a> " if k else "") + " ".join(words[k:])
+            rejected = rng.random() < 0.15
+            html.append(f"<div class=ad>{text}</div>" if rejected else f"<div>{text}</div>")
+            specs.append((" ".join(words), sum(w in ("the", "of", "and") for w in words), len(linked), rejected, region))
+        found = blocks("<body>" + "".join(html))
+        assert [(b.text, b.linked, b.rejected, b.region) for b in found] == [(t, linked, out, r) for t, _, linked, out, r in specs]
+        assert kept_blocks(found) == plain_kept(specs)
+        for b in found:
+            first_pass[first_label(b)] += not b.rejected
+    assert min(first_pass.values()) > 300
+
+
+def test_densities_and_neighbours_decide_the_given_pages(spark):
+    kept, by = 0, {GOOD: 0, BAD: 0, UNDECIDED: 0}
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        found = blocks(r.html or "")
+        for b, keep in zip(found, kept_blocks(found)):
+            kept += keep
+            by[first_label(b)] += keep
+    assert by[BAD] == 0 and by[GOOD] > 0.4 * kept and by[UNDECIDED] > 0.1 * kept
 
 
 def test_frame(spark):
