@@ -10,13 +10,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def signals(spark: SparkSession, sf_dir: str, chars: int | None = None) -> DataFrame:
-    """Scored samples with labels: key, dataset, label, spatial (null for short texts), frequency. ``chars``: score on a text's start, as a robustness variant."""
+def signals(spark: SparkSession, sf_dir: str, least: str = "0") -> DataFrame:
+    """Scored samples with labels: key, dataset, label, spatial (null for short texts), frequency.
+
+    ``least``: a robustness variant, scored without the words whose md5 starts with a lower hex digit; null where no word is left.
+    """
     d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    text = F.col("text") if chars is None else F.substring("text", 1, chars)
+    text = F.col("text")
     words = F.split(F.lower(text), " ")
+    kept = words if least == "0" else F.filter(words, lambda w: F.md5(w) >= least)
     share = F.round(F.length(F.regexp_replace(text, "[^A-Za-z]", "")) / F.length(text).cast("double"), 4)
-    variety = F.round(F.size(F.array_distinct(words)) / F.size(words).cast("double"), 4)
+    variety = F.round(F.size(F.array_distinct(kept)) / F.when(F.size(kept) > 0, F.size(kept)).cast("double"), 4)
     return d.join(lab, "doc_id").select(
         F.col("doc_id").alias("key"),
         F.when(F.col("lang") == "en", "calib").otherwise("report").alias("dataset"),
@@ -40,8 +44,12 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with their own measurements and provenance facts: orders."""
+    return items_of(table(spark, sf_dir, "orders"))
+
+
+def items_of(orders: DataFrame) -> DataFrame:
     c = F.col
-    return table(spark, sf_dir, "orders").select(
+    return orders.select(
         c("o_orderkey").alias("item_id"), (c("o_custkey") * 13 % 400).cast("double").alias("blur"), (c("o_orderkey") * 11 % 256).cast("double").alias("luma"),
         F.when(c("o_orderkey") % 5 != 0, (40 + c("o_custkey") % 60).cast("int")).alias("jpeg_q"),
         (F.floor("o_totalprice") % 1000 / 1000).alias("frequency"),
@@ -84,9 +92,10 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense grids of 30 x 24 cells (days x hours of each user's events): grid_id, y, x, v."""
+    """Dense grids of 31 x 24 cells (days x hours of each user's events): grid_id, y, x, v."""
     e = table(spark, sf_dir, "events")
     day, hour = F.dayofmonth("ts") - 1, F.hour("ts")
-    sums = e.where(day < 30).groupBy(F.col("user_id").alias("grid_id"), day.alias("y"), hour.alias("x")).agg(F.round(F.sum("value"), 2).alias("v"))
-    frame = sums.select("grid_id").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(29)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(23))))
-    return frame.join(sums, ["grid_id", "y", "x"], "left").select("grid_id", "y", "x", F.coalesce("v", F.lit(0.0)).alias("v"))
+    sums = e.groupBy(F.col("user_id").alias("grid_id"), (day * 24 + hour).alias("at")).agg(F.round(F.sum("value"), 2).alias("v"))
+    held = sums.groupBy("grid_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("held"))  # at most 744 entries
+    dense = held.select("grid_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(743)), lambda at: F.coalesce(F.try_element_at("held", at), F.lit(0.0)))).alias("at", "v"))
+    return dense.select("grid_id", F.floor(F.col("at") / 24).cast("int").alias("y"), (F.col("at") % 24).alias("x"), "v")

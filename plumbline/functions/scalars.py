@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.tables import small
 from plumbline.params import BAND_SCHEMA, BANDS, PARAMS
 
 
@@ -17,6 +18,11 @@ def round4(x: Column) -> Column:
     return F.round(F.round(x, 10), 4)
 
 
+def places3(x: Column) -> Column:
+    """A number as text with three places, halves up; noise beyond the tenth place does not decide halves."""
+    return F.round(x.cast("decimal(28,10)"), 3).cast("string")
+
+
 def logit(p: Column, eps: float = PARAMS.logit_eps) -> Column:
     q = clip(p, eps, 1 - eps)
     return F.log(q / (1 - q))
@@ -75,7 +81,7 @@ def band_join(scores: DataFrame, bands: DataFrame) -> DataFrame:
     """Range join of ``scores(score, ...)`` with a user's band table, for which it must be small; scores in no band, NaN included, are dropped."""
     s = scores["score"]
     inside = ~F.isnan(s) & (s >= bands["min"]) & ((s < bands["max"]) | (bands["last"] & (s <= bands["max"])))
-    return scores.join(F.broadcast(bands), inside).select(scores["*"], bands["band"], bands["label"])
+    return scores.join(small(bands), inside).select(scores["*"], bands["band"], bands["label"])
 
 
 def quality_from_scale(scale: Column) -> Column:
@@ -99,7 +105,9 @@ def from_hex64(text: Column) -> Column:
 def pack_bits(values: Column) -> Column:
     """64 values as bits, most significant first: above the median of all but the first."""
     median = F.get(F.array_sort(F.slice(values, 2, 63)), F.lit(31))
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, v: F.shiftleft(a, 1).bitwiseOR((v > median).cast("long")))
+    # the median enters as an array, so that it is found once and not for each bit
+    bits = F.zip_with(values, F.array_repeat(median, 64), lambda v, m: (v > m).cast("long"))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, bit: F.shiftleft(a, 1).bitwiseOR(bit))
 
 
 def fixed(x: Column, digits: int = 4, missing: str = "—") -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import apply_temperature, clip
+from plumbline.functions.scalars import apply_temperature, clip, places3
+from plumbline.functions.tables import small
 from plumbline.operators.metrics import GROUP, by_score
 from plumbline.params import PARAMS, TEMPERATURES, Params
 
@@ -28,25 +29,31 @@ def fit_temperature(scores: DataFrame, group: list[str] = GROUP, grid: list[floa
 def derive_weights(aucs: DataFrame, group: list[str] | None = None) -> DataFrame:
     """``aucs(<group>, detector, auc)`` with ``weight`` and ``rationale``: lift over chance, normalised over the detectors of a group.
 
-    Detectors below chance get 0 and are not inverted; if none is above it, all get 0.
+    Detectors below chance get 0 and are not inverted; if none is above it, all get 0. ``aucs`` has one row a detector.
     """
     lift = F.greatest(F.lit(0.0), F.col("auc") - 0.5)
     total = F.sum(lift).over(Window.partitionBy(*(group or [F.lit(0)])))
     weight = F.when(total > 0, lift / total).otherwise(0.0)
-    why = F.when(total <= 0, "no detector above chance").when(lift == 0, F.format_string("AUC %.3f is not above chance", "auc")).otherwise(F.format_string("AUC %.3f, %.3f above chance", F.col("auc"), lift))
+    measured = places3(F.col("auc"))
+    why = F.when(total <= 0, "weights need a detector above chance, and there is none").when(lift == 0, F.concat(F.lit("left out: measured AUC "), measured, F.lit(", chance is 0.5"))).otherwise(F.concat(F.lit("its share of all lift over chance; measured AUC "), measured))
     return aucs.select(*(group or []), "detector", F.round("auc", 4).alias("auc"), F.round(weight, 4).alias("weight"), why.alias("rationale"))
 
 
+def ordered_weights(weights: DataFrame) -> DataFrame:
+    """Weights as reports list them: by AUC, highest first, equal ones by name."""
+    return weights.orderBy(F.desc_nulls_last("auc"), "detector")
+
+
 def calibrated(scores: DataFrame, temperatures: DataFrame) -> DataFrame:
-    """Scores at the temperature that other data gave their detector; detectors without one stay as they are."""
-    joined = scores.join(F.broadcast(temperatures.select("detector", "temperature")), "detector", "left")
+    """Scores at the temperature that other data gave their detector; detectors without one stay as they are. ``temperatures``: one row a detector, written or literal."""
+    joined = scores.join(small(temperatures.select("detector", "temperature")), "detector", "left")
     return joined.withColumn("score", F.when(F.col("temperature").isNull(), F.col("score")).otherwise(apply_temperature(F.col("score"), F.col("temperature")))).drop("temperature")
 
 
 def before_after(raw: DataFrame, after: DataFrame, keys: list[str] = GROUP) -> DataFrame:
     """Metrics of two runs side by side: each other column as ``<name>_raw`` and ``<name>_calibrated``."""
     named = lambda f, tail: f.select(*keys, *[F.col(c).alias(f"{c}_{tail}") for c in f.columns if c not in keys])
-    return named(raw, "raw").join(named(after, "calibrated"), keys)
+    return named(raw, "raw").join(named(after, "calibrated").hint("merge"), keys)
 
 
 def split_guard(calibration: str, reporting: str) -> None:
@@ -57,5 +64,5 @@ def split_guard(calibration: str, reporting: str) -> None:
 
 def overlap_guard(one: DataFrame, other: DataFrame, key: str = "key") -> DataFrame:
     """``one``, or an error at its first key that ``other`` has too."""
-    joined = one.join(other.select(key, F.lit(True).alias("_seen")).distinct(), key, "left")
+    joined = one.join(other.select(key, F.lit(True).alias("_seen")).distinct().hint("merge"), key, "left")
     return joined.where(F.when(F.col("_seen").isNull(), True).otherwise(F.raise_error(F.lit("a key is in both splits")).cast("boolean"))).drop("_seen")

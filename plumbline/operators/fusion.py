@@ -5,47 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import clip
+from plumbline.functions.scalars import clip, places3
+from plumbline.functions.tables import small
 from plumbline.params import PARAMS, Params
 
 
 def weight_join(scores: DataFrame, weights: DataFrame) -> DataFrame:
     """``weight`` of each detector, 0 for unknown ones; ``weights`` has one row a detector."""
-    return scores.join(F.broadcast(weights.select("detector", "weight")), "detector", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    return scores.join(small(weights.select("detector", "weight")), "detector", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
-def fuse(scores: DataFrame) -> DataFrame:
-    """Per item of ``scores(item_id, detector, score, weight)``; null scores are unavailable.
+def fused(scores: Column) -> Column:
+    """Struct (score, disagreement, weights_used, notes) from an item's array of structs (detector, score, weight); null scores are unavailable.
 
     Weighted mean over the available detectors and the population deviation of those with weight. Without any weight the detector with the highest
     score counts alone (the first by name among equals); without any score the item is at 0.5.
     """
-    w = F.when(F.col("score").isNotNull(), F.col("weight"))
-    s = F.when(w > 0, F.col("score"))
-    agg = scores.groupBy("item_id").agg(
-        F.sum(F.col("score") * w).alias("weighted"), F.sum(w).alias("total"), F.count("score").alias("available"), F.count(s).alias("contributing"), F.stddev_pop(s).alias("deviation"),
-        F.max("score").alias("highest"), F.min_by("detector", F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("s"), "detector"))).alias("chosen"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(w > 0, F.struct("detector", "weight"))))).alias("weights"),
-    )
-    none, unweighted = F.col("available") == 0, F.coalesce(F.col("total"), F.lit(0.0)) <= 0
-    score = F.when(none, 0.5).when(unweighted, F.col("highest")).otherwise(F.col("weighted") / F.col("total"))
-    disagreement = F.when(none | unweighted | (F.col("contributing") < 2), 0.0).otherwise(F.col("deviation"))
+    add = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, s: a + f(s))
+    available = F.filter(scores, lambda s: s["score"].isNotNull())
+    weighted = F.filter(available, lambda s: s["weight"] > 0)
+    total = add(weighted, lambda s: s["weight"])
+    none, alone = F.size(available) == 0, F.size(weighted) == 0
+    first = F.array_min(F.transform(available, lambda s: F.struct((-s["score"]).alias("score"), s["detector"].alias("detector"))))
+    mean = add(weighted, lambda s: s["score"]) / F.size(weighted)
+    spread = F.when(F.size(weighted) > 1, F.sqrt(add(weighted, lambda s: (s["score"] - mean) * (s["score"] - mean)) / F.size(weighted))).otherwise(0.0)
+    score = F.when(none, 0.5).when(alone, -first["score"]).otherwise(add(weighted, lambda s: s["score"] * s["weight"]) / total)
     empty = F.expr("cast(map() as map<string, double>)")
-    used = F.when(none, empty).when(unweighted, F.create_map("chosen", F.lit(1.0))).otherwise(F.transform_values("weights", lambda k, v: v / F.col("total")))
-    return agg.select("item_id", score.alias("score"), disagreement.alias("disagreement"), used.alias("weights_used"))
+    used = F.when(none, empty).when(alone, F.create_map(first["detector"], F.lit(1.0))).otherwise(F.map_from_entries(F.transform(weighted, lambda s: F.struct(s["detector"], s["weight"] / total))))
+    note = (
+        F.when(none, "no detector gave a score")
+        .when(alone, F.concat(F.lit("no weights are known for these detectors: the score is that of "), first["detector"]))
+        .when(F.size(weighted) > 1, F.concat(F.lit("weighted by validation AUC; the detectors lie "), places3(spread), F.lit(" apart")))
+    )
+    return F.struct(score.alias("score"), spread.alias("disagreement"), used.alias("weights_used"), F.array_compact(F.array(note)).alias("notes"))
+
+
+def fuse(scores: DataFrame) -> DataFrame:
+    """(item_id, score, disagreement, weights_used, notes) per item of ``scores(item_id, detector, score, weight)``, by the rule of ``fused``; an item has one row a detector."""
+    rows = scores.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("detector", "score", "weight"))).alias("s"))
+    return rows.select("item_id", fused(F.col("s")).alias("f")).select("item_id", "f.*")
 
 
-def override(fused: DataFrame, p: Params = PARAMS) -> DataFrame:
+def override(rows: DataFrame, p: Params = PARAMS) -> DataFrame:
     """Floors the score where ``marker`` names a generator; only without one, clamps it where ``manifest_valid`` is true.
 
-    ``override`` tells which rule changed the score, null for none. Unknown facts (null) change nothing.
+    ``override`` tells which rule changed the score, null for none. Unknown facts (null) change nothing. Where rows have ``notes``, a change adds one, with the
+    ``signer`` if they have that.
     """
     marked = F.col("marker").isNotNull() & (F.col("marker") != "")
     floor = marked & (F.col("score") < p.marker_floor)
     clamp = ~marked & F.coalesce("manifest_valid", F.lit(False)) & (F.col("score") > p.manifest_clamp)
     rule = F.when(floor, "generator_metadata").when(clamp, "c2pa_valid")
     score = clip(F.when(floor, p.marker_floor).when(clamp, p.manifest_clamp).otherwise(F.col("score")))
-    return fused.withColumns({"override": rule, "score": score})
+    changed = {"override": rule, "score": score}
+    if "notes" in rows.columns:
+        signer = F.coalesce("signer", F.lit("an unnamed signer")) if "signer" in rows.columns else F.lit("an unnamed signer")
+        raised = F.concat(F.lit("metadata names "), F.col("marker"), F.lit(f": raised to {p.marker_floor}; markers can be removed, so none proves nothing"))
+        lowered = F.concat(F.lit("valid credentials of "), signer, F.lit(f": lowered to {p.manifest_clamp}; they attest the signing, not what came before"))
+        changed["notes"] = F.array_compact(F.concat(F.coalesce("notes", F.expr("cast(array() as array<string>)")), F.array(F.when(floor, raised).when(clamp, lowered))))
+    return rows.withColumns(changed)
 
 
 def component_score(tail: Column, noise: Column, grid: Column, p: Params = PARAMS) -> Column:

@@ -62,7 +62,7 @@ def select_expired(jobs: DataFrame, now: Column, limit: int | None = PARAMS.swee
 
 def mark_deleted(jobs: DataFrame, deleted: DataFrame, now: Column) -> DataFrame:
     """Stamps the jobs whose media was deleted (id) and forgets their key; row, report and hash stay."""
-    joined = jobs.join(deleted.select("id", F.lit(True).alias("_gone")).distinct(), "id", "left")
+    joined = jobs.join(deleted.select("id", F.lit(True).alias("_gone")).distinct().hint("shuffle_hash"), "id", "left")
     gone = F.col("_gone").isNotNull()
     return joined.withColumns({"media_deleted_at": F.when(gone, now).otherwise(F.col("media_deleted_at")), "storage_key": F.when(~gone, F.col("storage_key"))}).drop("_gone")
 

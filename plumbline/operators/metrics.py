@@ -1,16 +1,19 @@
 """Detector metrics per group: ROC, AUC with bootstrap intervals, EER, TPR at fixed FPR, calibration error.
 
-All ranking metrics depend on distinct scores only, so scores are first summed to one row a (group, score, label count); the
-windows then run within a group over these rows. ``scores(<group...>, label, score)``: null scores are dropped.
+All metrics depend on distinct scores only, so scores are first summed to *cells*: one row a (group, score) with its positives and negatives. Ranking
+needs running sums over the cells of a group. No task gets a whole group: cells are dealt into ranges of the score, each ordered by itself, and the totals
+of the ranges (a few thousand rows a group at most) carry the sums on. ``scores(<group...>, label, score)``: null scores are dropped.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.scalars import logit
 from plumbline.params import PARAMS
 
 GROUP = ["dataset", "detector"]
@@ -33,12 +36,58 @@ def by_score(scores: DataFrame, group: list[str] = GROUP) -> DataFrame:
     return kept.groupBy(*group, "score").agg(F.sum("label").cast("double").alias("tp"), F.sum(1 - F.col("label")).cast("double").alias("fp"))
 
 
+def score_range(score: Column) -> Column:
+    """Number of a range of scores, rising with the score: equal steps of log odds, so that scores crowded at 0 or 1 are dealt too."""
+    return F.floor(64 * logit(score, 1e-12)).cast("int")
+
+
+def running(ranges: DataFrame, group: list[str], columns: list[str], order: Column) -> DataFrame:
+    """``ranges(group, range, <columns>)`` with ``<column>_before``: the sums over the ranges before each in ``order``."""
+    before = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranges.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in columns})
+
+
+def cells_auc(cells: DataFrame, group: list[str] = GROUP) -> DataFrame:
+    """(group, auc) from cells (group, score, tp, fp)."""
+    below = Window.partitionBy(*group, "range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = cells.withColumn("range", score_range(F.col("score"))).withColumn("below", F.coalesce(F.sum("fp").over(below), F.lit(0.0)))
+    ranges = ranked.groupBy(*group, "range").agg(F.sum(F.col("tp") * (F.col("below") + F.col("fp") / 2)).alias("inside"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+    pairs = F.sum("tp") * F.sum("fp")
+    won = F.sum(F.col("inside") + F.col("tp") * F.col("fp_before"))
+    return running(ranges, group, ["fp"], F.col("range")).groupBy(*group).agg(F.when(pairs > 0, won / pairs).alias("auc"))
+
+
 def auc(scores: DataFrame, group: list[str] = GROUP) -> DataFrame:
     """Area under the ROC curve, ties counted half; null for groups of one label."""
-    below = Window.partitionBy(*group).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_score(scores, group).withColumn("below", F.coalesce(F.sum("fp").over(below), F.lit(0.0)))
-    pairs = F.sum("tp") * F.sum("fp")
-    return ranked.groupBy(*group).agg(F.when(pairs > 0, F.sum(F.col("tp") * (F.col("below") + F.col("fp") / 2)) / pairs).alias("auc"))
+    return cells_auc(by_score(scores, group), group)
+
+
+def cells_roc(cells: DataFrame, group: list[str] = GROUP, drop_intermediate: bool = True) -> DataFrame:
+    """``roc_curve`` from cells (group, score, tp, fp)."""
+    cells = cells.withColumn("range", score_range(F.col("score")))
+    key, falling = [*group, "range"], F.desc("range")
+    whole, order = Window.partitionBy(*group), Window.partitionBy(*group).orderBy(falling)
+    head = F.max_by(F.struct("tp", "fp"), "score").alias("head")
+    ranges = running(cells.groupBy(*key).agg(F.sum("tp").alias("tps"), F.sum("fp").alias("fps"), F.count("*").alias("rows"), head), group, ["tps", "fps"], falling)
+    ranges = ranges.select(
+        *key, "tps_before", "fps_before", F.sum("tps").over(whole).alias("p"), F.sum("fps").over(whole).alias("n"), F.sum("rows").over(whole).alias("all_rows"),
+        F.lead("head").over(order).alias("next_head"), F.lag("range").over(order).isNull().alias("first"),
+    )
+    inside = Window.partitionBy(*key).orderBy(F.desc("score"))
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    points = cells.join(ranges.hint("shuffle_hash"), key)
+    points = points.select(
+        *key, "score", "p", "n", "all_rows", "tp", "fp", (F.col("tps_before") + F.sum("tp").over(so_far)).alias("tps"), (F.col("fps_before") + F.sum("fp").over(so_far)).alias("fps"),
+        F.coalesce(F.lead(F.struct("tp", "fp")).over(inside), "next_head").alias("next"), (F.col("first") & F.lag("score").over(inside).isNull()).alias("opens"),
+    )
+    if drop_intermediate:
+        bent = (F.col("next.tp") != F.col("tp")) | (F.col("next.fp") != F.col("fp"))
+        points = points.where((F.col("all_rows") <= 2) | F.col("opens") | F.col("next").isNull() | bent)
+    counts = running(points.groupBy(*key).agg(F.count("*").alias("kept")), group, ["kept"], falling).select(*key, "kept_before")
+    numbered = points.join(counts.hint("shuffle_hash"), key).withColumn("idx", (F.col("kept_before") + F.row_number().over(inside)).cast("int"))
+    kept = numbered.select(*group, "idx", (F.col("fps") / F.when(F.col("n") > 0, F.col("n"))).alias("fpr"), (F.col("tps") / F.when(F.col("p") > 0, F.col("p"))).alias("tpr"), F.col("score").alias("threshold"))
+    origin = ranges.where("first").select(*group, F.lit(0).alias("idx"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(None).cast("double").alias("threshold"))
+    return origin.unionByName(kept)
 
 
 def roc_curve(scores: DataFrame, group: list[str] = GROUP, drop_intermediate: bool = True) -> DataFrame:
@@ -46,18 +95,7 @@ def roc_curve(scores: DataFrame, group: list[str] = GROUP, drop_intermediate: bo
 
     Points on a straight line between their neighbours are dropped, unless told otherwise. Rates of an absent label are null.
     """
-    order = Window.partitionBy(*group).orderBy(F.desc("score"))
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*group)
-    points = by_score(scores, group).select(*group, "score", F.sum("tp").over(running).alias("tps"), F.sum("fp").over(running).alias("fps"), F.sum("tp").over(whole).alias("p"), F.sum("fp").over(whole).alias("n"), F.count("*").over(whole).alias("rows"))
-    if drop_intermediate:
-        bent = reduce(lambda a, b: a | b, [F.lead(c).over(order) - 2 * F.col(c) + F.lag(c).over(order) != 0 for c in ("tps", "fps")])
-        points = points.withColumn("bent", bent)
-        ends = F.lag("score").over(order).isNull() | F.lead("score").over(order).isNull()
-        points = points.withColumn("ends", ends).where((F.col("rows") <= 2) | F.col("ends") | F.col("bent"))
-    kept = points.select(*group, F.row_number().over(order).alias("idx"), (F.col("fps") / F.when(F.col("n") > 0, F.col("n"))).alias("fpr"), (F.col("tps") / F.when(F.col("p") > 0, F.col("p"))).alias("tpr"), F.col("score").alias("threshold"))
-    origin = kept.select(*group).distinct().select(*group, F.lit(0).alias("idx"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(None).cast("double").alias("threshold"))
-    return origin.unionByName(kept)
+    return cells_roc(by_score(scores, group), group, drop_intermediate)
 
 
 def equal_error_rate(roc: DataFrame, group: list[str] = GROUP) -> DataFrame:
@@ -75,23 +113,29 @@ def tpr_at_fpr(scores: DataFrame, roc: DataFrame, group: list[str] = GROUP, targ
     make it unstable.
     """
     sizes = scores.where(F.col("score").isNotNull()).groupBy(*group).agg(F.count_if(F.col("label") == 0).alias("n_negative"))
-    asked = sizes.withColumn("target_fpr", F.explode(F.array(*[F.lit(t) for t in targets])))
+    best = roc.groupBy(*group).agg(*[F.max_by(F.struct("tpr", "threshold"), F.when(F.col("fpr") <= t, F.col("idx"))).alias(f"t{i}") for i, t in enumerate(targets)])
+    asked = F.array(*[F.struct(F.lit(t).alias("target_fpr"), F.col(f"t{i}").alias("p")) for i, t in enumerate(targets)])
+    joined = sizes.join(best.hint("merge"), group, "left").select(*group, "n_negative", F.inline(asked))
     n, t = F.col("n_negative"), F.col("target_fpr")
-    asked = asked.withColumn("reason", F.when(n == 0, "no negatives").when(t < 1 / F.greatest(n, F.lit(1)), F.format_string("not measurable: %d negatives", n)))
-    points = asked.where(F.col("reason").isNull()).select(*group, "target_fpr").join(roc, group).where(F.col("fpr") <= F.col("target_fpr"))
-    best = points.groupBy(*group, "target_fpr").agg(F.max_by(F.struct("tpr", "threshold"), "idx").alias("p"))
-    done = asked.join(best, [*group, "target_fpr"], "left")
-    return done.select(*group, "target_fpr", "p.tpr", "p.threshold", F.col("reason").isNull().alias("measurable"), (F.col("reason").isNull() & (t * n < 10)).alias("unstable"), "reason")
+    reason = F.when(n == 0, "no negatives").when(t < 1 / F.greatest(n, F.lit(1)), F.format_string("not measurable: %d negatives", n))
+    found = joined.withColumn("reason", reason)
+    known = F.col("reason").isNull()
+    return found.select(*group, "target_fpr", F.when(known, F.col("p.tpr")).alias("tpr"), F.when(known, F.col("p.threshold")).alias("threshold"), known.alias("measurable"), (known & (t * n < 10)).alias("unstable"), "reason")
+
+
+def cells_bins(cells: DataFrame, group: list[str] = GROUP, bins: int = PARAMS.bins) -> DataFrame:
+    """``calibration_bins`` from cells (group, score, tp, fp)."""
+    n, at = F.col("tp") + F.col("fp"), F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int")
+    found = cells.groupBy(*group, at.alias("bin")).agg(F.sum(n).cast("long").alias("n"), (F.sum(F.col("score") * n) / F.sum(n)).alias("mean_score"), (F.sum("tp") / F.sum(n)).alias("positive_share"))
+    held = found.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("bin", F.struct("n", "mean_score", "positive_share")))).alias("held"))
+    empty = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean_score"), F.lit(0.0).alias("positive_share"))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.struct(b.alias("bin"), F.coalesce(F.try_element_at("held", b), empty).alias("x")))
+    return held.select(*group, F.inline(rows)).select(*group, "bin", "x.n", "x.mean_score", "x.positive_share")
 
 
 def calibration_bins(scores: DataFrame, group: list[str] = GROUP, bins: int = PARAMS.bins) -> DataFrame:
     """(group, bin, n, mean_score, positive_share) of equal bins, the last closed; empty bins are rows of zeros."""
-    kept = scores.where(F.col("score").isNotNull())
-    at = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int")
-    found = kept.groupBy(*group, at.alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg("label").alias("positive_share"))
-    frame = kept.select(*group).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    joined = frame.join(found, [*group, "bin"], "left")
-    return joined.select(*group, "bin", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean_score", F.lit(0.0)).alias("mean_score"), F.coalesce("positive_share", F.lit(0.0)).alias("positive_share"))
+    return cells_bins(by_score(scores, group), group, bins)
 
 
 def calibration_error(binned: DataFrame, group: list[str] = GROUP) -> DataFrame:
@@ -100,41 +144,51 @@ def calibration_error(binned: DataFrame, group: list[str] = GROUP) -> DataFrame:
     return binned.groupBy(*group).agg(gap.alias("ece"))
 
 
+def cells_summary(cells: DataFrame, group: list[str] = GROUP) -> DataFrame:
+    """``class_summary`` from cells (group, score, tp, fp)."""
+    mean = lambda c: F.coalesce(F.sum(F.col("score") * F.col(c)) / F.when(F.sum(c) > 0, F.sum(c)), F.lit(0.0))
+    return cells.groupBy(*group).agg(
+        F.sum(F.col("tp") + F.col("fp")).cast("long").alias("n"), F.sum("tp").cast("long").alias("n_positive"), F.sum("fp").cast("long").alias("n_negative"), mean("tp").alias("mean_positive"), mean("fp").alias("mean_negative")
+    )
+
+
 def class_summary(scores: DataFrame, group: list[str] = GROUP) -> DataFrame:
     """(group, n, n_positive, n_negative, mean_positive, mean_negative); means of an absent label are 0."""
-    kept = scores.where(F.col("score").isNotNull())
-    mean = lambda y: F.coalesce(F.avg(F.when(F.col("label") == y, F.col("score"))), F.lit(0.0))
-    return kept.groupBy(*group).agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("n_positive"), F.count_if(F.col("label") == 0).alias("n_negative"), mean(1).alias("mean_positive"), mean(0).alias("mean_negative"))
+    return cells_summary(by_score(scores, group), group)
 
 
 def evaluate(scores: DataFrame, group: list[str] = GROUP) -> DataFrame:
-    """One row a group: class summary, AUC, EER and ECE."""
-    parts = [class_summary(scores, group), auc(scores, group), equal_error_rate(roc_curve(scores, group), group), calibration_error(calibration_bins(scores, group), group)]
-    return reduce(lambda a, b: a.join(b, group, "left"), parts)
+    """One row a group: class summary, AUC, EER with its threshold and ECE; all from the same cells."""
+    cells = by_score(scores, group)
+    parts = [cells_summary(cells, group), cells_auc(cells, group), equal_error_rate(cells_roc(cells, group), group), calibration_error(cells_bins(cells, group), group)]
+    return reduce(lambda a, b: a.join(b.hint("merge"), group, "left"), parts)
+
 
+#: Draws that one md5 gives: eight hex digits each.
+DRAWS = 4
 
-def poisson_weight(key, replicate):
-    """A Poisson(1) draw from md5(key|replicate): the same in any engine with md5."""
-    digits = F.substring(F.md5(F.concat_ws("|", key.cast("string"), replicate.cast("string"))), 1, 8)
-    u = F.conv(digits, 16, 10).cast("bigint") / 4294967296.0
-    total, term, out = 0.0, 0.36787944117144233, F.lit(0)
+
+def poisson_draws(key: Column, block: Column) -> Column:
+    """Four Poisson(1) draws from md5(key|block): the same in any engine with md5. Digits are compared as text with the cumulative probabilities."""
+    digest = F.md5(F.concat_ws("|", key.cast("string"), block.cast("string")))
+    edges, total, term = [], 0.0, math.exp(-1)
     for k in range(8):
         total += term
-        out = out + F.when(u >= total, 1).otherwise(0)
+        edges.append(f"{math.ceil(total * 2**32):08x}")
         term /= k + 1
-    return out
+    draw = lambda i: reduce(lambda a, edge: a + (F.substring(digest, 8 * i + 1, 8) >= edge).cast("int"), edges, F.lit(0))
+    return F.array(*[draw(i) for i in range(DRAWS)])
 
 
 def bootstrap_auc(scores: DataFrame, key: str = "key", group: list[str] = GROUP, resamples: int = PARAMS.resamples) -> DataFrame:
     """(group, low, high, replicates): 2.5 and 97.5 percentiles of the AUC over Poisson resamples; replicates of one label are skipped.
 
-    Each replicate is a group of its own, so that windows run side by side. Weights are summed by score before any window.
+    Each replicate is a group of its own. Weights are summed by score before anything is ordered.
     """
     kept = scores.where(F.col("score").isNotNull()).select(*group, key, "label", "score")
-    drawn = kept.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", poisson_weight(F.col(key), F.col("replicate")))
-    cells = drawn.where("w > 0").groupBy(*group, "replicate", "score").agg(F.sum(F.col("w") * F.col("label")).cast("double").alias("tp"), F.sum(F.col("w") * (1 - F.col("label"))).cast("double").alias("fp"))
-    below = Window.partitionBy(*group, "replicate").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = cells.withColumn("below", F.coalesce(F.sum("fp").over(below), F.lit(0.0)))
-    pairs = F.sum("tp") * F.sum("fp")
-    each = ranked.groupBy(*group, "replicate").agg(F.when(pairs > 0, F.sum(F.col("tp") * (F.col("below") + F.col("fp") / 2)) / pairs).alias("auc")).where(F.col("auc").isNotNull())
+    blocks = -(-resamples // DRAWS)
+    drawn = kept.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*group, "label", "score", "block", F.posexplode(poisson_draws(F.col(key), F.col("block"))).alias("i", "w"))
+    drawn = drawn.withColumn("replicate", F.col("block") * DRAWS + F.col("i") + 1).where((F.col("w") > 0) & (F.col("replicate") <= resamples))
+    cells = drawn.groupBy(*group, "replicate", "score").agg(F.sum(F.col("w") * F.col("label")).cast("double").alias("tp"), F.sum(F.col("w") * (1 - F.col("label"))).cast("double").alias("fp"))
+    each = cells_auc(cells, [*group, "replicate"]).where(F.col("auc").isNotNull())
     return each.groupBy(*group).agg(F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.975)).alias("high"), F.count("*").alias("replicates"))

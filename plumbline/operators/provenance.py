@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.tables import SMALL
 from plumbline.params import FORBIDDEN_PHRASES, FORBIDDEN_WORDS, MANIFEST_SCHEMA
 
 
@@ -14,11 +15,16 @@ def first_marker(text: Column, markers: list[tuple[str, str]]) -> Column:
     return F.coalesce(*[F.when(F.contains(low, F.lit(m)), label) for m, label in markers])
 
 
-def marker_join(texts: DataFrame, markers: DataFrame, key: str = "id") -> DataFrame:
-    """``label`` of the first marker by ``pos`` of a user's marker table (pos, marker, label), which must be small; null for none."""
-    held = F.contains(F.lower(texts["text"]), markers["marker"])
-    joined = texts.join(F.broadcast(markers), held, "left")
-    return joined.groupBy(key).agg(F.min_by("label", "pos").alias("label"))
+def marker_join(texts: DataFrame, markers: DataFrame, most: int = SMALL) -> DataFrame:
+    """``texts`` with ``label``: the first marker by ``pos`` of a user's marker table (pos, marker, label) that ``text`` holds; null for none.
+
+    The table is a parameter of at most ``most`` rows: it becomes an expression on the text's own row, so that no text is shuffled.
+    """
+    rows = markers.orderBy("pos", "marker").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a marker table has more than {most} rows")
+    label = first_marker(F.col("text"), [(r["marker"], r["label"]) for r in rows]) if rows else F.lit(None).cast("string")
+    return texts.withColumn("label", label)
 
 
 def manifest(json: Column) -> Column:

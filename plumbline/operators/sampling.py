@@ -17,6 +17,11 @@ def labelled_members(members: DataFrame, segment: int, labels: dict[str, int], f
     return media.withColumn("label", F.try_element_at(known, F.lower(F.get(F.split("path", "/"), F.lit(segment))))).where(F.col("label").isNotNull())
 
 
+def dataset_registry(specs: DataFrame) -> DataFrame:
+    """One row a source of ``specs(dataset, hub_id, licence, commercial, sources)``: dataset, licence, commercial, path, and label or label_segment with label_names."""
+    return specs.select("dataset", "hub_id", "licence", "commercial", F.inline("sources"))
+
+
 def member_key(archive: Column, path: Column) -> Column:
     return F.concat_ws("::", archive, path)
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import types as T
 
 
+#: The defaults below are those of the scoring rules.
 @dataclass(frozen=True)
 class Params:
     """Thresholds of the scoring rules; operators take an instance, so that all of them can be overridden."""
@@ -87,6 +88,22 @@ STANDARD_QUANT = [
 #: Temperatures tried: fine below 1, coarse from there on.
 TEMPERATURES = [(5 + i) / 100 for i in range(95)] + [(100 + 5 * i) / 100 for i in range(181)]
 
+#: Report text by the pattern of an item's parts: a headline and what it means. {n} parts, {k} of them elevated, {label} of the band.
+TEXTS = {
+    "no_part": ("Nothing to analyse: no part was found", "Detectors look at parts, and this item shows none. It was not examined; that is no sign of a clean item."),
+    "single_part": ("{label}, from one part", "The item has one part, and its band is the item's: {label}."),
+    "none_elevated": ("None of {n} parts is elevated", "Each of the {n} parts was scored by itself, and none reaches the level worth a note. Methods unknown to the detectors may still have left no trace."),
+    "single_outlier": ("{k} of {n} parts is elevated", "One part stands out from {n}. With many parts one of them may do so by chance, and confidence was lowered for that."),
+    "all_elevated": ("All of {n} parts are elevated alike", "All {n} parts score high together. A common cause, such as processing of the whole item, explains that better than work on each part."),
+    "several_elevated": ("{k} of {n} parts are elevated", "{k} of {n} parts reach the level worth a note. Size, blur or light of parts may be the cause as well as changes to some of them."),
+}
+#: What to do next, by whether there is no part, no elevated part, or some.
+NEXT_STEPS = {
+    "no_part": "Try a copy in which the parts are larger and sharper.",
+    "quiet": "These scores ask for nothing. If something else raises doubt, look for the source: it tells more than a score.",
+    "raised": "Look at the elevated parts ({k}) and then for the source: who published the item, when, and in which earlier form.",
+}
+
 PENALTY = T.StructType([T.StructField("reason", T.StringType()), T.StructField("factor", T.DoubleType())])
 INTERVAL = T.StructType([T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
 BAND_SCHEMA = "band string, min double, max double, label string, last boolean"

@@ -6,25 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import band, confidence, interval, round4, shrink_to_half
-from plumbline.operators.fusion import fuse, override, weight_join
+from plumbline.operators.fusion import fuse, fused, override, weight_join
 from plumbline.operators.rollup import in_distribution, item_penalties, number_parts, rollup_parts, score_parts, top_parts
-from plumbline.params import PARAMS, Params
+from plumbline.params import BANDS, PARAMS, Params
+from plumbline.plans.conclusion import conclusion
 
+LABELS = {name: label for name, _, _, label in BANDS}
 
-def headline(pattern: Column, n: Column, k: Column, name: Column) -> Column:
-    """One line about the parts of an item; never a verdict."""
-    single = F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.substring(name, 2, 99)), F.lit(" on the single part found"))
-    some = F.format_string("%d of %d parts %s signals worth reviewing", k, n, F.when(k == 1, "shows").otherwise("show"))
-    return F.when(n == 0, "No part was found, so no analysis could run").when(n == 1, single).when(k == 0, F.format_string("No signals on any of the %d parts", n)).when(k == n, F.format_string("All %d parts show similar signals", n)).otherwise(some)
 
-
-def score_items(items: DataFrame, parts: DataFrame, weights: DataFrame, tie: tuple[str, ...] = (), p: Params = PARAMS) -> DataFrame:
+def score_items(items: DataFrame, parts: DataFrame, weights: dict[str, float], tie: tuple[str, ...] = (), detectors: dict[str, str] | None = None, p: Params = PARAMS) -> DataFrame:
     """One report row an item.
 
-    ``items``: item_id, blur, luma, jpeg_q, frequency, marker, manifest_valid; ``parts``: item_id, w, h, raw_score, spread, blur, luma, jpeg_q;
-    ``weights``: detector, weight, for the detectors spatial and frequency. All part work is keyed by item_id: one shuffle of the parts serves
-    numbering, roll-up and, with that of the items, the join.
+    ``items``: item_id, blur, luma, jpeg_q, marker, manifest_valid, and a score column for each detector; ``parts``: item_id, w, h, raw_score, spread, blur,
+    luma, jpeg_q; ``weights``: the weight of each detector, as calibration files hold them. ``detectors``: the column of each detector's score; *spatial* stands for
+    the roll-up of the parts (``part_score``), *frequency* for the column of that name, unless told otherwise. All part work is keyed by item_id: one shuffle
+    of the parts serves numbering, roll-up and, with that of the items, the join; fusion is an expression on the item's row.
     """
+    detectors = detectors or {"spatial": "part_score", "frequency": "frequency"}
     scored = score_parts(top_parts(number_parts(parts, *tie), p.max_parts), p)
     rolled = rollup_parts(scored, p).select("item_id", F.col("score").alias("part_score"), F.col("spread").alias("part_spread"), "n_parts", "n_elevated", "pattern", "top_h", "rollup_penalties")
     joined = items.join(rolled, "item_id", "left")
@@ -34,28 +32,30 @@ def score_items(items: DataFrame, parts: DataFrame, weights: DataFrame, tie: tup
     held = held.withColumn("rollup_penalties", F.coalesce("rollup_penalties", empty))
     held = held.withColumn("all_penalties", F.concat("penalties", "rollup_penalties")).withColumn("confidence", confidence(F.col("all_penalties")))
 
-    # two detectors: their fusion is an expression on the item's own row
-    weight = {r["detector"]: float(r["weight"]) for r in weights.select("detector", "weight").collect()}  # one row a detector
-    s, f = F.col("part_score"), F.col("frequency")
-    ws, wf = F.lit(weight.get("spatial", 0.0)), F.when(f.isNotNull(), weight.get("frequency", 0.0)).otherwise(0.0)
-    total = ws + wf
-    fused = F.when(total > 0, (s * ws + F.coalesce(f, F.lit(0.0)) * wf) / total).otherwise(F.greatest(s, f))
-    spread = F.when((ws > 0) & (wf > 0), F.abs(s - f) / 2).otherwise(0.0)
+    # without a part nothing was analysed: no detector counts
     has = F.col("n_parts") > 0
-    held = override(held.withColumns({"score": F.when(has, fused).otherwise(0.5), "disagreement": F.when(has, spread).otherwise(0.0)}), p)
-    score = round4(F.when(has, shrink_to_half(F.col("score"), F.col("confidence"))).otherwise(F.col("score")))
-    spread = F.when(has, F.greatest("disagreement", "part_spread")).otherwise(0.0)
-    final = held.withColumns({"score": score, "spread": spread})
+    scores = F.array(*[F.struct(F.lit(d).alias("detector"), F.when(has, F.col(c)).alias("score"), F.lit(float(weights.get(d, 0.0))).alias("weight")) for d, c in sorted(detectors.items())])
+    held = held.withColumn("_fused", fused(scores))
+    held = override(held.withColumns({c: F.col(f"_fused.{c}") for c in ("score", "disagreement", "notes")}), p)
+    final = score_and_spread(held, has)
     final = final.withColumn("uncertainty", interval(F.col("score"), F.col("spread"), F.col("confidence"))).withColumn("band", band(F.col("score")))
-    label = F.concat(F.regexp_replace("band", "_", " "), F.lit(" indication"))
+    label = F.element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), F.col("band"))
     ok = in_distribution(F.col("penalties"), F.col("rollup_penalties"), F.col("n_parts"))
-    return final.select(
+    return final.withColumn("_text", conclusion(F.col("pattern"), F.col("n_parts"), F.col("n_elevated"), label)).select(
         "item_id", "score", F.col("uncertainty.lo").alias("lo"), F.col("uncertainty.hi").alias("hi"), "band", F.round("confidence", 6).alias("confidence"), "override", "n_parts", "n_elevated", "pattern",
-        F.size("all_penalties").alias("n_penalties"), ok.alias("in_distribution"), headline(F.col("pattern"), F.col("n_parts"), F.col("n_elevated"), label).alias("headline"),
+        F.size("all_penalties").alias("n_penalties"), ok.alias("in_distribution"), "notes", "_text.headline", "_text.detail", "_text.next_steps",
     )
 
 
+def score_and_spread(held: DataFrame, has: Column) -> DataFrame:
+    """Scores shrunk by confidence, and the wider of both spreads; items without parts stay where they are."""
+    score = round4(F.when(has, shrink_to_half(F.col("score"), F.col("confidence"))).otherwise(F.col("score")))
+    return held.withColumns({"score": score, "spread": F.when(has, F.greatest("disagreement", "part_spread")).otherwise(0.0)})
+
+
 def score_items_long(items: DataFrame, scores: DataFrame, weights: DataFrame, p: Params = PARAMS) -> DataFrame:
-    """Fusion of any number of detectors: ``scores(item_id, detector, score)`` with the items' marker and manifest_valid."""
-    fused = fuse(weight_join(scores, weights))
-    return override(items.select("item_id", "marker", "manifest_valid").join(fused, "item_id", "left").withColumns({"score": F.coalesce("score", F.lit(0.5)), "disagreement": F.coalesce("disagreement", F.lit(0.0))}), p)
+    """Fusion and override of items whose scores come as rows, from any detectors: ``scores(item_id, detector, score)``, items with marker and manifest_valid; items without a score are at 0.5."""
+    made = fuse(weight_join(scores, weights))
+    joined = items.join(made.hint("merge"), "item_id", "left")
+    none = {"score": F.lit(0.5), "disagreement": F.lit(0.0), "weights_used": F.expr("cast(map() as map<string, double>)"), "notes": F.expr("array('no detector gave a score')")}
+    return override(joined.withColumns({c: F.coalesce(F.col(c), x) for c, x in none.items()}), p)

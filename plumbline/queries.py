@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from plumbline import fixtures as fx
 from plumbline.functions import scalars as sc
+from plumbline.functions.tables import scratch_path, written
 from plumbline.operators import calibrate, fingerprint, fusion, grids, jobs, metrics, provenance, rollup, sampling
-from plumbline.params import BANDS, GENERATORS, STANDARD_QUANT, TEMPERATURES
-from plumbline.plans import protocol, scoring
+from plumbline.params import FORBIDDEN_PHRASES, FORBIDDEN_WORDS, GENERATORS, NEXT_STEPS, STANDARD_QUANT, TEMPERATURES, TEXTS
+from plumbline.plans import protocol, retention, scoring
 from plumbline.sources import reports, scores
 from plumbline.streaming.jobs import final_status
 
@@ -19,11 +21,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 TIE = ("line", "part", "supp")
-WEIGHTS = [("spatial", 0.7), ("frequency", 0.3)]
+WEIGHTS = {"spatial": 0.7, "frequency": 0.3}
 NOW = "timestamp '1998-06-01'"
 
 
+def sql_list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
 def query(sql: str | None = None):
+    """Registers a query and the SQL that it must agree with."""
+
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
@@ -141,6 +149,14 @@ def pool_variants(spark, sf_dir):
 ITEMS = """items as (select o_orderkey as item_id, cast(o_custkey * 13 % 400 as double) as blur, cast(o_orderkey * 11 % 256 as double) as luma,
     case when o_orderkey % 5 <> 0 then cast(40 + o_custkey % 60 as int) end as jpeg_q, floor(o_totalprice)::bigint % 1000 / 1000.0::double as frequency,
     case when o_orderkey % 11 = 0 then 'FLUX' end as marker, case when o_orderkey % 3 <> 0 then o_orderkey % 4 = 0 end as manifest_valid from orders)"""
+#: Text of reports in SQL: the templates by kind, filled in.
+FILLED = lambda t: "replace(replace(replace('" + t.replace("'", "''") + "', '{n}', n_parts::varchar), '{k}', n_elevated::varchar), '{label}', label)"
+KIND = lambda i: "case case when n_parts = 0 then 'no_part' else pattern end " + " ".join(f"when '{k}' then {FILLED(t[i])}" for k, t in TEXTS.items()) + " end"
+SCORE_TEXT = f"""array_to_string(list_filter([case when n_parts = 0 then 'no detector gave a score' else 'weighted by validation AUC; the detectors lie ' || round(disagreement::decimal(28, 10), 3)::varchar || ' apart' end,
+    case override when 'generator_metadata' then 'metadata names ' || marker || ': raised to 0.88; markers can be removed, so none proves nothing'
+      when 'c2pa_valid' then 'valid credentials of an unnamed signer: lowered to 0.35; they attest the signing, not what came before' end], lambda x: x is not null), '; ') as notes,
+  {KIND(0)} as headline, {KIND(1)} as detail,
+  case when n_parts = 0 then {FILLED(NEXT_STEPS["no_part"])} when n_elevated = 0 then {FILLED(NEXT_STEPS["quiet"])} else {FILLED(NEXT_STEPS["raised"])} end as next_steps"""
 SCORE_ITEMS = f"""with {ROLLED}, {ITEMS}, j as (
   select i.*, r.score as s, r.spread as sp, coalesce(r.n_parts, 0) as n_parts, coalesce(r.n_elevated, 0) as n_elevated, coalesce(r.pattern, 'none_elevated') as pattern, r.top_h,
     (case when r.top_h < 64 then 0.6::double else 1 end) as g1, (case when i.blur < 60 then 0.7::double else 1 end) as g2, (case when i.luma < 40 or i.luma > 215 then 0.8::double else 1 end) as g3,
@@ -153,21 +169,19 @@ k as (select *, g1 * g2 * g3 * g4 * 0.85::double * g5 * g6 as confidence, case w
 o as (select *, case when marker is not null and fused < 0.88 then 'generator_metadata' when marker is null and coalesce(manifest_valid, false) and fused > 0.35 then 'c2pa_valid' end as override from k),
 p as (select *, case override when 'generator_metadata' then 0.88::double when 'c2pa_valid' then 0.35::double else fused end as clamped, case when n_parts > 0 then greatest(disagreement, sp) else 0 end as spread from o),
 q as (select *, round((case when n_parts > 0 then 0.5::double + (clamped - 0.5::double) * confidence else clamped end)::decimal(28, 10), 4)::double as score from p),
-b as (select *, case when score >= 0.88 then 'very_strong' when score >= 0.7 then 'strong' when score >= 0.45 then 'mixed' when score >= 0.2 then 'weak' else 'low' end as band from q)
+b as (select *, case when score >= 0.88 then 'very_strong' when score >= 0.7 then 'strong' when score >= 0.45 then 'mixed' when score >= 0.2 then 'weak' else 'low' end as band,
+   case when score >= 0.88 then 'Very strong indication' when score >= 0.7 then 'Strong indication' when score >= 0.45 then 'Mixed signals' when score >= 0.2 then 'Weak indication' else 'Low indication' end as label from q)
 select item_id, score, round((greatest(0, least(1, score - (2 * spread + 0.5 * (1 - confidence)))))::decimal(28, 10), 4)::double as lo, round((greatest(0, least(1, score + (2 * spread + 0.5 * (1 - confidence)))))::decimal(28, 10), 4)::double as hi, band,
   round(confidence, 6) as confidence, override, n_parts, n_elevated, pattern, n_item + n_roll as n_penalties, n_item <= 1 and n_roll = 0 and n_parts > 0 as in_distribution,
-  case when n_parts = 0 then 'No part was found, so no analysis could run'
-    when n_parts = 1 then upper(band[1]) || replace(band[2:], '_', ' ') || ' indication on the single part found'
-    when n_elevated = 0 then 'No signals on any of the ' || n_parts || ' parts' when n_elevated = n_parts then 'All ' || n_parts || ' parts show similar signals'
-    else n_elevated || ' of ' || n_parts || ' parts ' || (case when n_elevated = 1 then 'shows' else 'show' end) || ' signals worth reviewing' end as headline
+  {SCORE_TEXT}
 from b"""
 
 
 @query(SCORE_ITEMS)
 def score_items(spark, sf_dir):
     """The flagship: measured parts to item reports."""
-    weights = spark.createDataFrame(WEIGHTS, "detector string, weight double")
-    return scoring.score_items(fx.items(spark, sf_dir), fx.parts(spark, sf_dir), weights, TIE)
+    reports_ = scoring.score_items(fx.items(spark, sf_dir), fx.parts(spark, sf_dir), WEIGHTS, TIE)
+    return reports_.withColumn("notes", F.array_join("notes", "; "))
 
 
 @query(f"select item_id, frequency as score, case when frequency >= 0.88 then 'very_strong' when frequency >= 0.7 then 'strong' when frequency >= 0.45 then 'mixed' when frequency >= 0.2 then 'weak' else 'low' end as band from (with {ITEMS} select * from items)")
@@ -207,6 +221,34 @@ def fuse_fallback(spark, sf_dir):
     return fused.select("item_id", "score", F.get(F.map_keys("weights_used"), F.lit(0)).alias("chosen"))
 
 
+FUSED = f"""{THREE}, w as (select *, case detector when 'spatial' then 0.5 when 'other' then 0.25 else 0 end::double as weight from three),
+  f as (select item_id, count(score) as n, count(score) filter (weight > 0) as k, sum(weight) filter (score is not null) as total, sum(score * weight) as ws, stddev_pop(score) filter (weight > 0) as d, max(score) as hi,
+    arg_min(detector, (-score, detector)) filter (score is not null) as chosen from w group by 1)"""
+
+
+@query(f"""with {FUSED} select w.item_id, w.detector, round(w.weight / f.total, 9) as weight from w join f using (item_id) where w.score is not null and w.weight > 0
+  union all select item_id, chosen, 1.0 from f where n > 0 and k = 0""")
+def fuse_weights_used(spark, sf_dir):
+    weights = spark.createDataFrame([("spatial", 0.5), ("other", 0.25)], "detector string, weight double")
+    fused = fusion.fuse(fusion.weight_join(three_detectors(spark, sf_dir), weights))
+    return fused.select("item_id", F.explode("weights_used").alias("detector", "weight")).withColumn("weight", F.round("weight", 9))
+
+
+@query(f"""with {FUSED}, i as (select item_id, case when n = 0 then 0.5 when k = 0 then hi else ws / total end as s, case when n = 0 then 'no detector gave a score'
+    when k = 0 then 'no weights are known for these detectors: the score is that of ' || chosen when k > 1 then 'weighted by validation AUC; the detectors lie ' || round(d::decimal(28, 10), 3)::varchar || ' apart' end as note,
+    item_id % 11 = 0 as marked, item_id % 4 = 0 as valid from f),
+  o as (select *, case when marked and s < 0.88 then 'generator_metadata' when not marked and valid and s > 0.35 then 'c2pa_valid' end as override from i)
+  select item_id, round(case override when 'generator_metadata' then 0.88::double when 'c2pa_valid' then 0.35::double else s end, 9) as score, override,
+    array_to_string(list_filter([note, case override when 'generator_metadata' then 'metadata names FLUX: raised to 0.88; markers can be removed, so none proves nothing'
+      when 'c2pa_valid' then 'valid credentials of signer ' || (item_id % 3) || ': lowered to 0.35; they attest the signing, not what came before' end], lambda x: x is not null), '; ') as notes from o""")
+def score_items_long(spark, sf_dir):
+    key = F.col("key")
+    items = fx.signals(spark, sf_dir).select(key.alias("item_id"), F.when(key % 11 == 0, "FLUX").alias("marker"), (key % 4 == 0).alias("manifest_valid"), F.concat(F.lit("signer "), (key % 3).cast("string")).alias("signer"))
+    weights = spark.createDataFrame([("spatial", 0.5), ("other", 0.25)], "detector string, weight double")
+    scored = scoring.score_items_long(items, three_detectors(spark, sf_dir), weights)
+    return scored.select("item_id", F.round("score", 9).alias("score"), "override", F.array_join("notes", "; ").alias("notes"))
+
+
 @query(f"""with {ITEMS} select item_id, case when marker is not null and frequency < 0.88 then 'generator_metadata' when marker is null and manifest_valid and frequency > 0.35 then 'c2pa_valid' end as override,
   case when marker is not null and frequency < 0.88 then 0.88::double when marker is null and manifest_valid and frequency > 0.35 then 0.35::double else frequency end as score from items""")
 def override_rules(spark, sf_dir):
@@ -251,20 +293,20 @@ def roc_curve_full(spark, sf_dir):
     return metrics.roc_curve(long_signals(spark, sf_dir), drop_intermediate=False).withColumns({c: F.round(c, 9) for c in ("fpr", "tpr")})
 
 
-@query(f"""with {LONG}{ROC_SQL} select dataset, detector, round(arg_min((fpr + 1 - tpr) / 2, (round(abs(1 - tpr - fpr), 12), idx)), 9) as eer from roc group by 1, 2""")
+@query(f"""with {LONG}{ROC_SQL} select dataset, detector, round(arg_min((fpr + 1 - tpr) / 2, (round(abs(1 - tpr - fpr), 12), idx)), 9) as eer, arg_min_null(threshold, (round(abs(1 - tpr - fpr), 12), idx)) as eer_threshold from roc group by 1, 2""")
 def equal_error_rate(spark, sf_dir):
     eer = metrics.equal_error_rate(metrics.roc_curve(long_signals(spark, sf_dir)))
-    return eer.select("dataset", "detector", F.round("eer", 9).alias("eer"))
+    return eer.withColumn("eer", F.round("eer", 9))
 
 
 @query(f"""with {LONG}{ROC_SQL}, sizes as (select dataset, detector, count(*) filter (label = 0) as nn from long group by 1, 2),
  asked as (select *, case when nn = 0 then 'no negatives' when t < 1 / greatest(nn, 1)::double then 'not measurable: ' || nn || ' negatives' end as reason from sizes, (values (0.01::double), (0.1::double), (0.001::double)) v(t)),
- best as (select dataset, detector, t, arg_max(tpr, idx) as tpr from asked join roc using (dataset, detector) where reason is null and fpr <= t group by 1, 2, 3)
- select dataset, detector, t as target_fpr, round(tpr, 9) as tpr, reason is null as measurable, reason is null and t * nn < 10 as unstable, reason from asked left join best using (dataset, detector, t)""")
+ best as (select dataset, detector, t, arg_max(tpr, idx) as tpr, arg_max_null(threshold, idx) as threshold from asked join roc using (dataset, detector) where reason is null and fpr <= t group by 1, 2, 3)
+ select dataset, detector, t as target_fpr, round(tpr, 9) as tpr, threshold, reason is null as measurable, reason is null and t * nn < 10 as unstable, reason from asked left join best using (dataset, detector, t)""")
 def tpr_at_fpr(spark, sf_dir):
     rows = long_signals(spark, sf_dir)
     found = metrics.tpr_at_fpr(rows, metrics.roc_curve(rows), targets=(0.01, 0.1, 0.001))
-    return found.drop("threshold").withColumn("tpr", F.round("tpr", 9))
+    return found.withColumn("tpr", F.round("tpr", 9))
 
 
 BINS_SQL = """, binned as (select dataset, detector, least(floor(score * 10), 9)::int as bin, count(*) as n, avg(score) as m, avg(label) as f from long group by 1, 2, 3),
@@ -278,27 +320,30 @@ def calibration_bins(spark, sf_dir):
 
 
 EVALUATE = f"""with {LONG}{AUC_SQL}{ROC_SQL}{BINS_SQL},
- eers as (select dataset, detector, arg_min((fpr + 1 - tpr) / 2, (round(abs(1 - tpr - fpr), 12), idx)) as eer from roc group by 1, 2),
+ eers as (select dataset, detector, arg_min((fpr + 1 - tpr) / 2, (round(abs(1 - tpr - fpr), 12), idx)) as eer, arg_min_null(threshold, (round(abs(1 - tpr - fpr), 12), idx)) as eer_threshold from roc group by 1, 2),
  eces as (select dataset, detector, sum(n * abs(mean_score - positive_share)) / sum(n) as ece from bins group by 1, 2),
  sums as (select dataset, detector, count(*) as n, count(*) filter (label = 1) as n_positive, count(*) filter (label = 0) as n_negative, avg(score) filter (label = 1) as mean_positive, avg(score) filter (label = 0) as mean_negative from long group by 1, 2)
- select dataset, detector, n, n_positive, n_negative, round(mean_positive, 9) as mean_positive, round(mean_negative, 9) as mean_negative, round(auc, 9) as auc, round(eer, 9) as eer, round(ece, 9) as ece
+ select dataset, detector, n, n_positive, n_negative, round(mean_positive, 9) as mean_positive, round(mean_negative, 9) as mean_negative, round(auc, 9) as auc, round(eer, 9) as eer, eer_threshold, round(ece, 9) as ece
  from sums join aucs using (dataset, detector) join eers using (dataset, detector) join eces using (dataset, detector)"""
 
 
 @query(EVALUATE)
 def evaluate(spark, sf_dir):
-    found = metrics.evaluate(long_signals(spark, sf_dir)).drop("eer_threshold")
+    found = metrics.evaluate(long_signals(spark, sf_dir))
     return found.withColumns({c: F.round(c, 9) for c in ("mean_positive", "mean_negative", "auc", "eer", "ece")})
 
 
-@query(f"""with {LONG}, d as (select *, ('0x' || substr(md5(key || '|' || r), 1, 8))::bigint / 4294967296.0::double as u from long, range(1, 101) t(r)),
+BOOT_SQL = """, d as (select *, b * 4 + i + 1 as r, ('0x' || substr(md5(key || '|' || b), 8 * i::int + 1, 8))::bigint / 4294967296.0::double as u from long, range(125) t(b), range(4) k(i)),
  w as (select *, (u >= 0.36787944117144233)::int + (u >= 0.7357588823428847)::int + (u >= 0.9196986029286058)::int + (u >= 0.9810118431238462)::int + (u >= 0.9963401531726563)::int + (u >= 0.9994058151824183)::int + (u >= 0.9999167588507119)::int + (u >= 0.9999897508033253)::int as k from d),
  c as (select dataset, detector, r, score, sum(k * label)::double as tp, sum(k * (1 - label))::double as fp from w where k > 0 group by 1, 2, 3, 4),
  b as (select *, coalesce(sum(fp) over (partition by dataset, detector, r order by score rows between unbounded preceding and 1 preceding), 0) as below from c),
- a as (select dataset, detector, r, case when sum(tp) * sum(fp) > 0 then sum(tp * (below + fp / 2)) / (sum(tp) * sum(fp)) end as auc from b group by 1, 2, 3)
- select dataset, detector, round(quantile_cont(auc, 0.025), 9) as low, round(quantile_cont(auc, 0.975), 9) as high, count(*) as replicates from a where auc is not null group by 1, 2""")
+ a as (select dataset, detector, r, case when sum(tp) * sum(fp) > 0 then sum(tp * (below + fp / 2)) / (sum(tp) * sum(fp)) end as auc from b group by 1, 2, 3),
+ boot as (select dataset, detector, quantile_cont(auc, 0.025) as low, quantile_cont(auc, 0.975) as high, count(*) as replicates from a where auc is not null group by 1, 2)"""
+
+
+@query(f"with {LONG}{BOOT_SQL} select dataset, detector, round(low, 9) as low, round(high, 9) as high, replicates from boot")
 def bootstrap_auc(spark, sf_dir):
-    found = metrics.bootstrap_auc(long_signals(spark, sf_dir), resamples=100)
+    found = metrics.bootstrap_auc(long_signals(spark, sf_dir))
     return found.withColumns({c: F.round(c, 9) for c in ("low", "high")})
 
 
@@ -321,10 +366,14 @@ def fit_temperature(spark, sf_dir):
     return calibrate.fit_temperature(long_signals(spark, sf_dir)).withColumn("nll", F.round("nll", 8))
 
 
-@query(f"""with {LONG}{AUC_SQL}, l as (select dataset, detector, auc, greatest(0, auc - 0.5) as lift, sum(greatest(0, auc - 0.5)) over (partition by dataset) as total from aucs)
- select dataset, detector, round(auc, 4) as auc, round(case when total > 0 then lift / total else 0 end, 4) as weight from l""")
+LIFT_SQL = """, l as (select dataset, detector, auc, greatest(0, auc - 0.5) as lift, sum(greatest(0, auc - 0.5)) over (partition by dataset) as total from aucs),
+ weights as (select dataset, detector, round(auc, 4) as auc, round(case when total > 0 then lift / total else 0 end, 4) as weight, case when total <= 0 then 'weights need a detector above chance, and there is none'
+   when lift = 0 then 'left out: measured AUC ' || round(auc::decimal(28, 10), 3)::varchar || ', chance is 0.5' else 'its share of all lift over chance; measured AUC ' || round(auc::decimal(28, 10), 3)::varchar end as rationale from l)"""
+
+
+@query(f"with {LONG}{AUC_SQL}{LIFT_SQL} select dataset, detector, auc, weight, rationale from weights order by auc desc, detector")
 def derive_weights(spark, sf_dir):
-    return calibrate.derive_weights(metrics.auc(long_signals(spark, sf_dir)), ["dataset"]).drop("rationale")
+    return calibrate.ordered_weights(calibrate.derive_weights(metrics.auc(long_signals(spark, sf_dir)), ["dataset"]))
 
 
 @query(f"""with {LONG}{LOSS}, moved as (select l.key, l.dataset, l.detector, l.label, 1 / (1 + exp(-(ln(greatest(0.000001, least(0.999999, l.score)) / (1 - greatest(0.000001, least(0.999999, l.score)))) / f.temperature))) as score
@@ -332,45 +381,95 @@ def derive_weights(spark, sf_dir):
  select detector, count(*) as n, round(avg(score), 8) as mean_score from moved group by 1""")
 def apply_cross_dataset(spark, sf_dir):
     rows = long_signals(spark, sf_dir)
-    temperatures = calibrate.fit_temperature(rows.where("dataset = 'calib'"))
+    temperatures = written(calibrate.fit_temperature(rows.where("dataset = 'calib'")), "temperatures")
     moved = calibrate.calibrated(rows.where("dataset = 'report'"), temperatures)
     return moved.groupBy("detector").agg(F.count("*").alias("n"), F.round(F.avg("score"), 8).alias("mean_score"))
 
 
-@query(f"""with {LONG}{LOSS}, moved as (select l.key, l.dataset, l.detector, l.label, 1 / (1 + exp(-(ln(greatest(0.000001, least(0.999999, l.score)) / (1 - greatest(0.000001, least(0.999999, l.score)))) / f.temperature))) as score
-   from long l join fitted f on l.detector = f.detector and f.dataset = 'calib' where l.dataset = 'report'),
- both_ as (select detector, label, score, 'raw' as v from long where dataset = 'report' union all select detector, label, score, 'calibrated' from moved),
- b as (select v, detector, least(floor(score * 10), 9)::int as bin, count(*) as n, abs(avg(score) - avg(label)) as gap from both_ group by 1, 2, 3),
- e as (select v, detector, sum(n * gap) / sum(n) as ece from b group by 1, 2)
- select detector, round(max(ece) filter (v = 'raw'), 8) as ece_raw, round(max(ece) filter (v = 'calibrated'), 8) as ece_calibrated from e group by 1""")
-def cross_dataset_protocol(spark, sf_dir):
-    cross = protocol.cross_dataset(fx.signals(spark, sf_dir), ["spatial", "frequency"], "calib", "report")["cross"]
-    return cross.select("detector", F.round("ece_raw", 8).alias("ece_raw"), F.round("ece_calibrated", 8).alias("ece_calibrated"))
+EVAL_SQL = f"""{AUC_SQL}{ROC_SQL}{BINS_SQL},
+ eers as (select dataset, detector, arg_min((fpr + 1 - tpr) / 2, (round(abs(1 - tpr - fpr), 12), idx)) as eer, arg_min_null(threshold, (round(abs(1 - tpr - fpr), 12), idx)) as eer_threshold from roc group by 1, 2),
+ eces as (select dataset, detector, sum(n * abs(mean_score - positive_share)) / sum(n) as ece from bins group by 1, 2),
+ sums as (select dataset, detector, count(*) as n, count(*) filter (label = 1) as n_positive, count(*) filter (label = 0) as n_negative, avg(score) filter (label = 1) as mean_positive, avg(score) filter (label = 0) as mean_negative from long group by 1, 2),
+ evaluated as (select * from sums join aucs using (dataset, detector) join eers using (dataset, detector) join eces using (dataset, detector))"""
+
+
+def over(sql: str, rows: str, tag: str) -> str:
+    """Metric SQL over other rows than ``long``: its tables get names of their own."""
+    names = re.findall(r"(?:, |,\n *)(\w+) as \(select", sql)
+    sql = re.sub(rf"\b({'|'.join(names)})\b(?!\()", rf"\1_{tag}", sql)
+    return re.sub(r"\blong\b", rows, sql)
+
 
+VARIANTS = (("90", "0"), ("60", "4"), ("30", "a"))
+KEPT_WORDS = lambda least: f"list_filter(string_split(lower(d.text), ' '), lambda x: md5(x) >= '{least}')"
+SWEEP_SQL = "sweep as (" + " union all ".join(f"""select '{v}' as variant, d.doc_id as key, case when d.lang = 'en' then 'calib' else 'report' end as dataset, l.quality as label,
+  case when d.n_chars < 60 then null else round(length(regexp_replace(d.text, '[^A-Za-z]', '', 'g')) / cast(length(d.text) as double), 4) end as spatial,
+  round(len(list_distinct({KEPT_WORDS(least)})) / cast(nullif(len({KEPT_WORDS(least)}), 0) as double), 4) as frequency from documents d join labels l on d.doc_id = l.doc_id""" for v, least in VARIANTS) + ")"
 
-VARIANT_SQL = "union all ".join(f"""select '{n}' as variant, d.doc_id as key, l.quality as label, round(len(list_distinct(string_split(lower({t}), ' '))) / cast(len(string_split(lower({t}), ' ')) as double), 4) as score
-  from documents d join labels l on d.doc_id = l.doc_id """ for n, t in (("90", "d.text"), ("60", "left(d.text, 400)"), ("30", "left(d.text, 100)")))
 
+def sweep_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.union_sources(*[fx.signals(spark, sf_dir, least).withColumn("variant", F.lit(v)) for v, least in VARIANTS])
 
-@query(f"""with long as ({VARIANT_SQL}), ranked as (select variant, label, avg(rn) over (partition by variant, score) as mid from (select *, row_number() over (partition by variant order by score) as rn from long))
+
+@query(f"""with {SWEEP_SQL}, ranked as (select variant, label, avg(rn) over (partition by variant, frequency) as mid from (select *, row_number() over (partition by variant order by frequency) as rn from sweep where frequency is not null))
  select variant, round((sum(mid) filter (label = 1) - count(*) filter (label = 1) * (count(*) filter (label = 1) + 1) / 2.0) / (count(*) filter (label = 1) * count(*) filter (label = 0)), 4) as frequency from ranked group by 1""")
 def robustness_sweep(spark, sf_dir):
-    made = [fx.signals(spark, sf_dir, n).select("key", "label", F.lit(v).alias("variant"), F.lit("frequency").alias("detector"), F.col("frequency").alias("score")) for v, n in (("90", None), ("60", 400), ("30", 100))]
-    aucs = metrics.auc(sampling.union_sources(*made), ["variant", "detector"])
-    return reports.robustness(aucs, ["frequency"]).orderBy(F.col("variant").cast("int").desc())
+    """Variants without some words: hashed ones, over whole texts."""
+    rows = sweep_signals(spark, sf_dir).select("key", "label", "variant", F.lit("frequency").alias("detector"), F.col("frequency").alias("score"))
+    return reports.robustness(metrics.auc(rows, ["variant", "detector"]), ["frequency"])
+
+
+MEASURED = ["n", "n_positive", "n_negative", "mean_positive", "mean_negative", "auc", "eer", "eer_threshold", "ece"]
+WIDE = lambda rows, names, section, dataset="dataset", detector="detector", note="null::varchar": (
+    f"select '{section}' as section, dataset, detector, metric, value, note from (select {dataset} as dataset, {detector} as detector, {note} as note, {', '.join(f'{n}::double as {n}' for n in names)} from {rows}) unpivot include nulls (value for metric in ({', '.join(names)}))"
+)
+PROTOCOL_SQL = f"""with {LONG}{LOSS}, fit as (select * from long where dataset = 'calib'), raw as (select * from long where dataset = 'report'),
+ moved as (select l.key, l.dataset, l.detector, l.label, 1 / (1 + exp(-(ln(greatest(0.000001, least(0.999999, l.score)) / (1 - greatest(0.000001, least(0.999999, l.score)))) / f.temperature))) as score
+   from raw l join fitted f on l.detector = f.detector and f.dataset = 'calib'){over(EVAL_SQL, "fit", "f")}{over(EVAL_SQL, "raw", "r")}{over(EVAL_SQL, "moved", "c")}{over(BOOT_SQL, "raw", "r")}{over(LIFT_SQL.replace("aucs", "aucs_f"), "fit", "f")},
+ both_ as (select r.dataset, r.detector, {', '.join(f'r.{m} as {m}_raw, c.{m} as {m}_calibrated' for m in MEASURED)} from evaluated_r r join evaluated_c c using (dataset, detector)),
+ asked as (select dataset, detector, n_negative as nn, t, case when n_negative = 0 then 'no negatives' when t < 1 / greatest(n_negative, 1)::double then 'not measurable: ' || n_negative || ' negatives' end as reason from sums_r, (values (0.01::double), (0.001::double)) v(t)),
+ best as (select dataset, detector, t, arg_max(tpr, idx) as tpr from asked join roc_r using (dataset, detector) where reason is null and fpr <= t group by 1, 2, 3),
+ gaps as (select f.detector, f.auc - r.auc as auc_gap, f.eer - r.eer as eer_gap from evaluated_f f join evaluated_r r using (detector)),
+ {SWEEP_SQL}, swept as (select variant as dataset, 'spatial' as detector, label, spatial as score from sweep where spatial is not null union all select variant, 'frequency', label, frequency from sweep where frequency is not null){over(AUC_SQL, "swept", "s")},
+ covered as (select r.dataset, r.licence, count(s.key) as n_scored, count(s.key) filter (s.spatial is null) as n_without_part from (values ('calib', 'open'), ('report', 'closed')) r(dataset, licence) left join signals s on r.dataset = s.dataset group by 1, 2),
+ rows_ as ({WIDE("evaluated_f", MEASURED, "in_dataset")} union all {WIDE("both_", [f"{m}_{t}" for m in MEASURED for t in ("raw", "calibrated")], "cross_dataset")}
+  union all select 'thresholds', dataset, detector, 'tpr at ' || t::varchar, tpr, coalesce(reason, case when t * nn < 10 then 'unstable' end) from asked left join best using (dataset, detector, t)
+  union all {WIDE("boot_r", ["low", "high", "replicates"], "intervals")} union all {WIDE("fitted where dataset = 'calib'", ["temperature", "nll"], "temperature", "null::varchar")}
+  union all {WIDE("weights_f", ["auc", "weight"], "weights", "null::varchar", note="rationale")} union all {WIDE("gaps", ["auc_gap", "eer_gap"], "gap", "null::varchar")}
+  union all {WIDE("aucs_s", ["auc"], "robustness")} union all {WIDE("covered", ["n_scored", "n_without_part"], "coverage", detector="null::varchar", note="licence")})"""
+
+
+def protocol_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry = spark.createDataFrame([("calib", "open"), ("report", "closed"), ("unused", "open")], "dataset string, licence string")
+    frames = protocol.cross_dataset(fx.signals(spark, sf_dir), ["spatial", "frequency"], "calib", "report", sweep=sweep_signals(spark, sf_dir), registry=registry)
+    return protocol.report_rows(frames)
+
+
+@query(f"{PROTOCOL_SQL} select section, dataset, detector, metric, round(value, 7) as value, note from rows_")
+def cross_dataset_protocol(spark, sf_dir):
+    """The whole protocol, through its nested report and back."""
+    return reports.read_nested(reports.nested(protocol_report(spark, sf_dir))).withColumn("value", F.round("value", 7))
+
 
+@query(f"{PROTOCOL_SQL} select case when dataset is null then section else section || ' ' || dataset end as section, coalesce(detector, '') as detector, metric, value is not null as measured, coalesce(note, '') as note from rows_")
+def report_table(spark, sf_dir):
+    table = reports.report_table(protocol_report(spark, sf_dir))
+    return table.select("section", "detector", "metric", (F.col("value") != "\u2014").alias("measured"), "note")
 
-@query(f"with {LONG}{AUC_SQL} select detector, round(max(auc) filter (dataset = 'calib') - max(auc) filter (dataset = 'report'), 9) as gap from aucs group by 1 having count(*) = 2")
+
+@query(f"""with {LONG}{EVAL_SQL} select i.detector, round(i.auc, 9) as auc_in, round(c.auc, 9) as auc_cross, round(i.auc - c.auc, 9) as auc_gap, round(i.eer, 9) as eer_in, round(c.eer, 9) as eer_cross, round(i.eer - c.eer, 9) as eer_gap
+  from evaluated i join evaluated c on i.detector = c.detector and i.dataset = 'calib' and c.dataset = 'report'""")
 def generalisation_gap(spark, sf_dir):
-    aucs = metrics.auc(long_signals(spark, sf_dir))
-    return reports.generalisation_gap(aucs.where("dataset = 'calib'"), aucs.where("dataset = 'report'")).select("detector", F.round("gap", 9).alias("gap"))
+    found = written(metrics.evaluate(long_signals(spark, sf_dir)), "evaluated")
+    gap = reports.generalisation_gap(found.where("dataset = 'calib'"), found.where("dataset = 'report'"))
+    return gap.select("detector", *[F.round(c, 9).alias(c) for c in gap.columns if c != "detector"])
 
 
-@query(f"""with {SIGNALS} select r.dataset, r.licence, count(s.key) as n_scored, count(s.key) filter (s.spatial is null) as n_without_part
+@query(f"""with {SIGNALS} select r.dataset, r.licence, count(s.key) as n_scored, count(s.key) filter (s.spatial is null) as n_without_part, coalesce(round(sum(s.frequency), 1), 0) as seconds
  from (values ('calib', 'open'), ('report', 'open'), ('unused', 'closed')) r(dataset, licence) left join signals s on r.dataset = s.dataset group by 1, 2""")
 def coverage(spark, sf_dir):
     registry = spark.createDataFrame([("calib", "open"), ("report", "open"), ("unused", "closed")], "dataset string, licence string")
-    return reports.coverage(fx.signals(spark, sf_dir), registry)
+    return reports.coverage(fx.signals(spark, sf_dir), registry, "frequency")  # any number may stand for the seconds that a sample took
 
 
 @query("select case when o_orderpriority like '1%' then 'first' else 'rest' end as dataset, count(*) filter (o_orderkey % 11 = 0 or coalesce(o_orderkey % 3 <> 0 and o_orderkey % 4 = 0, false)) as n_fired, count(*) as n from orders group by 1")
@@ -420,10 +519,85 @@ def read_score_lines(spark, sf_dir):
     return scores.parse_scores(lab.select(line.alias("value"), F.col("doc_id").alias("seq")), "seq").select("key", "label", "spatial", "frequency", F.col("provenance_fired").alias("fired"))
 
 
-@query("select r_name as detector, r_regionkey + 0.5::double as temperature, case when r_regionkey % 2 = 0 then r_regionkey / 4.0::double end as weight from region")
+@query(f"with {LONG}{AUC_SQL}{LIFT_SQL}{LOSS} select detector, temperature, auc, weight, rationale from weights join fitted using (dataset, detector) where dataset = 'calib'")
 def calibration_round_trip(spark, sf_dir):
-    r = fx.table(spark, sf_dir, "region").select(F.col("r_name").alias("detector"), (F.col("r_regionkey") + 0.5).alias("temperature"), F.when(F.col("r_regionkey") % 2 == 0, F.col("r_regionkey") / 4.0).alias("weight"))
-    return scores.parse_calibration(scores.calibration_json(r))
+    fit = long_signals(spark, sf_dir).where("dataset = 'calib'")
+    fitted = calibrate.fit_temperature(fit).select("detector", "temperature").join(calibrate.derive_weights(metrics.auc(fit)).hint("merge"), "detector")
+    path = scratch_path(spark, "calibration")
+    scores.write_calibration(fitted, path, {"calibration_dataset": "calib"})
+    return scores.read_calibration(spark, path).select("detector", "temperature", "auc", "weight", "rationale")
+
+
+@query("""select doc_id as key, doc_id in (select doc_id from labels) as reused from documents""")
+def resume_append(spark, sf_dir):
+    planned, cached = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key")), fx.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.lit(True).alias("reused"))
+    path = scratch_path(spark, "cache")
+    cached.write.parquet(path)
+    scores.resume_append(planned, cached, lambda rows: rows.withColumn("reused", F.lit(False)), path)
+    return spark.read.parquet(path)
+
+
+@query(f"with {SWEEP_SQL} select key, frequency from sweep where dataset = 'report' and variant = '60'")
+def score_partition(spark, sf_dir):
+    rows = sweep_signals(spark, sf_dir).withColumns({"n": F.lit(400), "seed": F.lit(7)})
+    path = scratch_path(spark, "by-configuration")
+    scores.write_partitioned(rows, path)
+    return spark.read.parquet(path).where("dataset = 'report' and variant = '60'").select("key", "frequency")
+
+
+@query("select event_type as dataset, count(*)::double as value from events where extract(day from ts) % 3 = 2 group by 1")
+def latest_report(spark, sf_dir):
+    """Each third of the days has a report; the one that is last by name is read."""
+    days = fx.table(spark, sf_dir, "events").withColumn("third", F.dayofmonth("ts") % 3)
+    path = scratch_path(spark, "reports")
+    for k in range(3):
+        counts = days.where(F.col("third") == k).groupBy("event_type").count()
+        rows = counts.select(F.lit("events").alias("section"), F.col("event_type").alias("dataset"), F.lit(None).cast("string").alias("detector"), F.lit("n").alias("metric"), F.col("count").cast("double").alias("value"), F.lit(None).cast("string").alias("note"))
+        reports.write_report(rows, path, f"2024-01-0{k + 1}")
+    return reports.read_nested(reports.latest_report(spark, path)).select("dataset", "value")
+
+
+@query("select o_orderkey as item_id, case when o_orderkey % 11 = 0 then 1 else 0 end as n_notes from orders")
+def tolerant_reports(spark, sf_dir):
+    rows = fx.items(spark, sf_dir).select("item_id", F.when(F.col("marker").isNotNull(), F.array("marker")).alias("notes"))
+    read = reports.read_report_column(reports.report_column(rows, ["item_id"]), "notes array<string>").select("item_id", "report.notes")
+    return jobs.tolerant(read, "notes", "array<string>").select("item_id", F.size("notes").alias("n_notes"))
+
+
+@query(f"with {SIGNALS} select key from signals where dataset = 'calib'")
+def overlap_guard(spark, sf_dir):
+    s = fx.signals(spark, sf_dir)
+    return calibrate.overlap_guard(s.where("dataset = 'calib'"), s.where("dataset = 'report'")).select("key")
+
+
+@query("select l_orderkey as item_id, array_to_string(list(l_returnflag || l_linestatus order by l_partkey, l_returnflag || l_linestatus), '; ') as notes from lineitem group by 1")
+def fold_notes(spark, sf_dir):
+    lines = fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"), F.col("l_partkey").alias("pos"), F.concat("l_returnflag", "l_linestatus").alias("note"))
+    return fusion.fold_notes(lines, "item_id").withColumn("notes", F.array_join("notes", "; "))
+
+
+@query("select distinct name from (select 'spatial' as name union all select 'frequency' union all select 'other')")
+def distinct_detectors(spark, sf_dir):
+    return reports.distinct_detectors(three_detectors(spark, sf_dir)).withColumnRenamed("detector", "name")
+
+
+@query("select r_name as dataset, 'hub/' || r_name as hub_id, case when r_regionkey % 2 = 0 then 'open' else 'closed' end as licence, r_regionkey % 2 = 0 as commercial, n_name as path, n_nationkey % 2 as label from region join nation on n_regionkey = r_regionkey")
+def dataset_registry(spark, sf_dir):
+    sources = fx.table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.collect_list(F.struct(F.col("n_name").alias("path"), (F.col("n_nationkey") % 2).alias("label"))).alias("sources"))
+    open_ = F.col("r_regionkey") % 2 == 0
+    specs = fx.table(spark, sf_dir, "region").join(sources.hint("merge"), "r_regionkey").select(F.col("r_name").alias("dataset"), F.concat(F.lit("hub/"), "r_name").alias("hub_id"), F.when(open_, "open").otherwise("closed").alias("licence"), open_.alias("commercial"), "sources")
+    return sampling.dataset_registry(specs)
+
+
+@query("""select event_id, user_id from (select *, row_number() over (partition by user_id order by event_id) - 1 as n, greatest(1, count(*) over (partition by user_id) // 16) as step from events) where n % step = 0 and n // step < 16""")
+def systematic_cap(spark, sf_dir):
+    return sampling.systematic_cap(fx.table(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", "event_id", 16)
+
+
+@query(f"with {ITEMS} select item_id, printf('%.4f', o_totalprice) as price, printf('%.1f%%', frequency * 100) as share, coalesce(jpeg_q::varchar || '.00', '-') as quality from items join orders on o_orderkey = item_id")
+def number_formats(spark, sf_dir):
+    o = fx.items(spark, sf_dir).join(fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"), "o_totalprice"), "item_id")
+    return o.select("item_id", sc.fixed(F.col("o_totalprice")).alias("price"), sc.percent(F.col("frequency")).alias("share"), sc.fixed(F.col("jpeg_q").cast("double"), 2, "-").alias("quality"))
 
 
 @query(f"with {ITEMS} select item_id, blur, marker from items")
@@ -445,15 +619,29 @@ def fingerprint_hex(spark, sf_dir):
     return fx.hashes(spark, sf_dir).select("id", sc.hex64(F.col("h")).alias("hex"))
 
 
-@query(f"with {HASHES} select a.id as a, b.id as b, bit_count(xor(a.h, b.h))::int as distance from hashes a join hashes b on a.id < b.id and bit_count(xor(a.h, b.h)) <= 3")
+CLASSES_SQL = f"{HASHES}, classes as (select h, min(id) as rep from hashes group by h)"
+
+
+@query(f"with {CLASSES_SQL} select a.rep as a, b.rep as b, bit_count(xor(a.h, b.h))::int as distance from classes a join classes b on a.rep < b.rep and bit_count(xor(a.h, b.h)) <= 3")
 def near_duplicates(spark, sf_dir):
     return fingerprint.near_duplicates(fx.hashes(spark, sf_dir), 3)
 
 
-@query(f"with {HASHES} select a.id as a, b.id as b from hashes a join hashes b on a.id >= 1000000 and b.id < 1000000 and bit_count(xor(a.h, b.h)) <= 2")
+@query(f"with {CLASSES_SQL} select id, rep from hashes join classes using (h)")
+def fingerprint_members(spark, sf_dir):
+    return fingerprint.members(fx.hashes(spark, sf_dir))
+
+
+@query(f"with {HASHES}, known as (select h, min(id) as rep from hashes where id < 1000000 group by h) select a.id as a, b.rep as b, bit_count(xor(a.h, b.h))::int as distance from hashes a join known b on a.id >= 1000000 and bit_count(xor(a.h, b.h)) <= 2")
 def hash_lookup(spark, sf_dir):
     h = fx.hashes(spark, sf_dir)
-    return fingerprint.prior_reports(h.where("id >= 1000000"), h.where("id < 1000000"), 2).select("a", "b")
+    return fingerprint.prior_reports(h.where("id >= 1000000"), h.where("id < 1000000"), 2)
+
+
+@query(f"with {HASHES}, known as (select h, min(id) as rep from hashes where id < 1000000 group by h) select a.id as a, b.rep as b from hashes a join known b on a.h = b.h")
+def equal_lookup(spark, sf_dir):
+    h = fx.hashes(spark, sf_dir)
+    return fingerprint.prior_reports(h, h.where("id < 1000000")).select("a", "b")
 
 
 MARKERS = [(0, "tion", "first"), (1, "worthless", "second"), (2, "password", "third"), (3, "licen", "fourth")]
@@ -462,12 +650,18 @@ MARKERS = [(0, "tion", "first"), (1, "worthless", "second"), (2, "password", "th
 @query("""select doc_id as id, case when contains(lower(text), 'tion') then 'first' when contains(lower(text), 'worthless') then 'second' when contains(lower(text), 'password') then 'third' when contains(lower(text), 'licen') then 'fourth' end as label from documents""")
 def marker_join(spark, sf_dir):
     markers = spark.createDataFrame(MARKERS, "pos int, marker string, label string")
-    return provenance.marker_join(fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), markers)
+    return provenance.marker_join(fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), markers).select("id", "label")
 
 
-@query("select page_id as id, " + "coalesce(" + ", ".join(f"case when contains(lower(url || html), '{m}') then '{lab}' end" for m, lab in GENERATORS) + ") as marker from pages")
+#: Pages name each marker in turn, some none: (page_id % (markers + 1)) tells which.
+SOFTWARE = f"coalesce(' made with ' || upper({sql_list([m for m, _ in GENERATORS])}[(page_id % {len(GENERATORS) + 1} + 1)::int]), '')"
+
+
+@query("select page_id as id, coalesce(" + ", ".join(f"case when contains(lower(url || html || {SOFTWARE}), '{m}') then '{lab}' end" for m, lab in GENERATORS) + ") as marker from pages")
 def generator_markers(spark, sf_dir):
-    return fx.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), provenance.first_marker(F.concat("url", "html"), GENERATORS).alias("marker"))
+    named = F.get(F.array(*[F.lit(m.upper()) for m, _ in GENERATORS]), (F.col("page_id") % (len(GENERATORS) + 1)).cast("int"))
+    text = F.concat("url", "html", F.coalesce(F.concat(F.lit(" made with "), named), F.lit("")))
+    return fx.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), provenance.first_marker(text, GENERATORS).alias("marker"))
 
 
 @query("""select event_id as id, event_id % 4 <> 0 as present, case event_id % 4 when 0 then null when 1 then false when 2 then true else false end as valid, case when event_id % 4 >= 2 then event_type end as signer from events""")
@@ -478,10 +672,33 @@ def manifests(spark, sf_dir):
     return e.select(F.col("event_id").alias("id"), provenance.manifest(json).alias("m")).select("id", "m.present", "m.valid", "m.signer")
 
 
-@query("""select doc_id as id, array_to_string(list_filter(['definitely', 'proves'], lambda p: contains(lower(text) || (case when doc_id % 7 = 0 then ' proves' else '' end), p)), ',') as terms from documents""")
+#: Documents end with each banned word or phrase in turn, some with none.
+BANNED = FORBIDDEN_WORDS + FORBIDDEN_PHRASES
+ENDED = f"(lower(text) || ' ' || coalesce({sql_list(BANNED)}[(doc_id % {len(BANNED) + 1} + 1)::int], ''))"
+
+
+@query(f"""select doc_id as id, array_to_string(list_concat(list_filter({sql_list(FORBIDDEN_WORDS)}, lambda w: list_contains(regexp_split_to_array(replace({ENDED}, '-', ' '), ' +'), w)),
+  list_filter({sql_list(FORBIDDEN_PHRASES)}, lambda p: contains({ENDED}, p))), ',') as terms from documents where text is not null""")
 def forbidden_terms(spark, sf_dir):
-    text = F.concat("text", F.when(F.col("doc_id") % 7 == 0, " proves").otherwise(""))
-    return fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(provenance.forbidden_terms(text), ",").alias("terms"))
+    ended = F.get(F.array(*[F.lit(t) for t in BANNED]), (F.col("doc_id") % (len(BANNED) + 1)).cast("int"))
+    text = F.concat("text", F.lit(" "), F.coalesce(ended, F.lit("")))
+    listed = F.array_intersect(F.array(*[F.lit(t) for t in BANNED]), provenance.forbidden_terms(text))  # in the order of the lists
+    return fx.table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.array_join(listed, ",").alias("terms"))
+
+
+@query("""select field, side from ((select distinct p_brand || p_type as field, 'left' as side from part where p_size < 25 and p_brand || p_type not in (select p_brand || p_type from part where p_size >= 25))
+  union all (select distinct p_brand || p_type, 'right' from part where p_size >= 25 and p_brand || p_type not in (select p_brand || p_type from part where p_size < 25)))""")
+def schema_diff(spark, sf_dir):
+    p = fx.table(spark, sf_dir, "part").select(F.concat("p_brand", "p_type").alias("field"), "p_size")
+    return provenance.schema_diff(p.where("p_size < 25").select("field").distinct(), p.where("p_size >= 25").select("field").distinct())
+
+
+@query("""with l as (select c_custkey // 2 as model, c_custkey % 2 as index, contains(lower(c_mktsegment), 'build') or contains(lower(c_mktsegment), 'auto') as pos, contains(lower(c_mktsegment), 'machin') or contains(lower(c_mktsegment), 'house') as neg from customer),
+  m as (select model, count(*) as n, count_if(pos) as np, count_if(neg) as nn, max(index) filter (pos) as pi, max(index) filter (not neg) as rest from l group by 1)
+  select model, case when np = 1 then pi when n = 2 and nn = 1 and np = 0 then rest end as index, case when np <> 1 and not (n = 2 and nn = 1 and np = 0) then 'ambiguous labels' end as problem from m""")
+def label_hints(spark, sf_dir):
+    c = fx.table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 2).alias("model"), (F.col("c_custkey") % 2).alias("index"), F.col("c_mktsegment").alias("label"))
+    return provenance.positive_index(c, ["build", "auto"], ["machin", "house"])
 
 
 # ---- jobs
@@ -515,10 +732,10 @@ def select_expired(spark, sf_dir):
     return jobs.select_expired(stamped(spark, sf_dir), F.expr(NOW)).select("id", "user_id", "storage_key")
 
 
-@query(f"with {JOBS} select id, ttl <= {NOW} as expired, case when ttl <= {NOW} and storage_key is not null and media_deleted_at is null then null else storage_key end as storage_key from jobs")
+@query(f"with {JOBS} select id, ttl <= {NOW} as expired, case when ttl <= {NOW} and storage_key is not null and media_deleted_at is null and not storage_key like '%3' then null else storage_key end as storage_key from jobs")
 def retention_sweep(spark, sf_dir):
     rows, now = stamped(spark, sf_dir), F.expr(NOW)
-    marked = jobs.mark_deleted(rows, jobs.select_expired(rows, now, None), now)
+    marked = retention.sweep(rows, now, lambda key: not key.endswith("3"), None)  # deletions that fail leave the job as it is
     return marked.select("id", (F.col("ttl") <= now).alias("expired"), "storage_key")
 
 
@@ -594,8 +811,8 @@ def bursts(spark, sf_dir):
 
 # ---- grids
 
-CELLS = """sums as (select user_id as grid_id, extract(day from ts)::int - 1 as y, extract(hour from ts)::int as x, round(sum(value), 2) as v from events where extract(day from ts) <= 30 group by 1, 2, 3),
- cells as (select g.grid_id, yy::int as y, xx::int as x, coalesce(v, 0) as v from (select distinct grid_id from sums) g cross join range(30) a(yy) cross join range(24) b(xx) left join sums s on s.grid_id = g.grid_id and s.y = yy and s.x = xx)"""
+CELLS = """sums as (select user_id as grid_id, extract(day from ts)::int - 1 as y, extract(hour from ts)::int as x, round(sum(value), 2) as v from events group by 1, 2, 3),
+ cells as (select g.grid_id, yy::int as y, xx::int as x, coalesce(v, 0) as v from (select distinct grid_id from sums) g cross join range(31) a(yy) cross join range(24) b(xx) left join sums s on s.grid_id = g.grid_id and s.y = yy and s.x = xx)"""
 
 
 @query(f"""with {CELLS}, l as (select grid_id, coalesce(lag(v) over h, lead(v) over h) + coalesce(lead(v) over h, lag(v) over h) + coalesce(lag(v) over k, lead(v) over k) + coalesce(lead(v) over k, lag(v) over k) - 4 * v as d from cells
@@ -610,7 +827,7 @@ def mean_level(spark, sf_dir):
 
 
 @query(f"""with {CELLS}, n as (select c.grid_id, c.y, c.x, c.v, median(d.v) as m from cells c cross join range(-1, 2) a(dy) cross join range(-1, 2) b(dx)
-   join cells d on d.grid_id = c.grid_id and d.y = least(greatest(c.y + dy, 0), 29) and d.x = least(greatest(c.x + dx, 0), 23) group by 1, 2, 3, 4),
+   join cells d on d.grid_id = c.grid_id and d.y = least(greatest(c.y + dy, 0), 30) and d.x = least(greatest(c.x + dx, 0), 23) group by 1, 2, 3, 4),
   e as (select grid_id, y // 10 as ty, x // 8 as tx, var_pop(v - m) as e from n where y // 10 < 3 and x // 8 < 3 group by 1, 2, 3)
  select grid_id, round(case when avg(e) > 1e-6 then stddev_pop(e) / avg(e) else 0 end, 6) as noise_cv from e group by 1""")
 def tile_noise_cv(spark, sf_dir):
@@ -665,5 +882,3 @@ def band_labels(spark, sf_dir):
     rows = sc.band_join(fx.items(spark, sf_dir).select("item_id", F.col("frequency").alias("score")), sc.band_table(spark))
     return rows.groupBy("label").agg(F.lit(False).alias("never_null"), F.count("*").alias("n"))
 
-
-assert len(BANDS) == 5

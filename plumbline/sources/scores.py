@@ -39,11 +39,18 @@ def write_partitioned(scores: DataFrame, path: str, by: tuple[str, ...] = ("data
     scores.repartition(*by).write.mode("append").partitionBy(*by).parquet(path)
 
 
+MAPS = {"temperature": "temperature", "stream_weights": "weight", "stream_validation_auc": "auc"}
+
+
 def parse_calibration(lines: DataFrame) -> DataFrame:
-    """(detector, temperature, weight) from calibration JSON (value); null, broken or missing parts give no rows, other than numbers are dropped."""
-    read = lines.select(F.from_json("value", "temperature map<string,string>, stream_weights map<string,string>").alias("r"))
-    numbers = lambda field, name: read.select(F.explode(F.col(f"r.{field}")).alias("detector", "x")).select("detector", F.expr("try_cast(x as double)").alias(name)).where(F.col(name).isNotNull())
-    return numbers("temperature", "temperature").join(numbers("stream_weights", "weight"), "detector", "full_outer").select("detector", "temperature", "weight")
+    """(detector, temperature, weight, auc, rationale) from calibration JSON (value); null, broken or missing parts give no rows, other than numbers are null."""
+    fields = [*MAPS, "stream_weight_rationale"]
+    read = lines.select(F.from_json("value", ", ".join(f"{f} map<string,string>" for f in fields)).alias("r")).select([F.coalesce(F.col(f"r.{f}"), F.expr("cast(map() as map<string,string>)")).alias(f) for f in fields])
+    names = F.array_distinct(F.flatten(F.array(*[F.map_keys(f) for f in MAPS])))
+    rows = read.select("*", F.explode(names).alias("detector"))
+    numbers = [F.expr(f"try_cast(try_element_at({f}, detector) as double)").alias(name) for f, name in MAPS.items()]
+    kept = rows.select("detector", *numbers, F.try_element_at("stream_weight_rationale", "detector").alias("rationale"))
+    return kept.where("temperature is not null or weight is not null or auc is not null")
 
 
 def read_calibration(spark: SparkSession, path: str) -> DataFrame:
@@ -57,7 +64,14 @@ def read_calibration(spark: SparkSession, path: str) -> DataFrame:
     return parse_calibration(lines)
 
 
-def calibration_json(parameters: DataFrame) -> DataFrame:
-    """One row (value): the calibration JSON of (detector, temperature, weight)."""
+def calibration_json(parameters: DataFrame, provenance: dict[str, str] | None = None) -> DataFrame:
+    """One row (value): the calibration JSON of (detector, temperature, weight, auc, rationale), with where the values come from."""
     pairs = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("detector", c)))))
-    return parameters.agg(F.to_json(F.struct(pairs("temperature").alias("temperature"), pairs("weight").alias("stream_weights"))).alias("value"))
+    origin = F.create_map(*[F.lit(x) for pair in (provenance or {}).items() for x in pair]) if provenance else F.expr("cast(map() as map<string,string>)")
+    maps = [pairs(c).alias(f) for f, c in MAPS.items()] + [pairs("rationale").alias("stream_weight_rationale")]
+    return parameters.agg(*maps).select(F.to_json(F.struct(origin.alias("provenance"), *MAPS, "stream_weight_rationale")).alias("value"))
+
+
+def write_calibration(parameters: DataFrame, path: str, provenance: dict[str, str]) -> None:
+    """The calibration file that ``read_calibration`` reads back; a former one is replaced."""
+    calibration_json(parameters, provenance).coalesce(1).write.mode("overwrite").text(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -72,18 +72,63 @@ def status_machine(events: DataFrame, attempts: int = PARAMS.attempts) -> DataFr
     return events.groupBy("id").transformWithStateInPandas(JobStatus(attempts), STATE, "Update", "None")
 
 
-def final_status(events: DataFrame, attempts: int = PARAMS.attempts) -> DataFrame:
-    """The batch twin: each job's status after all its events."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "kind"))), lambda e: e["kind"])
-    start = F.struct(F.lit("queued").alias("status"), F.lit(0).alias("attempts"))
+def final_status(events: DataFrame, attempts: int = PARAMS.attempts, every: str = "hour") -> DataFrame:
+    """The batch twin: each job's status after all its events (id, ts, event_id, kind).
+
+    Events are summed by job and ``every`` stretch of time; running sums over the stretches find the one in which a job ends, and only in that one the
+    order of events counts. So a job with a large share of all events is spread over its stretches.
+    """
+    kind = F.col("kind")
+    telling = F.when(kind.isin("processing", "complete", "error"), F.struct("ts", "event_id"))
+    sums = [F.count_if(kind == "error").alias("errors"), F.count_if(kind == "complete").alias("done"), F.max_by("kind", telling).alias("last"), F.max(telling).alias("last_at")]
+    dated = events.withColumn("stretch", F.date_trunc(every, "ts"))
+    stretches = dated.groupBy("id", "stretch").agg(*sums)
+    before = Window.partitionBy("id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    stretches = stretches.withColumns({"errors_before": zero("errors"), "done_before": zero("done")})
+    over_before = (F.col("done_before") > 0) | (F.col("errors_before") >= attempts)
+    over_after = (F.col("done_before") + F.col("done") > 0) | (F.col("errors_before") + F.col("errors") >= attempts)
+    open_ = stretches.where(~over_before)
+    whole = open_.where(~over_after).select("id", "errors", "last", "last_at")
+    # the stretch in which the job ends, up to the event that ends it
+    ending = open_.where(over_after).select("id", "stretch", "errors_before")
+    inside = Window.partitionBy("id", "stretch").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    ended = dated.join(ending.hint("shuffle_hash"), ["id", "stretch"]).select("id", "ts", "event_id", "kind", F.coalesce(F.count_if(kind == "complete").over(inside), F.lit(0)).alias("c"), (F.col("errors_before") + F.coalesce(F.count_if(kind == "error").over(inside), F.lit(0))).alias("e"))
+    cut = ended.where((F.col("c") == 0) & (F.col("e") < attempts)).groupBy("id").agg(*sums).select("id", "errors", "last", "last_at")
+    jobs = whole.unionByName(cut).groupBy("id").agg(F.sum("errors").cast("int").alias("attempts"), F.max_by("last", "last_at").alias("last"))
+    status = F.when(F.col("last") == "processing", "processing").when(F.col("last") == "complete", "complete").when((F.col("last") == "error") & (F.col("attempts") >= attempts), "failed").otherwise("queued")
+    return jobs.select("id", status.alias("status"), "attempts")
+
+
+class Expiry(StatefulProcessor):
+    """Reports live until their time; then their key's state and row go."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("report", "ttl_ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = max(int(t.value // 1_000_000) for batch in rows for t in batch["ttl"])
+        if self.state.exists():
+            old = self.state.get()[0]
+            if last <= old:
+                return
+            self.handle.deleteTimer(old)
+        self.state.update((last,))
+        self.handle.registerTimer(last)
+        yield pd.DataFrame({"id": [key[0]], "state": ["live"], "ttl": [pd.Timestamp(last, unit="ms")]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        self.state.clear()
+        yield pd.DataFrame({"id": [key[0]], "state": ["expired"], "ttl": [pd.Timestamp(at, unit="ms")]})
+
+    def close(self) -> None:
+        pass
 
-    def step(a, kind):
-        tried = a["attempts"] + F.when(kind == "error", 1).otherwise(0)
-        status = F.when(kind == "processing", "processing").when(kind == "complete", "complete").when((kind == "error") & (tried >= attempts), "failed").when(kind == "error", "queued").otherwise(a["status"])
-        over = a["status"].isin("complete", "failed")
-        return F.struct(F.when(over, a["status"]).otherwise(status).alias("status"), F.when(over, a["attempts"]).otherwise(tried).alias("attempts"))
 
-    return events.groupBy("id").agg(F.aggregate(ordered, start, step).alias("s")).select("id", "s.status", "s.attempts")
+def expiry_window(reports: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """Stream of (id, state, ttl) from reports (id, created_at, ttl): *live* as they come, *expired* once event time passes their ttl; a report that comes after its ttl is dropped as late. Needs the RocksDB state store."""
+    return reports.withWatermark("created_at", late).groupBy("id").transformWithStateInPandas(Expiry(), "id long, state string, ttl timestamp", "Append", "EventTime")
 
 
 def repeat_uploads(uploads: DataFrame, ttl: str) -> DataFrame:

@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as sc
-from plumbline.operators import calibrate, fusion, metrics, provenance, rollup
-from plumbline.params import BANDS, FORBIDDEN_WORDS
+from plumbline.functions.tables import small
+from plumbline.operators import calibrate, fingerprint, fusion, metrics, provenance, rollup
+from plumbline.params import BANDS, FORBIDDEN_WORDS, NEXT_STEPS
+from plumbline.plans.conclusion import conclusion
 from plumbline.plans.protocol import cross_dataset
 
 
@@ -45,10 +47,94 @@ def test_fusion_rules(spark):
     assert fused(spark, [("spatial", 1.0), ("frequency", 0.0)], w).disagreement == 0.5
 
 
+def test_fusion_notes(spark):
+    w = [("spatial", 0.7), ("frequency", 0.3)]
+    assert fused(spark, [("spatial", 1.0), ("frequency", 0.0)], w).notes == ["weighted by validation AUC; the detectors lie 0.500 apart"]
+    assert fused(spark, [("spatial", 1.0), ("frequency", None)], w).notes == []
+    assert fused(spark, [("b", 0.6), ("a", 0.6)], []).notes == ["no weights are known for these detectors: the score is that of a"]
+    assert fused(spark, [("a", None)], w).notes == ["no detector gave a score"]
+
+
 def test_override_precedence(spark):
     rows = [(1, 0.1, "FLUX", None), (2, 0.95, "FLUX", True), (3, 0.9, None, True), (4, 0.2, None, True), (5, 0.9, None, False), (6, 0.9, None, None), (7, 0.5, "FLUX", True)]
-    out = {r.id: (r.score, r.override) for r in fusion.override(spark.createDataFrame(rows, "id int, score double, marker string, manifest_valid boolean")).collect()}
+    frame = spark.createDataFrame(rows, "id int, score double, marker string, manifest_valid boolean")
+    out = {r.id: (r.score, r.override) for r in fusion.override(frame).collect()}
     assert out == {1: (0.88, "generator_metadata"), 2: (0.95, None), 3: (0.35, "c2pa_valid"), 4: (0.2, None), 5: (0.9, None), 6: (0.9, None), 7: (0.88, "generator_metadata")}
+    noted = {r.id: r.notes for r in fusion.override(frame.withColumn("notes", F.array(F.lit("before")))).collect()}
+    assert noted[2] == ["before"] and "FLUX" in noted[1][1] and "unnamed signer" in noted[3][1]
+
+
+def test_conclusions_never_say_what_is_banned(spark):
+    kinds = [("single_part", 1, 0), ("single_part", 1, 1), ("none_elevated", 4, 0), ("single_outlier", 5, 1), ("all_elevated", 3, 3), ("several_elevated", 2, 2), ("none_elevated", 0, 0)]
+    df = spark.createDataFrame(kinds, "pattern string, n int, k int").select("*", conclusion(F.col("pattern"), F.col("n"), F.col("k"), F.lit("Mixed signals")).alias("c"))
+    got = [r.c for r in df.collect()]
+    assert got[0].headline == "Mixed signals, from one part" and got[3].headline == "1 of 5 parts is elevated" and got[5].headline == "2 of 2 parts are elevated"
+    assert "no part was found" in got[6].headline and got[6].next_steps == NEXT_STEPS["no_part"]
+    assert got[2].next_steps == NEXT_STEPS["quiet"] and "(5)" not in got[3].next_steps and "(1)" in got[3].next_steps
+    text = spark.createDataFrame([(t,) for c in got for t in c], "t string")
+    assert text.where(F.size(provenance.forbidden_terms(F.col("t"))) > 0).count() == 0 and text.where(F.col("t").contains("{")).count() == 0
+
+
+def test_small_tables_are_checked(spark):
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        small(spark.range(5), 3)
+    assert small(spark.range(3), 3).count() == 3
+    with pytest.raises(ValueError, match="marker table"):
+        provenance.marker_join(spark.createDataFrame([("a",)], "text string"), spark.createDataFrame([(i, "m", "l") for i in range(4)], "pos int, marker string, label string"), most=3)
+
+
+def plain_roc(rows, drop):
+    rows = sorted(rows, key=lambda r: -r[1])
+    p, n = sum(y for y, _ in rows), sum(1 - y for y, _ in rows)
+    points, tp, fp = [], 0, 0
+    for i, (y, s) in enumerate(rows):
+        tp, fp = tp + y, fp + 1 - y
+        if i + 1 == len(rows) or rows[i + 1][1] != s:
+            points.append((fp, tp, s))
+    if drop and len(points) > 2:
+        steps = [(b[0] - a[0], b[1] - a[1]) for a, b in zip([(0, 0, None), *points], points)]
+        points = [x for i, x in enumerate(points) if i in (0, len(points) - 1) or steps[i] != steps[i + 1]]
+    return [(0, 0.0, 0.0, None)] + [(i + 1, f / n, t / p, s) for i, (f, t, s) in enumerate(points)]
+
+
+def test_curves_over_ranges_agree_with_plain_loops(spark):
+    import random
+
+    rng = random.Random(8)
+    for spread in (0.001, 1.0, "edges", "tied"):
+        make = {"edges": lambda: rng.choice([1 - 1e-9 * rng.random(), 1e-9 * rng.random(), 0.0, 1.0]), "tied": lambda: rng.randint(0, 4) / 4}.get(spread, lambda: 0.5 + spread * (rng.random() - 0.5))
+        rows = [(rng.randint(0, 1), make()) for _ in range(400)]
+        df = scores_frame(spark, [s for y, s in rows if y], [s for y, s in rows if not y])
+        for drop in (True, False):
+            got = sorted((r.idx, r.fpr, r.tpr, r.threshold) for r in metrics.roc_curve(df, drop_intermediate=drop).collect())
+            assert got == plain_roc(rows, drop)
+        wins = sum((a > b) + 0.5 * (a == b) for y, a in rows if y for z, b in rows if not z)
+        pairs = sum(y for y, _ in rows) * sum(1 - y for y, _ in rows)
+        assert metrics.auc(df).first().auc == pytest.approx(wins / pairs, abs=1e-12)
+
+
+def test_one_hot_label_gives_no_rates(spark):
+    df = scores_frame(spark, [0.2, 0.9], [])
+    assert metrics.auc(df).first().auc is None
+    assert [r.fpr for r in metrics.roc_curve(df).orderBy("idx").collect()] == [0.0, None, None]
+    assert metrics.auc(df.limit(0)).count() == 0 and metrics.roc_curve(df.limit(0)).count() == 0 and metrics.evaluate(df.limit(0)).count() == 0
+
+
+def test_fingerprint_links_are_whole(spark):
+    import random
+
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    prints = [b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 5))) for b in base for _ in range(6)] + [base[0]] * 30
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    df = spark.createDataFrame([(i, signed(h)) for i, h in enumerate(prints)], "id long, h long")
+    rep = {}
+    for i, h in enumerate(prints):
+        rep.setdefault(h, i)
+    for d in (1, 2, 3):
+        want = {(min(a, b), max(a, b), (g ^ h).bit_count()) for g, a in rep.items() for h, b in rep.items() if a < b and (g ^ h).bit_count() <= d}
+        assert {tuple(r) for r in fingerprint.near_duplicates(df, d).collect()} == want
+    assert {tuple(r) for r in fingerprint.members(df).collect()} == {(i, rep[h]) for i, h in enumerate(prints)}
 
 
 def test_bands_cover_the_unit_interval(spark):

@@ -34,6 +34,11 @@ def test_calibration_files(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"temperature": {"a": 1.5, "b": "x"},\n "stream_weights": {"a": 0.7, "c": 0.3}}')
     got = {r.detector: (r.temperature, r.weight) for r in scores.read_calibration(spark, f"{tmp_path}/c.json").collect()}
     assert got == {"a": (1.5, 0.7), "c": (None, 0.3)}
+    rows = spark.createDataFrame([("a", 1.5, 0.7, 0.9, "lift"), ("b", 2.0, None, 0.5, "left out")], "detector string, temperature double, weight double, auc double, rationale string")
+    scores.write_calibration(rows, f"{tmp_path}/made", {"report": "r1"})
+    assert sorted(map(str, scores.read_calibration(spark, f"{tmp_path}/made").select(rows.columns).collect())) == sorted(map(str, rows.collect()))
+    made = json.loads(next((tmp_path / "made").glob("part-*")).read_text())
+    assert made["provenance"] == {"report": "r1"} and made["stream_weight_rationale"] == {"a": "lift", "b": "left out"}
     (tmp_path / "bad.json").write_text("{")
     assert scores.read_calibration(spark, f"{tmp_path}/bad.json").count() == 0
     assert scores.read_calibration(spark, f"{tmp_path}/none.json").count() == 0
@@ -50,16 +55,28 @@ def test_latest_report(spark, tmp_path):
     for name in ("2024-01-02.json", "2024-01-10.json", "2024-01-09.json"):
         (tmp_path / name).write_text(name)
     (r,) = reports.latest_report(spark, str(tmp_path)).collect()
-    assert r.value == r.file == "2024-01-10.json"
-
-
-def test_report_rows_keep_what_is_not_measurable(spark):
-    metrics = spark.createDataFrame([("d", "x", 0.9, 0.1, None)], "dataset string, detector string, auc double, eer double, ece double")
-    cut = spark.createDataFrame([("d", "x", 0.01, None, False, False, "not measurable: 9 negatives")], "dataset string, detector string, target_fpr double, tpr double, measurable boolean, unstable boolean, reason string")
-    weights = spark.createDataFrame([("x", 1.0, "why")], "detector string, weight double, rationale string")
-    got = {(r.section, r.metric): (r.value, r.note) for r in reports.report_table(metrics, cut, weights).collect()}
-    assert got[("thresholds d", "TPR at FPR 1.0%")] == ("not measurable", "not measurable: 9 negatives")
-    assert got[("metrics d", "ece")] == ("—", "") and got[("metrics d", "auc")] == ("0.9000", "")
+    assert r.value == "2024-01-10.json" and r.file.endswith("/2024-01-10.json")
+    (tmp_path / "none").mkdir()
+    assert reports.latest_report(spark, f"{tmp_path}/none").count() == 0
+
+
+REPORT = [
+    ("metrics", "d", "x", "auc", 0.9, None), ("metrics", "d", "x", "ece", None, None), ("metrics", "d", 'y "quoted"', "auc", 0.25, None),
+    ("thresholds", "d", "x", "tpr at 0.01", None, "not measurable: 9 negatives"), ("weights", None, "x", "weight", 1.0, "why"),
+]
+
+
+def test_reports_keep_what_is_not_measurable(spark):
+    rows = spark.createDataFrame(REPORT, reports.ROWS)
+    got = {(r.section, r.detector, r.metric): (r.value, r.note) for r in reports.report_table(rows).collect()}
+    assert got[("thresholds d", "x", "tpr at 0.01")] == ("\u2014", "not measurable: 9 negatives")
+    assert got[("metrics d", "x", "ece")] == ("\u2014", "") and got[("metrics d", "x", "auc")] == ("0.9000", "")
+    assert got[("weights", "x", "weight")] == ("1.0000", "why")
+    (text,) = [r.value for r in reports.nested(rows).collect()]
+    assert json.loads(text)["metrics"]["d"]["x"] == {"auc": {"v": 0.9}, "ece": {}}
+    assert sorted(map(tuple, reports.read_nested(reports.nested(rows)).collect()), key=str) == sorted(REPORT, key=str)
+    assert json.loads(reports.nested(rows.limit(0)).first().value) == {}
+    assert {r.detector for r in reports.distinct_detectors(rows).collect()} == {"x", 'y "quoted"'}
 
 
 def test_user_scorers(spark):
