@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.tables import written
+
+__all__ = ["LOWER", "SPACE", "SPACE_RUN", "UPPER", "ascii_lower", "least_hashes", "shuffle_partitions", "words", "written"]
+
 #: ASCII letters and the six ASCII white-space characters of the word rule [^\x20\x09-\x0D]+.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -15,25 +16,6 @@ SPACE = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[ \\t-\\r]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or a new local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        base = context.getCheckpointDir()
-    return base.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage, gives true size statistics, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/plumbline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, UPPER, LOWER)

@@ -14,7 +14,7 @@ and a safe partner suffices. The few unsafe sets write one-deletion neighbourhoo
 
 A set with s filled segments shares at least s - D of them with any partner: all but one of these are spare. So of its signatures
 that more than ``HOT`` sets share, each set leaves out as many as it can spare, the most frequent first. All sets do so in the same
-order; hence of those that two partners share, the least frequent stays with both. What is left of hot signatures are large
+order (signatures that a sample shows to be shared by very many sets are ordered by its estimate, and their rows dealt to several tasks); hence of those that two partners share, the least frequent stays with both. What is left of hot signatures are large
 groups of near copies, and sets that consist mostly of common passages: their sets are compared with the smallest id of the group first, and then only
 across the components that result, where sketches of one byte a segment rule out nearly all pairs that cannot link. All candidate pairs are verified exactly on their whole texts.
 
@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.tables import small
 from plumbline.llm.common import written
 from plumbline.llm.components import connected_components
 from plumbline.llm.shingles import chunks, mix, shingle_sets
@@ -48,6 +49,10 @@ NO_DOC = -(2**63)
 #: Sets of a hot signature whose sketches are compared in one task: more are dealt into pairs of blocks.
 BLOCK = 4_000
 MAX_SKETCH = 4_096
+#: Sets in which crowded signatures are looked for: one in so many; sets there that make a signature crowded; tasks among which its rows are dealt.
+SAMPLED = 64
+CROWD = 256
+SALTS = 64
 #: Cost of an empty segment, in signatures written.
 EMPTY_COST = 200.0
 STEP = 1.6
@@ -224,6 +229,18 @@ def verified(texts: DataFrame, pairs: DataFrame, share: tuple[int, int]) -> Data
     return written(joined.mapInArrow(compare(share), "a long, b long").distinct(), "links")
 
 
+def crowded(texts: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(key, about) of signatures that very many sets share, with about how many: for broadcast.
+
+    Found on one in ``SAMPLED`` sets. This only decides where their rows are counted: rows of such a signature are dealt to ``SALTS`` tasks and take the estimate as
+    their count, which serves as well, as counts only order the hot signatures, alike for all sets. No row is left out. A signature told here has ``CROWD`` sets in the
+    sample, so that the table has at most one row for each ``CROWD`` signatures of the sample.
+    """
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).mapInArrow(sign(share), "key long, id long, band short, spare short")
+    found = some.groupBy("key").agg((F.count("*") * SAMPLED).alias("about")).where(F.col("about") >= CROWD * SAMPLED)
+    return small(written(found, "crowded"), BROADCAST_IDS)
+
+
 def group_pairs(shared: DataFrame) -> DataFrame:
     """All pairs of the sets of signatures that at most HOT sets share."""
     sets = shared.where(F.col("cnt") <= HOT).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
@@ -236,20 +253,25 @@ def shingle_links(docs: DataFrame, share: tuple[int, int] = SHARE) -> tuple[Data
     join the same classes as all links do."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     described = written(texts.mapInArrow(describe, "id long, n long, s1 long, s2 long"), "sets")
-    classes = described.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
+    # only classes of several rows are joined; written first, so that a class with a large share of all rows is split (AQE splits joins of plain shuffles)
+    classes = described.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    classes = written(classes, "equal-sets")
     sets = described.join(classes.hint("shuffle_hash"), ["n", "s1", "s2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     sets = written(sets, "classes")
     # ids none of whose rows stands for its class
     copies = written(sets.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < id and high < id").select("id"), "copies")
-    keys = with_ids(texts, copies, "left_anti").mapInArrow(sign(share), "key long, id long, band short, spare short")
-    shared = keys.withColumn("cnt", F.count("*").over(Window.partitionBy("key"))).where("cnt > 1")
-    shared = written(shared, "signatures")
+    own = with_ids(texts, copies, "left_anti")
+    hottest = crowded(own, share)
+    keys = own.mapInArrow(sign(share), "key long, id long, band short, spare short").join(hottest, "key", "left")
+    salt = F.when(F.col("about").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0)
+    counted = keys.withColumn("salt", salt).withColumn("cnt", F.coalesce("about", F.count("*").over(Window.partitionBy("key", "salt")))).drop("salt", "about")
+    shared = written(counted.where("cnt > 1"), "signatures")
 
     # each set leaves out as many of its hottest signatures as it can spare
     hottest = Window.partitionBy("id", "band").orderBy(F.desc("cnt"), "key")
     hot = shared.where(F.col("cnt") > HOT).withColumn("n", F.row_number().over(hottest)).where("n > spare")
     hot = written(hot.select("key", "id", "band").distinct(), "hot")
-    hubs = hot.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("cnt")).where("cnt > 1")
+    hubs = written(hot.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("cnt")).where("cnt > 1"), "hubs")
     spokes = hot.join(hubs.hint("merge"), "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     pairs = written(group_pairs(shared).unionByName(spokes).distinct(), "pairs")
     edges = verified(texts, pairs, share)
@@ -259,6 +281,7 @@ def shingle_links(docs: DataFrame, share: tuple[int, int] = SHARE) -> tuple[Data
     placed = hot.join(component.hint("shuffle_hash"), "id", "left").select("key", "id", "band", F.coalesce("component", "id").alias("component"))
     placed = written(placed, "placed")
     torn = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("hub"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low < high")
+    torn = written(torn, "torn")
     open_ = written(placed.join(torn.hint("shuffle_hash"), "key").where("id <> hub").select("key", "id", "band", "component", "blocks"), "open")
     asked = written(open_.groupBy("id").agg(F.sort_array(F.collect_set("band")).alias("bands")), "asked")
     few = asked.count() <= BROADCAST_IDS
@@ -277,10 +300,9 @@ def shingle_links(docs: DataFrame, share: tuple[int, int] = SHARE) -> tuple[Data
 def jaccard_components(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     """One row a row of ``docs(doc_id, text, ...)``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     sets, edges = shingle_links(docs, share)
-    # rows that repeat an id tie the classes of their texts together
-    repeated = sets.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
-    owners = sets.join(repeated.select(F.explode(F.array("a", "b")).alias("rep")).distinct().hint("shuffle_hash"), "rep", "left_semi")
-    ties = owners.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    # rows that repeat an id tie all classes of its texts to it
+    several = written(sets.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("id"), "several-classes")
+    ties = sets.join(several.hint("shuffle_hash"), "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
     component = connected_components(edges.unionByName(ties))
     joined = sets.join(component.withColumnRenamed("id", "rep").hint("shuffle_hash"), "rep", "left")
     back = lambda c: F.when(c != NO_DOC, c)

@@ -62,6 +62,16 @@ def test_components_against_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, jaccard_components(df).collect())) == want
     monkeypatch.setattr(jaccard_join, "HOT", 2)  # nearly every signature counts as hot
     assert sorted(map(tuple, jaccard_components(df).collect())) == want
+    for name, value in (("SAMPLED", 1), ("CROWD", 3), ("SALTS", 3)):  # and those of three sets as crowded
+        monkeypatch.setattr(jaccard_join, name, value)
+    assert sorted(map(tuple, jaccard_components(df).collect())) == want
+
+
+def test_all_texts_of_an_id_are_tied(spark):
+    texts = {1: "a b c d e f g", 2: "h i j k l m n", 3: "o p q r s t u", 4: "v w x y z", 9: "other words of no copy"}
+    rows = [*texts.items(), (5, texts[1]), (5, texts[2]), (5, texts[3]), (6, texts[3]), (6, texts[4])]
+    got = {(r.doc_id, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 1), (9, 9)}
 
 
 def test_edge_rows(spark):
