@@ -1,8 +1,9 @@
 import random
+import re
 
 import pytest
 
-from plumbline.llm.licenses import TEMPLATES, license_scan
+from plumbline.llm.licenses import TEMPLATES, fitted, license_scan
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +36,38 @@ def test_planted_notices_are_found_and_prose_is_left_alone(frame):
     assert all(0.5 <= r.probability <= 1 and 0.6 <= r.similarity <= 1 for r in found)
 
 
+def plain_grams(text):
+    w = [x for x in re.split("[^a-z0-9]+", text.lower()) if x]
+    return {tuple(w[i : i + n]) for n in (2, 3) for i in range(len(w) - n + 1)}
+
+
+def test_confirmation_agrees_with_plain_sets(frame):
+    df, _ = frame
+    texts = {(r.doc_id, r.text) for r in df.collect() if r.text}
+    for r in license_scan(df).collect():
+        near = []
+        for doc_id, text in texts:
+            lines = text.split("\n")
+            if doc_id == r.doc_id and r.paragraph < len(lines):
+                run = lines[r.paragraph :]
+                run = run[: next((i for i, x in enumerate(run) if not re.search("[A-Za-z0-9]", x)), len(run))]
+                for unit in (lines[r.paragraph], "\n".join(run)):
+                    shares = [len(plain_grams(unit) & plain_grams(t)) / len(plain_grams(t)) for t in TEMPLATES[r.family]]
+                    near.append((max(shares), -shares.index(max(shares))))
+        assert any(abs(x - r.similarity) < 1e-9 and -t == r.template for x, t in near)
+
+
+def test_unknown_class_on_text_it_did_not_see(spark):
+    """Prose about licences that names none; the classifier's sample is from other documents."""
+    rng = random.Random(11)
+    talk = "the license of this software is public and free for any use under general terms with permission to copy modify and distribute the work in source form by the author as published".split()
+    seen = [(i, "\n".join(" ".join(rng.choice(talk + [f"v{k}" for k in range(60)]) for _ in range(20)) for _ in range(3))) for i in range(150)]
+    new = [(1000 + i, " ".join(rng.choice(talk) for _ in range(25))) for i in range(150)]
+    model = fitted(spark.createDataFrame(seen, "doc_id long, text string"))
+    found = license_scan(spark.createDataFrame(new, "doc_id long, text string"), model=model).count()
+    assert found <= 3
+
+
 def test_few_documents(spark):
     one = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     assert {(r.doc_id, r.family) for r in license_scan(one).collect()} == {(1, "MIT")}
