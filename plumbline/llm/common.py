@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.tables import written
 
-__all__ = ["LOWER", "SPACE", "SPACE_RUN", "UPPER", "ascii_lower", "least_hashes", "shuffle_partitions", "words", "written"]
+__all__ = ["LOWER", "SPACE", "SPACE_RUN", "UPPER", "ascii_lower", "fresh", "least_hashes", "shuffle_partitions", "words", "written"]
 
 #: ASCII letters and the six ASCII white-space characters of the word rule [^\x20\x09-\x0D]+.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -30,6 +30,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores as no column shares it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def least_hashes(hash_: Column, wanted: int, rows: int) -> Column:
     """A bound below which the ``wanted`` smallest of at least ``rows`` 64-bit hashes lie, with all but no doubt: eight times as many are expected there.
 

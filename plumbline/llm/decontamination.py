@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import words
+from plumbline.llm.common import fresh, words
 
 #: Weight 6; together they find every alignment of WINDOW tokens with up to two substitutions, and 249 of 286 with three.
 MASKS = ("111111", "1101011001", "1011000111")
@@ -114,6 +114,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs(doc_id, text, ...)`` without the contaminated documents."""
-    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text")).distinct()
-    clean = docs.join(found.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_text")), "left_anti")
-    return clean
+    doc, hash_ = fresh("_doc", docs.columns), fresh("_text_hash", docs.columns)
+    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(hash_)).distinct()
+    return docs.join(found.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(hash_)), "left_anti")

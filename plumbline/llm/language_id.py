@@ -2,14 +2,18 @@
 
 The network reads the bytes of one segment (a run without ASCII white space, A-Z lower-cased, cut every
 ``SEGMENT_BYTES`` bytes) in both directions and labels every position with log probabilities of the languages. A segment's vote is
-the mean over its positions; a document's probabilities are the normalised product of its segments' votes. As state starts anew at each
-segment, a worker labels each distinct one once and reuses its vote: whole texts are read, whatever their length.
+the mean over its positions. A document's language is the one with the largest sum of votes; its score is that language's probability by the *mean* vote of a segment,
+sharpened by a factor fitted to held-back training documents: so it tells how sure the network is of the text's segments, not how many there are.
+State starts anew at each segment: a worker labels each distinct one once and reuses its vote, which is what lets it read whole texts, whatever
+their length; context across segments is the price.
 
-Trained in numpy on the driver by backpropagation through time with Adam, from a bounded sample: at most ``max_docs`` documents a
-language, those with the smallest hash of their id, and at most ``max_segments`` segments a language of these.
+Trained in numpy on the driver by backpropagation through time with Adam, from a bounded sample: the ``max_langs`` most frequent languages, at most ``max_docs`` distinct rows of
+each, those with the smallest hash of id and text, at most ``doc_segments`` segments of each row, spread over its whole text, and at most ``max_segments`` of a language. A quarter of the
+rows is held back from training for the factor.
 
 Texts that are null or have no letter are ``und`` with score 0, as is everything where no labelled row exists. With one learned language all
-other texts get it with score 1. Rows without an id are never held out. Extra columns pass through.
+other texts get it with score 1. Ties go to the first language by name. Rows that repeat an id are labelled each on its own; rows without an id are never held out. Extra columns pass
+through, but for those named ``held_out``, ``lang_pred`` or ``score`` (in any case), which the results replace.
 """
 
 from __future__ import annotations
@@ -24,10 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from plumbline.llm.common import least_hashes, written
+
 SEGMENT_BYTES = 32
 HIDDEN = 16
 MAX_DOCS = 300
 MAX_SEGMENTS = 9_000
+MAX_LANGS = 200
+DOC_SEGMENTS = 200
+#: Factors on mean votes that are tried.
+SHARPNESS = [0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0]
 EPOCHS = 3
 BATCH = 256
 RATE = 0.01
@@ -159,29 +169,81 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
 
 
-def fitted(docs: DataFrame, max_docs: int = MAX_DOCS, max_segments: int = MAX_SEGMENTS) -> tuple[list[str], BiGru | None]:
-    """The learned languages and the network, from at most ``max_docs`` documents a language."""
-    learn = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    ids = learn.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("n"))
-    chosen = F.broadcast(ids.where(F.col("n") <= max_docs).select("doc_id").distinct())  # at most max_docs a language
-    rows = learn.join(chosen, "doc_id", "left_semi").select("lang", "text", "doc_id").collect()
-    kinds = sorted({r["lang"] for r in rows})
-    words, labels, rng = [], [], np.random.default_rng(0)
+def spread_segments(text: str, most: int) -> list[bytes]:
+    """At most ``most`` segments of a text, at even steps over the whole of it."""
+    found = segments(text)
+    step = max(1, -(-len(found) // most))
+    return found[::step]
+
+
+def sampler(most: int):
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [spread_segments(t, most) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("mark"), pa.array(words, pa.list_(pa.binary()))], ["lang", "mark", "segments"])
+
+    return sample
+
+
+def sampled(docs: DataFrame, max_docs: int, max_langs: int, doc_segments: int) -> DataFrame:
+    """(lang, mark, segments): the training rows, bounded by the three numbers."""
+    learn = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("doc_id", "text").alias("mark"))
+    langs = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    if not langs:
+        return docs.sparkSession.createDataFrame([], "lang string, mark long, segments array<binary>")
+    # hashes below a bound of their language hold its least ``max_docs``: only these few rows are ordered
+    few = F.lit(False)
+    for lang, n in langs.items():
+        few = few | ((F.col("lang") == lang) & least_hashes(F.col("mark"), max_docs, n))
+    marks = learn.where(few).select("lang", "mark").distinct()
+    first = marks.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))).where(F.col("n") <= max_docs).select("lang", "mark")
+    first = F.broadcast(written(first, "language-sample"))  # at most max_langs times max_docs rows
+    rows = learn.where(few).join(first, ["lang", "mark"], "left_semi").dropDuplicates(["lang", "mark"])
+    return rows.select("lang", "text", "mark").mapInArrow(sampler(doc_segments), "lang string, mark long, segments array<binary>")
+
+
+def sharpness(net: BiGru, rows: list[tuple[int, list[bytes]]]) -> float:
+    """The factor on mean votes under which held-back documents (language, segments) are likeliest."""
+    votes = []
+    for _, words in rows:
+        each = np.empty((len(words), len(net.w["c"])))
+        for at, x in by_length(words):
+            each[at] = net.votes(x)
+        votes.append(each.mean(0))
+    mean, y = np.array(votes), np.array([k for k, _ in rows])
+
+    def loss(factor: float) -> float:
+        z = factor * mean
+        z -= z.max(1, keepdims=True)
+        return float((np.log(np.exp(z).sum(1)) - z[np.arange(len(y)), y]).mean())
+
+    return min(SHARPNESS, key=loss) if len(rows) else 1.0
+
+
+def fitted(docs: DataFrame, max_docs: int = MAX_DOCS, max_segments: int = MAX_SEGMENTS, max_langs: int = MAX_LANGS, doc_segments: int = DOC_SEGMENTS) -> tuple[list[str], BiGru | None, float]:
+    """The learned languages, the network and the factor on mean votes."""
+    rows = sorted((r["lang"], r["mark"], [bytes(w) for w in r["segments"]]) for r in sampled(docs, max_docs, max_langs, doc_segments).collect())
+    kinds = sorted({lang for lang, _, _ in rows})
+    words, labels, kept_back, rng = [], [], [], np.random.default_rng(0)
     for k, kind in enumerate(kinds):
-        own = [w for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"])) if r["lang"] == kind for w in segments(r["text"])]
-        own = [own[i] for i in rng.permutation(len(own))[:max_segments]]
-        words += own
-        labels += [k] * len(own)
+        own = [(mark, found) for lang, mark, found in rows if lang == kind]
+        back = [found for mark, found in own if mark % 4 == 0 and found] if len(own) >= 8 else []
+        kept_back += [(k, found) for found in back]
+        mine = [w for mark, found in own if not (back and mark % 4 == 0) for w in found]
+        mine = [mine[i] for i in rng.permutation(len(mine))[:max_segments]]
+        words += mine
+        labels += [k] * len(mine)
     if len(kinds) < 2 or not words:
-        return kinds, None
-    return kinds, trained(words, np.array(labels), len(kinds))
+        return kinds, None, 1.0
+    net = trained(words, np.array(labels), len(kinds))
+    return kinds, net, sharpness(net, kept_back)
 
 
 class Labeller:
     """Document labels from remembered votes of segments."""
 
-    def __init__(self, kinds: list[str], weights: dict[str, np.ndarray] | None):
-        self.kinds, self.net = kinds, BiGru(weights) if weights else None
+    def __init__(self, kinds: list[str], weights: dict[str, np.ndarray] | None, factor: float = 1.0):
+        self.kinds, self.net, self.factor = kinds, BiGru(weights) if weights else None, factor
         self.place: dict[bytes, int] = {}
         self.table = np.zeros((1024, len(kinds)), np.float32)
 
@@ -211,24 +273,24 @@ class Labeller:
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            total = self.table[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)
-            p = np.exp(total - total.max())
+            mean = self.table[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].mean(0, dtype=np.float64)
+            p = np.exp(self.factor * (mean - mean.max()))
             k = int(p.argmax())
             names.append(self.kinds[k])
             scores.append(float(p[k] / p.sum()))
         return names, scores
 
 
-def identify_languages(docs: DataFrame, model: tuple[list[str], BiGru | None] | None = None) -> DataFrame:
+def identify_languages(docs: DataFrame, model: tuple[list[str], BiGru | None, float] | None = None) -> DataFrame:
     """``docs(doc_id, text, lang, ...)`` with ``held_out``, ``lang_pred`` and ``score``; ``model`` defaults to one fitted to ``docs``."""
-    kinds, net = model or fitted(docs)
+    kinds, net, factor = model or fitted(docs)
     weights = docs.sparkSession.sparkContext.broadcast(net.w if net else None)
     added = ("held_out", "lang_pred", "score")
     others = [c for c in docs.columns if c.lower() not in added]
     schema = T.StructType([docs.schema[c] for c in others] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(kinds, weights.value)
+        labeller = Labeller(kinds, weights.value, factor)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

@@ -8,7 +8,8 @@ joined with another line.
 Rules: a line's key is the line stripped of ASCII white space with A-Z lower-cased; keys of at least ``min_chars`` code
 points in at least ``min_docs`` documents lose their lines everywhere except in the document with the largest id. A key
 repeated inside the surviving document stays as often as it is there. Rows that repeat a doc_id are one document. Rows
-without an id are one document, smaller than any other. Null and empty texts are one empty line. Extra columns of the input pass through untouched.
+without an id are one document, smaller than any other. Null and empty texts are one empty line. Extra columns of the input pass through untouched, but
+for those named ``n_lines`` or ``n_dropped``, which the results replace.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACE, ascii_lower, written
+from plumbline.llm.common import SPACE, ascii_lower, fresh, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -152,10 +153,11 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, task_probes: int = TASK_PROBES) -> DataFrame:
     """``docs(doc_id, text, ...)`` with ``text`` cut to its kept lines and the added columns ``n_lines`` and ``n_dropped`` (long)."""
     drops = dropped_lines(docs, min_chars, min_docs, shard_keys, task_probes)
-    drops = drops.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_text_hash"), F.col("dropped").alias("_dropped"))
-    body = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    joined = body.join(drops.hint("shuffle_hash"), (F.coalesce(body["doc_id"], F.lit(NO_DOC)).cast("long") == F.col("_doc")) & (F.xxhash64(body["text"]) == F.col("_text_hash")), "left")
-    n_dropped = F.coalesce(F.size("_dropped"), F.lit(0)).cast("long")
-    kept = F.expr("array_join(filter(split(text, '\n', -1), (x, i) -> not array_contains(_dropped, i)), '\n')")
+    doc, hash_, gone = (fresh(name, docs.columns) for name in ("_doc", "_text_hash", "_dropped"))
+    drops = drops.select(F.col("doc").alias(doc), F.col("text_hash").alias(hash_), F.col("dropped").alias(gone))
+    body = docs.drop("n_lines", "n_dropped").withColumn("text", F.coalesce("text", F.lit("")))
+    joined = body.join(drops.hint("shuffle_hash"), (F.coalesce(body["doc_id"], F.lit(NO_DOC)).cast("long") == F.col(doc)) & (F.xxhash64(body["text"]) == F.col(hash_)), "left")
+    n_dropped = F.coalesce(F.size(gone), F.lit(0)).cast("long")
+    kept = F.expr(f"array_join(filter(split(text, '\n', -1), (x, i) -> not array_contains(`{gone}`, i)), '\n')")
     cut = joined.withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long")).withColumn("n_dropped", n_dropped)
-    return cut.withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept)).drop("_doc", "_text_hash", "_dropped")
+    return cut.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)).drop(doc, hash_, gone)

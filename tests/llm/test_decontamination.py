@@ -79,3 +79,10 @@ def test_empty_tables(spark):
     assert contaminated(docs, bench).count() == 0
     docs, bench = frames(spark, [(1, "a b")], [])
     assert contaminated(docs, bench).count() == 0 and decontaminate(docs, bench).count() == 1
+
+
+def test_clashing_columns(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    df = spark.createDataFrame([(1, item, "a", "b"), (2, "clean text of no item at all", "c", "d")], "doc_id long, text string, _doc string, _TEXT_HASH string")
+    kept = decontaminate(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert [tuple(r) for r in kept.collect()] == [(2, "clean text of no item at all", "c", "d")]
