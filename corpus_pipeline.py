@@ -2,6 +2,9 @@
 
 Every stage is (spark, docs, sf_dir) -> DataFrame and returns the columns of ``documents``, but for the last, which returns
 the packing. ``run`` writes each stage's result as a table and rereads it for the next.
+
+Line dedup comes before the Jaccard join: it takes lines that copies share from all but one of them, so that near copies meet the join with fewer words in common
+than their full texts have, and some no longer link. What they shared is gone from the corpus by then.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import fresh, written
 from plumbline.llm.decontamination import decontaminate
 from plumbline.llm.jaccard_join import jaccard_components
 from plumbline.llm.language_id import UNKNOWN, identify_languages
@@ -17,20 +20,28 @@ from plumbline.llm.line_dedup import line_dedup
 from plumbline.llm.packing import best_fit_pack
 from plumbline.llm.queries import table, tokenizer_path
 
-#: A language is rejected below this probability; with four languages, chance is 0.25.
-LEAST_SCORE = 0.35
+#: A language is rejected below this probability of its mean vote: no learned language stands out. With four languages chance is 0.25. Clean documents lie
+#: well above, as do those in two languages; letters without any learned language come down to chance.
+LEAST_SCORE = 0.3
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised: those without a letter or without a likely language go."""
-    found = identify_languages(docs)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    # other columns travel in one, so that none is taken for a result
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "lang")]
+    own = fresh("_own", docs.columns)
+    found = identify_languages(docs.select("doc_id", "text", "lang", F.struct(*others).alias(own)) if others else docs)
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*[F.col(own)[c].alias(c) if c in others else F.col(c) for c in docs.columns])
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that others repeat; n_chars follows the text."""
-    kept = line_dedup(docs)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    own = fresh("_own", docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    kept = line_dedup(docs.select("doc_id", "text", F.struct(*others).alias(own)) if others else docs.select("doc_id", "text"))
+    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return kept.select(*[n_chars if c == "n_chars" else F.col(own)[c].alias(c) if c in others else F.col(c) for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,18 +50,19 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows are told apart by id and text: different texts under one id, or without one, are documents of their own.
     """
     own = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    row, copies = fresh("_row", docs.columns), fresh("_copies", docs.columns)
     rows = docs.select(own.alias("doc_id"), "text")
-    groups = jaccard_components(rows).groupBy("doc_id", "n_shingles", "component_id").agg(F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_row")
-    ids = docs.select(own.alias("_row"), "doc_id").distinct()
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_row", "n_shingles", "_rows")
-    stay = groups.join(ids.hint("shuffle_hash"), "_row").groupBy("component_id").agg(F.min(rank).alias("r"))
+    groups = jaccard_components(rows).groupBy("doc_id", "n_shingles", "component_id").agg(F.count("*").alias("rows")).withColumnRenamed("doc_id", "row")
+    ids = docs.select(own.alias("row"), "doc_id").distinct()
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "n_shingles", "rows")
+    stay = groups.join(ids.hint("shuffle_hash"), "row").groupBy("component_id").agg(F.min(rank).alias("r"))
     # copies of one row: with words one of them stays
-    stay = written(stay.select("r._row", ((F.col("r.n_shingles") > 0) & (F.col("r._rows") > 1)).alias("_copies")), "stay")
-    kept = docs.withColumn("_row", own).join(stay.hint("shuffle_hash"), "_row")
-    if stay.where("_copies").isEmpty():
+    stay = written(stay.select(F.col("r.row").alias(row), ((F.col("r.n_shingles") > 0) & (F.col("r.rows") > 1)).alias(copies)), "stay")
+    kept = docs.withColumn(row, own).join(stay.hint("shuffle_hash"), row)
+    if stay.where(copies).isEmpty():
         return kept.select(*docs.columns)
-    first = kept.where("_copies").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("r"))
-    return kept.where("not _copies").select(*docs.columns).unionByName(first.select("r.*"))
+    first = kept.where(copies).groupBy(row).agg(F.min(F.struct(*docs.columns)).alias("r"))
+    return kept.where(~F.col(copies)).select(*docs.columns).unionByName(first.select("r.*"))
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

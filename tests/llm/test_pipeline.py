@@ -83,3 +83,25 @@ def test_unrelated_texts_under_one_id_stay(spark):
     want = [(None, say(k)) for k in (1, 2, 4, 5)] + [(20, say(0)), (23, say(3))] + [(7, say(k)) for k in range(6, 12)]
     want += [(40, say(50)), (None, ""), (None, ""), (42, None)]
     assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want))
+
+
+def test_stages_keep_columns_whatever_their_names(spark, tmp_path):
+    names = ["score", "lang_pred", "held_out", "_row", "_copies", "_own", "_doc", "n_lines", "rows", "component_id"]
+    text = ["ka to mi re ka to mi " * 4 + f"number {i}\nline of its own {i} and more words" for i in range(12)]
+    rows = [(i, t, "xx" if i % 2 else "yy", "s", len(t), *[f"{n}{i}" for n in names]) for i, t in enumerate(text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    spark.createDataFrame([(1, "nothing of this is held by any")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == df.columns
+    got = docs.collect()
+    assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+
+
+def test_letters_of_no_language_go(spark):
+    rows, _ = corpus()
+    docs = [(i, t, k, "s", len(t or "")) for i, t, k in rows]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, df, "").collect()}
+    assert {i for i, t, _ in rows if i < 500} <= kept and not kept & {500, 501, 502}
