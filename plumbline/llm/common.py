@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.tables import written
 
-__all__ = ["LOWER", "SPACE", "SPACE_RUN", "UPPER", "ascii_lower", "fresh", "least_hashes", "shuffle_partitions", "words", "written"]
+__all__ = ["LOWER", "SPACE", "SPACE_RUN", "UPPER", "ascii_lower", "fresh", "least_hashes", "light_batches", "shuffle_partitions", "words", "written"]
 
 #: ASCII letters and the six ASCII white-space characters of the word rule [^\x20\x09-\x0D]+.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -30,6 +33,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+@contextmanager
+def light_batches(spark: SparkSession, rows: int = 500, size: int = 8 << 20) -> Iterator[None]:
+    """Arrow batches of few rows and bytes for the jobs run inside: for rows that hold whole texts, of which some are very long."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """``name``, with as many underscores as no column shares it (in any case)."""
     taken = {c.lower() for c in columns}

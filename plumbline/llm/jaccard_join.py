@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.tables import small
-from plumbline.llm.common import written
+from plumbline.llm.common import light_batches, written
 from plumbline.llm.components import connected_components
 from plumbline.llm.shingles import chunks, mix, shingle_sets
 
@@ -226,7 +226,8 @@ def verified(texts: DataFrame, pairs: DataFrame, share: tuple[int, int]) -> Data
     known = with_ids(texts, ids, "left_semi")
     one, other = known.select(F.col("id").alias("a"), F.col("text").alias("text_a")), known.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(other.hint("shuffle_hash"), "b").join(one.hint("merge"), "a").select("a", "b", "text_a", "text_b")
-    return written(joined.mapInArrow(compare(share), "a long, b long").distinct(), "links")
+    with light_batches(texts.sparkSession):  # a row holds two texts
+        return written(joined.mapInArrow(compare(share), "a long, b long").distinct(), "links")
 
 
 def crowded(texts: DataFrame, share: tuple[int, int]) -> DataFrame:
