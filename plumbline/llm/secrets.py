@@ -146,8 +146,11 @@ def secret_scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     source = docs.select(*others, F.coalesce("text", F.lit("")).alias(own))
     schema = T.StructType([f for f in source.schema if f.name != own] + T._parse_datatype_string(FOUND).fields)
     found = written(source.mapInArrow(scanner(own), schema), "secrets")
-    linked = linked_weak(found, scope)
-    joined = found.join(linked.hint("shuffle_hash"), "row_sha256", "left")
+    # texts without weak spans need no join; the table of the others is written, so that many copies of one text are split
+    linked = written(linked_weak(found, scope), "linked")
+    none = F.expr("cast(null as array<struct<kind:int,start:int,end:int>>)").alias("linked")
+    asked = found.where("row_sha256 is not null").join(linked.hint("shuffle_hash"), "row_sha256", "left")
+    joined = asked.unionByName(found.where("row_sha256 is null").select("*", none))
     spans = F.concat("strong", F.coalesce("linked", F.expr("cast(array() as array<struct<kind:int,start:int,end:int>>)")))
     names = F.array(*[F.lit(k) for k in KINDS])
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
