@@ -14,6 +14,7 @@ from plumbline.llm.language_id import identify_languages
 from plumbline.llm.licenses import license_scan
 from plumbline.llm.line_dedup import line_dedup
 from plumbline.llm.jaccard_join import jaccard_components
+from plumbline.llm.merkle import FAN, FIELDS, manifest, verified
 from plumbline.llm.minhash import fingerprint_pairs, packed
 from plumbline.llm.packing import best_fit_pack
 from plumbline.llm.secrets import secret_scan
@@ -77,6 +78,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proofs = verified(manifest(table(spark, sf_dir, "documents")))
+    return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 OP10_SQL = r"""
 with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
@@ -122,6 +128,63 @@ from documents d join reached r on r.doc_id = d.doc_id left join sizes z on z.do
 """
 
 
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes: half a byte at a time, by the table of the reflected polynomial."""
+    table_ = []
+    for k in range(16):
+        for _ in range(4):
+            k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
+        table_.append(k)
+    digits = f"hex(encode({text}))"
+    halves = f"list_transform(range(1, length({digits}) + 1), lambda i: instr('0123456789ABCDEF', {digits}[(i + 1 - 2 * ((i + 1) % 2))::int]) - 1)"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {halves}), lambda c, b: xor(c >> 4, {table_}[(xor(c, b) & 15) + 1]::bigint)), 4294967295)"
+
+
+#: Levels of the trees in SQL: enough for 8 ** OP11_LEVELS rows of one language.
+OP11_LEVELS = 8
+
+
+def op11_sql() -> str:
+    field = lambda c, x: f"case when {c} is null then '-' else strlen({x}::varchar) || ':' || ({x}::varchar) end"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    digest = lambda changed: "sha256(" + " || ".join(field(c, changed.get(c, c)) for c in FIELDS) + ")"
+    steps = [
+        f"""rows_ as (select doc_id, lang, {digest({})} as leaf, case when {crc32_sql("doc_id::varchar")} % 3 = 0 then {digest({"text": lowered})} end as tampered from documents),
+  a0 as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as n, leaf as digest from rows_)"""
+    ]
+
+    def levels(tag: str, key: str) -> None:
+        for k in range(OP11_LEVELS):
+            steps.append(f"""{tag}s{k} as (select {key}, n // {FAN} as m, list(digest order by n) as kids, count(*) over (partition by {key}) as runs from {tag}{k} group by {key}, m)""")
+            steps.append(f"""{tag}{k + 1} as (select {key}, m as n, case when runs = 1 and len(kids) = 1 then kids[1] else sha256(array_to_string(kids, '')) end as digest from {tag}s{k})""")
+
+    levels("a", "lang")
+    steps.append(f"b0 as (select 0 as one, lang, digest, row_number() over (order by lang nulls first) - 1 as n from a{OP11_LEVELS})")
+    levels("b", "one")
+
+    def proof(tag: str, key: str, source: str, name: str) -> None:
+        """Siblings before and behind the selected child at each level."""
+        joins, left, right, up = [], [], [], []
+        for k in range(OP11_LEVELS):
+            joins.append(f"join {tag}s{k} on {tag}s{k}.{key} is not distinct from r.{key} and {tag}s{k}.m = r.n // {FAN ** (k + 1)}")
+            at = f"(r.n // {FAN**k} % {FAN})::int"
+            left.append(f"array_to_string({tag}s{k}.kids[:{at}], '')")
+            right.append(f"array_to_string({tag}s{k}.kids[{at} + 2:], '')")
+            up.append(f"not ({tag}s{k}.runs = 1 and len({tag}s{k}.kids) = 1)")
+        columns = [f"{x} as {name}{c}{k}" for k in range(OP11_LEVELS) for c, x in (("l", left[k]), ("r", right[k]), ("u", up[k]))]
+        steps.append(f"{name} as (select r.*, {', '.join(columns)} from {source} r {' '.join(joins)})")
+
+    proof("b", "one", "b0", "p")
+    proof("a", "lang", "a0", "q")
+    sides = [(n, k) for n in ("q", "p") for k in range(OP11_LEVELS)]
+    steps.append(f"j as (select q.*, p.digest as subroot, b{OP11_LEVELS}.digest as root, {', '.join(f'p.p{c}{k}' for c in 'lru' for k in range(OP11_LEVELS))} from q join p on q.lang is not distinct from p.lang cross join b{OP11_LEVELS})")
+    steps.append("f0 as (select *, coalesce(tampered, leaf) as f from j)")
+    for i, (n, k) in enumerate(sides):
+        steps.append(f"f{i + 1} as (select * replace (case when {n}u{k} then sha256({n}l{k} || f || {n}r{k}) else f end as f) from f{i})")
+    siblings = " || ".join(f"{n}l{k} || {n}r{k}" for n, k in sides)
+    return f"with {', '.join(steps)} select doc_id, leaf, subroot, root, sha256({siblings}) as proof_sha256, f as folded_root, f = root as verified from f{len(sides)}"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -134,8 +197,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_line_dedup": op10_line_dedup,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_jaccard_join": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op9_jaccard_join": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_merkle_manifest": op11_sql()}
