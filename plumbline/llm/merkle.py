@@ -31,8 +31,6 @@ LEVELS = 3
 #: One in so many rows is tampered with, told by the CRC-32 of the id.
 TAMPERED = 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-#: Ways of at most so many languages are broadcast.
-FEW = 100_000
 
 
 def field(value: Column) -> Column:

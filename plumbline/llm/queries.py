@@ -18,6 +18,7 @@ from plumbline.llm.merkle import FAN, FIELDS, manifest, verified
 from plumbline.llm.minhash import fingerprint_pairs, packed
 from plumbline.llm.packing import best_fit_pack
 from plumbline.llm.secrets import secret_scan
+from plumbline.llm.spelling import spelling_variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +84,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = r"""
 with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
@@ -185,6 +190,31 @@ def op11_sql() -> str:
     return f"with {', '.join(steps)} select doc_id, leaf, subroot, root, sha256({siblings}) as proof_sha256, f as folded_root, f = root as verified from f{len(sides)}"
 
 
+OP13_SQL = rf"""
+with recursive runs as (
+  select doc_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+'),
+                                       lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) as run
+  from documents),
+counted as (select doc_id, run, count(*) as k from runs where length(run) >= 6 group by 1, 2),
+hashed as (select *, {crc32_sql("coalesce(doc_id::varchar, '') || ':' || run")} as h from counted),
+cut as (select case when h % 199 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, k from hashed),
+words as (select word, cast(sum(k) as bigint) as n from cut where length(word) >= 6 group by 1 having sum(k) >= 5),
+gaps as (select word, n, i, left(word, i::int - 1) || substr(word, i::int + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+near as (
+  select a.word, b.word as near, b.n as near_n from gaps a join gaps b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select g.word, w.word, w.n from gaps g join words w on g.rest = w.word
+  union select w.word, g.word, g.n from gaps g join words w on g.rest = w.word),
+best as (select word, count(*) as n_near, arg_min(near, (-near_n, near)) as near, max(near_n) as near_n from near group by 1),
+formed as (
+  select w.word, w.n, coalesce(b.n_near, 0) as n_near, case when b.near_n >= 5 * w.n then b.near end as form, case when b.near_n >= 5 * w.n then b.near_n end as form_n
+  from words w left join best b on b.word = w.word),
+way as (
+  select word, word as at, form as ahead from formed
+  union all select y.word, y.ahead, f.form from way y join formed f on f.word = y.ahead)
+select f.word, f.form, y.at as root, f.n, f.n_near, f.form_n from formed f join way y on y.word = f.word and y.ahead is null
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -198,8 +228,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_jaccard_join": op9_jaccard_join,
         "op10_line_dedup": op10_line_dedup,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_jaccard_join": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_merkle_manifest": op11_sql()}
+    return {"op9_jaccard_join": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_merkle_manifest": op11_sql(), "op13_spelling_variants": OP13_SQL}
