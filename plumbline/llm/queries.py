@@ -17,6 +17,7 @@ from plumbline.llm.jaccard_join import jaccard_components
 from plumbline.llm.merkle import FAN, FIELDS, manifest, verified
 from plumbline.llm.minhash import fingerprint_pairs, packed
 from plumbline.llm.packing import best_fit_pack
+from plumbline.llm.sanitisation import sanitisation, spans_text
 from plumbline.llm.secrets import secret_scan
 from plumbline.llm.spelling import spelling_variants
 
@@ -84,6 +85,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitisation(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("spans", spans_text(F.col("spans"))).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -228,6 +234,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_jaccard_join": op9_jaccard_join,
         "op10_line_dedup": op10_line_dedup,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_sanitisation": op12_sanitisation,
         "op13_spelling_variants": op13_spelling_variants,
     }
 
