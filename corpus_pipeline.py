@@ -61,7 +61,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     kept = docs.withColumn(row, own).join(stay.hint("shuffle_hash"), row)
     if stay.where(copies).isEmpty():
         return kept.select(*docs.columns)
-    first = kept.where(copies).groupBy(row).agg(F.min(F.struct(*docs.columns)).alias("r"))
+    whole = F.struct(*docs.columns)  # of rows that differ elsewhere the first as JSON: a map has no order of its own
+    first = kept.where(copies).groupBy(row).agg(F.min_by(whole, F.to_json(whole)).alias("r"))
     return kept.where(~F.col(copies)).select(*docs.columns).unionByName(first.select("r.*"))
 
 
