@@ -46,6 +46,8 @@ SUPPORT = 3
 SHARE = 0.9
 #: Matches whose places are summed at a time; code points of a piece of a text.
 CHUNK, PIECE = 128, 4_096
+#: Terms are counted in one of so many texts first: what is too common there is so in all.
+FIRST = 16
 #: Terms, or ids of texts, that are broadcast at most.
 FEW_TERMS, FEW_TEXTS = 100_000, 1_000_000
 SPAN = "struct<start: bigint, end: bigint, value: string>"
@@ -163,7 +165,9 @@ def few(table: DataFrame, most: int) -> DataFrame:
 def text_terms(docs: DataFrame) -> DataFrame:
     """(text_hash, term) of the distinct terms of each text."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.xxhash64(text).alias("text_hash"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
+    # the hash before the explosion: beside it, it would be worked out for each term
+    cut = docs.select(F.xxhash64(text).alias("text_hash"), F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))).alias("terms"))
+    return cut.select("text_hash", F.explode("terms").alias("term"))
 
 
 def sensitive_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame | None:
@@ -179,10 +183,17 @@ def sensitive_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, s
     beside = written(beside.where(F.col("windows") >= support), "beside")
     if beside.isEmpty():
         return None
-    asked = written(beside.select("term").distinct(), "asked-terms")
+    texts = found.groupBy("text_hash").agg(*[F.any_value(f"has_{c}").cast("int").alias(c) for c in CLASSES]).agg(F.count("*").alias("all"), *[F.sum(c).alias(c) for c in CLASSES]).first()
+    # a term in more texts than this discloses nothing: those seen in as many beside any mention, or in a part of the texts, need no count over all of them
+    most = F.col("texts_te") * F.pow(F.lit(float(texts["all"])) / F.col("texts_e"), F.lit(1 - share)) * (1 + 1e-6)
+    asked = beside.groupBy("term").agg(F.max(most).alias("most"))
+    anywhere = mentions.select("text_hash", F.explode("terms").alias("t")).select("text_hash", F.lower("t").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("least"))
+    asked = written(asked.join(anywhere.hint("shuffle_hash"), "term").where("least <= most").select("term", "most"), "asked-terms")
+    part = text_terms(docs.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FIRST)) == 0))
+    seen_in_part = part.join(few(asked, FEW_TERMS), "term").distinct().groupBy("term", "most").agg(F.count("*").alias("least")).where("least > most").select("term")
+    asked = written(asked.join(seen_in_part.hint("shuffle_hash"), "term", "left_anti").select("term"), "rarer-terms")
     told = text_terms(docs).join(few(asked, FEW_TERMS), "term").distinct().groupBy("term").agg(F.count("*").alias("texts_t"))
     told = written(told, "term-texts")
-    texts = found.groupBy("text_hash").agg(*[F.any_value(f"has_{c}").cast("int").alias(c) for c in CLASSES]).agg(F.count("*").alias("all"), *[F.sum(c).alias(c) for c in CLASSES]).first()
     beside_class = spelt.groupBy("entity", class_of(F.col("as_written")).alias("class")).agg(F.count_distinct("text_hash").alias("texts_ce"))
     all_ = F.lit(float(texts["all"]))
     of_class = F.coalesce(*[F.when(F.col("class") == c, F.lit(float(texts[c] or 0))) for c in CLASSES])
