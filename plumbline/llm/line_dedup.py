@@ -133,7 +133,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
         raise ValueError("min_docs must be from 1 to 255")
     line = F.expr("transform(split(_text, '\n', -1), (x, i) -> struct(i as pos, x as line))")
     cut = docs.select(F.coalesce("doc_id", F.lit(NO_DOC)).cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("_text"))
-    cut = cut.select("doc", F.xxhash64("_text").alias("text_hash"), F.explode(line).alias("l"))
+    # the hash before the explosion: beside it, it would be worked out for each line
+    cut = cut.select("doc", F.xxhash64("_text").alias("text_hash"), line.alias("lines")).select("doc", "text_hash", F.explode("lines").alias("l"))
     keyed = cut.select("doc", "text_hash", F.col("l.pos").alias("pos"), line_key(F.col("l.line")).alias("key"))
     keyed = keyed.where(F.length("key") >= min_chars).select("doc", "text_hash", "pos", F.xxhash64("key").alias("hash"))
     keyed = written(keyed, "lines")
@@ -158,6 +159,8 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     body = docs.drop("n_lines", "n_dropped").withColumn("text", F.coalesce("text", F.lit("")))
     joined = body.join(drops.hint("shuffle_hash"), (F.coalesce(body["doc_id"], F.lit(NO_DOC)).cast("long") == F.col(doc)) & (F.xxhash64(body["text"]) == F.col(hash_)), "left")
     n_dropped = F.coalesce(F.size(gone), F.lit(0)).cast("long")
-    kept = F.expr(f"array_join(filter(split(text, '\n', -1), (x, i) -> not array_contains(`{gone}`, i)), '\n')")
+    # the lines are split once, and the places to keep are found by hashing: linear in the lines
+    places = f"array_except(sequence(0, size(lines) - 1), `{gone}`)"
+    kept = F.expr(f"transform(array(split(text, '\n', -1)), lines -> array_join(transform({places}, i -> lines[i]), '\n'))[0]")
     cut = joined.withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long")).withColumn("n_dropped", n_dropped)
     return cut.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)).drop(doc, hash_, gone)

@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from plumbline.llm.line_dedup import line_dedup, perfect_seeds, slots
+from pyspark.sql import functions as F
 
 
 def plain(rows):
@@ -41,6 +42,12 @@ def test_clashing_columns(spark):
     assert [(r.n_lines, r.n_dropped, r._doc, r._text_hash, r._DROPPED) for r in got] == [(2, 1, "a", "b", "c")] * 3 + [(2, 0, "a", "b", "c")]
 
 
+def test_many_lines_in_one_document(spark):
+    text = "\n".join(f"line number {i} of a very long document" for i in range(200_000))
+    got = line_dedup(spark.createDataFrame([(i, text) for i in range(3)], "doc_id long, text string")).select("doc_id", "n_lines", "n_dropped", (F.length("text") == len(text)).alias("whole")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(0, 200_000, 200_000, False), (1, 200_000, 200_000, False), (2, 200_000, 0, True)]
+
+
 def test_perfect_hash_is_minimal():
     rng = np.random.default_rng(1)
     for n in (1, 2, 3, 7, 100, 5000):
