@@ -2,7 +2,7 @@
 
 A page is cut into blocks at block-level tags. Structure only rejects: blocks inside a part that is never main text (menu, header,
 footer, sidebar, form, script, comment section, ...) are out before both passes. First pass: link density, length and stop-word density make every
-other block, inside an article element or not, *good*, *bad* or, where it is too short to tell or long without links and stop words, *undecided*. Second pass: an undecided block takes the label of the nearest
+other block, inside an article element or not, *good*, *bad* or, where it is too short to tell, long without links and stop words, or a heading or paragraph of an article that is mostly links, *undecided*. Second pass: an undecided block takes the label of the nearest
 decided one: among the blocks of its own article or main element, if any of these is decided; else among all of the page, where
 rejected ones count as bad. Equally near ones that differ make it bad.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 import string
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -42,6 +43,8 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 #: Elements whose end is implied by the next of their kind or by a block.
 OPEN_ENDED = frozenset("p li dt dd tr td th option".split())
 REGION = frozenset("article main".split())
+#: Elements of an article whose text may be a link as a whole.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: Words that name, in a class, id or role, what is around an article.
 AROUND = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion promoted banner banners cookie cookies consent gdpr notice notices alert alerts"
@@ -102,6 +105,8 @@ class Block(NamedTuple):
     rejected: bool
     #: Number of the innermost article or main element around it, 0 for none.
     region: int
+    #: A heading or paragraph of an article or main element.
+    prose: bool = False
 
 
 def blocks(page: str) -> list[Block]:
@@ -109,6 +114,7 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     pieces: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, int]] = []  # open block elements; whether each is away from the article; its region
+    opened: Counter[str] = Counter()  # open elements by name: an end tag of none is passed over without a search
     away = links = regions = skipped = 0
     skip = ""  # an inline element beside the article, and how many of its name are open in it
 
@@ -117,7 +123,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(p for p, _ in pieces)).split())
             if text:
                 linked = sum(len(" ".join(html.unescape(p).split())) for p, is_link in pieces if is_link)
-                found.append(Block(text, linked, away > 0, stack[-1][2] if stack else 0))
+                found.append(Block(text, linked, away > 0, stack[-1][2] if stack else 0, bool(stack) and stack[-1][2] > 0 and stack[-1][0] in PROSE))
             pieces.clear()
 
     def add(text: str) -> None:
@@ -161,20 +167,23 @@ def blocks(page: str) -> list[Block]:
         links = skipped = 0  # inline elements end with their block
         region = stack[-1][2] if stack else 0
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    away -= sum(x for _, x, _ in stack[i:])
-                    del stack[i:]
-                    break
+            last = None
+            while opened[name] and last != name:
+                last, beside, _ = stack.pop()
+                away -= beside
+                opened[last] -= 1
         elif not empty:
             if stack and (stack[-1][0] == "p" or (name in OPEN_ENDED and stack[-1][0] == name)):
-                away -= stack.pop()[1]
+                last, beside, _ = stack.pop()
+                away -= beside
+                opened[last] -= 1
             # a page's body or article is never beside itself
             beside = (name in AWAY and not (name == "header" and region)) or (name not in ("html", "body", "article", "main") and around(m[3], region > 0))
             if name in REGION:
                 regions += 1
                 region = regions
             stack.append((name, beside, region))
+            opened[name] += 1
             away += beside
     flush()
     return found
@@ -184,7 +193,7 @@ def first_label(block: Block) -> int:
     """The label of a block by its own links, length and stop words."""
     text = block.text
     if block.linked > LINK_DENSITY * len(text):
-        return BAD
+        return UNDECIDED if block.prose else BAD
     if len(text) < SHORT_CHARS:
         return UNDECIDED
     tokens = [w.strip(EDGES).lower() for w in text.split()]

@@ -55,6 +55,18 @@ def test_inline_parts_end_by_depth_and_with_their_block():
     assert time.process_time() - began < 3
 
 
+def test_links_that_are_headings_or_paragraphs_of_the_article_stay():
+    page = f"<nav><p><a href=/>Home</a></p></nav><article><h1><a href=/x>The title</a></h1><p>{STOPPY}</p><p><a href=/y>All of it</a></p><table><tr><td>1<td>2</table><p>{STOPPY}</p><ul><li><a href=/z>Another story</a></li></ul></article>"
+    assert main_text(page) == f"The title\n{STOPPY}\nAll of it\n1\n2\n{STOPPY}"
+
+
+def test_stray_end_tags_are_passed_over():
+    began = time.process_time()
+    assert main_text("<div>" * 50_000 + "</p>" * 100_000 + STOPPY) == STOPPY
+    assert main_text("<div>" * 50_000 + "</section></div>" * 50_000 + f"<p>{STOPPY}") == STOPPY
+    assert time.process_time() - began < 6
+
+
 def plain_kept(specs):
     """The rules in plain loops over (words, stop words, linked characters, rejected, region)."""
 
