@@ -140,10 +140,10 @@ def linked_weak(found: DataFrame, scope: int) -> DataFrame:
 
 def secret_scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``docs(doc_id, text, ...)`` without the text, with n_assign, n_access, n_hex, base_sha256 and ``secrets``: structs of kind, start, end by start, then kind."""
-    names = {"row_sha256", "n_assign", "n_access", "n_hex", "base_sha256", "strong", "weak", "linked", "secrets"}
-    others = [c for c in docs.columns if c.lower() != "text" and c.lower() not in names]
-    own = fresh("_text", docs.columns)
-    source = docs.select(*others, F.coalesce("text", F.lit("")).alias(own))
+    others = [c for c in docs.columns if c.lower() not in {"text", "n_assign", "n_access", "n_hex", "base_sha256", "secrets"}]
+    # other columns travel in one, so that none is taken for a column of ours
+    own, rest = fresh("_text", docs.columns), fresh("_rest", docs.columns)
+    source = docs.select((F.struct(*others) if others else F.lit(None).cast("int")).alias(rest), F.coalesce("text", F.lit("")).alias(own))
     schema = T.StructType([f for f in source.schema if f.name != own] + T._parse_datatype_string(FOUND).fields)
     found = written(source.mapInArrow(scanner(own), schema), "secrets")
     # texts without weak spans need no join; the table of the others is written, so that many copies of one text are split
@@ -155,4 +155,4 @@ def secret_scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     names = F.array(*[F.lit(k) for k in KINDS])
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     named = F.transform(ordered, lambda s: F.struct(F.element_at(names, s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return joined.select(*others, "n_assign", "n_access", "n_hex", "base_sha256", named.alias("secrets"))
+    return joined.select(*[F.col(rest)[c].alias(c) for c in others], "n_assign", "n_access", "n_hex", "base_sha256", named.alias("secrets"))

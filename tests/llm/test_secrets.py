@@ -87,7 +87,14 @@ def test_linking_agrees_with_plain_loops(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, f"{KEY} {OPAQUE}", "mine", 7, "x")], "doc_id long, text string, _text string, Strong int, secrets string")
     (r,) = secret_scan(df).collect()
-    assert r._text == "mine" and [s.kind for s in r.secrets] == ["access", "opaque"] and "Strong" not in r.asDict()
+    assert r._text == "mine" and [s.kind for s in r.secrets] == ["access", "opaque"] and r.Strong == 7
+
+
+def test_names_of_helper_columns_and_maps_pass(spark):
+    kind = "doc_id long, text string, strong string, weak int, linked int, row_sha256 string, m map<string,int>"
+    df = spark.createDataFrame([(1, f"{KEY} {OPAQUE}", "s", 1, 2, "h", {"a": 1})] * 2, kind)
+    for r in secret_scan(df).collect():
+        assert (r.strong, r.weak, r.linked, r.row_sha256, r.m) == ("s", 1, 2, "h", {"a": 1}) and [s.kind for s in r.secrets] == ["access", "opaque"]
 
 
 def test_query_digest(spark, tmp_path):
