@@ -8,9 +8,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.tables import scratch_path, written
+from plumbline.functions.tables import drop, scratch_path, written
 
-__all__ = ["LOWER", "SPACE", "SPACE_RUN", "UPPER", "ascii_lower", "fresh", "least_hashes", "light_batches", "scratch_path", "shuffle_partitions", "words", "written"]
+__all__ = ["LOWER", "SPACE", "SPACE_RUN", "UPPER", "ascii_lower", "drop", "fresh", "least_hashes", "light_batches", "scratch_path", "shuffle_partitions", "words", "written"]
 
 #: ASCII letters and the six ASCII white-space characters of the word rule [^\x20\x09-\x0D]+.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -34,8 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.tables import small
-from plumbline.llm.common import light_batches, written
+from plumbline.llm.common import drop, light_batches, written
 from plumbline.llm.components import connected_components
 from plumbline.llm.shingles import chunks, mix, shingle_sets
 
@@ -227,19 +226,21 @@ def verified(texts: DataFrame, pairs: DataFrame, share: tuple[int, int]) -> Data
     one, other = known.select(F.col("id").alias("a"), F.col("text").alias("text_a")), known.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(other.hint("shuffle_hash"), "b").join(one.hint("merge"), "a").select("a", "b", "text_a", "text_b")
     with light_batches(texts.sparkSession):  # a row holds two texts
-        return written(joined.mapInArrow(compare(share), "a long, b long").distinct(), "links")
+        edges = written(joined.mapInArrow(compare(share), "a long, b long").distinct(), "links")
+    drop(ids)
+    return edges
 
 
 def crowded(texts: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """(key, about) of signatures that very many sets share, with about how many: for broadcast.
+    """(key, about) of signatures that very many sets share, with about how many; written.
 
     Found on one in ``SAMPLED`` sets. This only decides where their rows are counted: rows of such a signature are dealt to ``SALTS`` tasks and take the estimate as
     their count, which serves as well, as counts only order the hot signatures, alike for all sets. No row is left out. A signature told here has ``CROWD`` sets in the
-    sample, so that the table has at most one row for each ``CROWD`` signatures of the sample.
+    sample, so that the table has at most one row for each ``CROWD`` signatures of the sample; where these are too many to broadcast, they meet the signatures in a shuffle join.
     """
     some = texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).mapInArrow(sign(share), "key long, id long, band short, spare short")
     found = some.groupBy("key").agg((F.count("*") * SAMPLED).alias("about")).where(F.col("about") >= CROWD * SAMPLED)
-    return small(written(found, "crowded"), BROADCAST_IDS)
+    return written(found, "crowded")
 
 
 def group_pairs(shared: DataFrame) -> DataFrame:
@@ -259,31 +260,36 @@ def shingle_links(docs: DataFrame, share: tuple[int, int] = SHARE) -> tuple[Data
     classes = written(classes, "equal-sets")
     sets = described.join(classes.hint("shuffle_hash"), ["n", "s1", "s2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     sets = written(sets, "classes")
+    drop(described, classes)
     # ids none of whose rows stands for its class
     copies = written(sets.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < id and high < id").select("id"), "copies")
     own = with_ids(texts, copies, "left_anti")
     hottest = crowded(own, share)
-    keys = own.mapInArrow(sign(share), "key long, id long, band short, spare short").join(hottest, "key", "left")
+    keys = own.mapInArrow(sign(share), "key long, id long, band short, spare short").join(hottest.hint("broadcast" if hottest.count() <= BROADCAST_IDS else "merge"), "key", "left")
     salt = F.when(F.col("about").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0)
     counted = keys.withColumn("salt", salt).withColumn("cnt", F.coalesce("about", F.count("*").over(Window.partitionBy("key", "salt")))).drop("salt", "about")
     shared = written(counted.where("cnt > 1"), "signatures")
+    drop(copies, hottest)
 
     # each set leaves out as many of its hottest signatures as it can spare
-    hottest = Window.partitionBy("id", "band").orderBy(F.desc("cnt"), "key")
-    hot = shared.where(F.col("cnt") > HOT).withColumn("n", F.row_number().over(hottest)).where("n > spare")
+    by_count = Window.partitionBy("id", "band").orderBy(F.desc("cnt"), "key")
+    hot = shared.where(F.col("cnt") > HOT).withColumn("n", F.row_number().over(by_count)).where("n > spare")
     hot = written(hot.select("key", "id", "band").distinct(), "hot")
     hubs = written(hot.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("cnt")).where("cnt > 1"), "hubs")
     spokes = hot.join(hubs.hint("merge"), "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     pairs = written(group_pairs(shared).unionByName(spokes).distinct(), "pairs")
+    drop(shared, hubs)
     edges = verified(texts, pairs, share)
 
     # what the hubs left apart: sets of one hot signature in different components, by block pairs of their sketches
     component = connected_components(edges)
     placed = hot.join(component.hint("shuffle_hash"), "id", "left").select("key", "id", "band", F.coalesce("component", "id").alias("component"))
     placed = written(placed, "placed")
+    drop(hot, component)
     torn = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("hub"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low < high")
     torn = written(torn, "torn")
     open_ = written(placed.join(torn.hint("shuffle_hash"), "key").where("id <> hub").select("key", "id", "band", "component", "blocks"), "open")
+    drop(placed, torn)
     asked = written(open_.groupBy("id").agg(F.sort_array(F.collect_set("band")).alias("bands")), "asked")
     few = asked.count() <= BROADCAST_IDS
     sketches = texts.join(asked.hint("broadcast" if few else "shuffle_hash"), "id").mapInArrow(sketch(share), "id long, band short, n int, sketch binary")
@@ -293,9 +299,12 @@ def shingle_links(docs: DataFrame, share: tuple[int, int] = SHARE) -> tuple[Data
     dealt = dealt.join(sketches.hint("shuffle_hash"), ["id", "band"])
     across = dealt.groupBy("key", "i", "j").applyInArrow(nearby(share), "a long, b long").distinct()
     across = written(across.join(pairs.hint("shuffle_hash"), ["a", "b"], "left_anti"), "across")
+    drop(pairs, open_, asked)
     if across.isEmpty():
         return sets, edges
-    return sets, edges.unionByName(verified(texts, across, share))
+    more = verified(texts, across, share)
+    drop(across)
+    return sets, edges.unionByName(more)
 
 
 def jaccard_components(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:

@@ -73,6 +73,12 @@ def test_repeated_rows_and_empty_tables(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_repeated_rows_with_a_map(spark):
+    rows = [(1, "kato mire katomi", {"a": 2}), (1, "kato mire katomi", {"a": 1}), (2, "schung verei", None), (2, "schung verei", None)]
+    kept = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>"), "")
+    assert sorted((r.doc_id, r.m) for r in kept.collect()) == [(1, {"a": 1}), (2, None)]
+
+
 def test_unrelated_texts_under_one_id_stay(spark):
     say = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
     rows = [(None, say(k)) for k in range(6)] + [(7, say(k)) for k in range(6, 12)] + [(20 + k, say(k)) for k in (0, 3, 8)]
