@@ -7,13 +7,16 @@ of the ranges (a few thousand rows a group at most) carry the sums on. ``scores(
 
 from __future__ import annotations
 
+import hashlib
 import math
-from functools import reduce
+from functools import cache, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import logit
+from plumbline.functions.tables import written
 from plumbline.params import PARAMS
 
 GROUP = ["dataset", "detector"]
@@ -27,7 +30,7 @@ def drop_unscored(samples: DataFrame, detectors: list[str], keys: list[str]) ->
 def measurable(scores: DataFrame, group: list[str] = GROUP, least: int = PARAMS.min_samples) -> DataFrame:
     """Rows of the groups with ``least`` samples and both labels."""
     kept = scores.groupBy(*group).agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    return scores.join(kept.where((F.col("n") >= least) & (F.col("low") < F.col("high"))).select(*group), group, "left_semi")
+    return scores.join(kept.where((F.col("n") >= least) & (F.col("low") < F.col("high"))).select(*group).hint("merge"), group, "left_semi")
 
 
 def by_score(scores: DataFrame, group: list[str] = GROUP) -> DataFrame:
@@ -36,9 +39,30 @@ def by_score(scores: DataFrame, group: list[str] = GROUP) -> DataFrame:
     return kept.groupBy(*group, "score").agg(F.sum("label").cast("double").alias("tp"), F.sum(1 - F.col("label")).cast("double").alias("fp"))
 
 
-def score_range(score: Column) -> Column:
-    """Number of a range of scores, rising with the score: equal steps of log odds, so that scores crowded at 0 or 1 are dealt too."""
-    return F.floor(64 * logit(score, 1e-12)).cast("int")
+#: Cells of a range, about; ranges of a group at most; splitters that are passed over at a time; groups whose splitters are broadcast at most (8 KB each).
+RANGE_CELLS, RANGES, STRIDE, SPLITTERS = 2_048, 1_024, 32, 2_000
+
+
+def with_ranges(cells: DataFrame, group: list[str] = GROUP) -> DataFrame:
+    """Written ``cells(group, score, ...)`` with ``range``, a number that rises with the score: ranges of a group hold about as many cells each, wherever its scores crowd.
+
+    A quantile sketch of each group, merged from those of all tasks, gives the splitters. They are written: the ranges are the same in whatever reads them.
+    """
+    sketch = F.percentile_approx("score", [k / RANGES for k in range(1, RANGES)], 8 * RANGES)
+    found = cells.groupBy(*group).agg(F.least(F.lit(RANGES), F.ceil(F.count("*") / RANGE_CELLS)).cast("int").alias("ranges"), sketch.alias("all"))
+    some = F.when(F.col("ranges") > 1, F.transform(F.sequence(F.lit(1), F.col("ranges") - 1), lambda k: F.get("all", F.floor(k * RANGES / F.col("ranges")).cast("int") - 1)))
+    splitters = found.select(*group, F.coalesce(some, F.array().cast("array<double>")).alias("splitters"))
+    strides = F.transform(F.sequence(F.lit(0), F.floor(F.size("splitters") / STRIDE).cast("int")), lambda k: F.get("splitters", k * STRIDE))
+    splitters = written(splitters.withColumn("strides", F.array_compact(strides)), "splitters")
+    joined = cells.join(splitters.hint("broadcast" if splitters.count() <= SPLITTERS else "merge"), group)
+    passed = lambda a: F.size(F.filter(a, lambda s: s < F.col("score")))
+    at = F.greatest(F.lit(0), passed("strides") - 1) * STRIDE
+    return joined.withColumn("range", at + passed(F.slice("splitters", at + 1, F.lit(STRIDE)))).drop("splitters", "strides")
+
+
+def score_cells(scores: DataFrame, group: list[str] = GROUP) -> DataFrame:
+    """(group, score, tp, fp, range): the cells of ``by_score``, written, with their ranges."""
+    return with_ranges(written(by_score(scores, group), "cells"), group)
 
 
 def running(ranges: DataFrame, group: list[str], columns: list[str], order: Column) -> DataFrame:
@@ -48,10 +72,15 @@ def running(ranges: DataFrame, group: list[str], columns: list[str], order: Colu
 
 
 def cells_auc(cells: DataFrame, group: list[str] = GROUP) -> DataFrame:
-    """(group, auc) from cells (group, score, tp, fp)."""
+    """(group, auc) from cells (group, score, tp, fp, range)."""
     below = Window.partitionBy(*group, "range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = cells.withColumn("range", score_range(F.col("score"))).withColumn("below", F.coalesce(F.sum("fp").over(below), F.lit(0.0)))
+    ranked = cells.withColumn("below", F.coalesce(F.sum("fp").over(below), F.lit(0.0)))
     ranges = ranked.groupBy(*group, "range").agg(F.sum(F.col("tp") * (F.col("below") + F.col("fp") / 2)).alias("inside"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+    return ranges_auc(ranges, group)
+
+
+def ranges_auc(ranges: DataFrame, group: list[str]) -> DataFrame:
+    """(group, auc) from the sums of ranges (group, range, inside, tp, fp), ``inside`` being the pairs in order within one."""
     pairs = F.sum("tp") * F.sum("fp")
     won = F.sum(F.col("inside") + F.col("tp") * F.col("fp_before"))
     return running(ranges, group, ["fp"], F.col("range")).groupBy(*group).agg(F.when(pairs > 0, won / pairs).alias("auc"))
@@ -59,12 +88,11 @@ def cells_auc(cells: DataFrame, group: list[str] = GROUP) -> DataFrame:
 
 def auc(scores: DataFrame, group: list[str] = GROUP) -> DataFrame:
     """Area under the ROC curve, ties counted half; null for groups of one label."""
-    return cells_auc(by_score(scores, group), group)
+    return cells_auc(score_cells(scores, group), group)
 
 
 def cells_roc(cells: DataFrame, group: list[str] = GROUP, drop_intermediate: bool = True) -> DataFrame:
-    """``roc_curve`` from cells (group, score, tp, fp)."""
-    cells = cells.withColumn("range", score_range(F.col("score")))
+    """``roc_curve`` from cells (group, score, tp, fp, range)."""
     key, falling = [*group, "range"], F.desc("range")
     whole, order = Window.partitionBy(*group), Window.partitionBy(*group).orderBy(falling)
     head = F.max_by(F.struct("tp", "fp"), "score").alias("head")
@@ -95,7 +123,7 @@ def roc_curve(scores: DataFrame, group: list[str] = GROUP, drop_intermediate: bo
 
     Points on a straight line between their neighbours are dropped, unless told otherwise. Rates of an absent label are null.
     """
-    return cells_roc(by_score(scores, group), group, drop_intermediate)
+    return cells_roc(score_cells(scores, group), group, drop_intermediate)
 
 
 def equal_error_rate(roc: DataFrame, group: list[str] = GROUP) -> DataFrame:
@@ -159,36 +187,76 @@ def class_summary(scores: DataFrame, group: list[str] = GROUP) -> DataFrame:
 
 def evaluate(scores: DataFrame, group: list[str] = GROUP) -> DataFrame:
     """One row a group: class summary, AUC, EER with its threshold and ECE; all from the same cells."""
-    cells = by_score(scores, group)
+    cells = score_cells(scores, group)
     parts = [cells_summary(cells, group), cells_auc(cells, group), equal_error_rate(cells_roc(cells, group), group), calibration_error(cells_bins(cells, group), group)]
     return reduce(lambda a, b: a.join(b.hint("merge"), group, "left"), parts)
 
 
 #: Draws that one md5 gives: eight hex digits each.
 DRAWS = 4
+#: Cells whose draws a task holds at a time.
+STEP = 2_048
 
 
-def poisson_draws(key: Column, block: Column) -> Column:
-    """Four Poisson(1) draws from md5(key|block): the same in any engine with md5. Digits are compared as text with the cumulative probabilities."""
-    digest = F.md5(F.concat_ws("|", key.cast("string"), block.cast("string")))
-    edges, total, term = [], 0.0, math.exp(-1)
-    for k in range(8):
-        total += term
-        edges.append(f"{math.ceil(total * 2**32):08x}")
-        term /= k + 1
-    draw = lambda i: reduce(lambda a, edge: a + (F.substring(digest, 8 * i + 1, 8) >= edge).cast("int"), edges, F.lit(0))
-    return F.array(*[draw(i) for i in range(DRAWS)])
+@cache
+def poisson_table(k: int) -> tuple[int, np.ndarray]:
+    """(lowest, cumulative probabilities from there on) of Poisson(k): what lies further than twelve deviations from k is left out."""
+    reach = 12 * math.sqrt(k) + 20
+    low, high = max(0, math.floor(k - reach)), math.ceil(k + reach)
+    n = np.arange(low, high + 1)
+    logs = low * math.log(k) - k - math.lgamma(low + 1) + np.concatenate(([0.0], np.cumsum(math.log(k) - np.log(n[1:]))))
+    total = np.cumsum(np.exp(logs))
+    return low, total / total[-1]
 
 
-def bootstrap_auc(scores: DataFrame, key: str = "key", group: list[str] = GROUP, resamples: int = PARAMS.resamples) -> DataFrame:
+def uniform_draws(score: np.ndarray, label: int, resamples: int) -> np.ndarray:
+    """Numbers in [0, 1), a row a cell and a column a replicate: from md5(number of the score|label|block), the same in any engine with md5."""
+    blocks = -(-resamples // DRAWS)
+    cells = np.floor(score * 2.0**52).astype(np.int64).tolist()
+    digests = b"".join(hashlib.md5(f"{c}|{label}|{b}".encode()).digest() for c in cells for b in range(blocks))
+    return np.frombuffer(digests, ">u4").reshape(len(cells), blocks * DRAWS)[:, :resamples] / 2.0**32
+
+
+def cell_draws(score: np.ndarray, label: int, count: np.ndarray, resamples: int) -> np.ndarray:
+    """Poisson(count) draws of each cell in each replicate, by inverse distribution."""
+    out = np.zeros((len(count), resamples))
+    some = np.flatnonzero(count)
+    uniform = uniform_draws(score[some], label, resamples)
+    for k in np.unique(count[some]):
+        low, cumulative = poisson_table(int(k))
+        rows = count[some] == k
+        out[some[rows]] = low + np.searchsorted(cumulative, uniform[rows], side="right")
+    return out
+
+
+def range_replicates(resamples: int, width: int):
+    def summed(key: tuple, cells: pa.Table) -> pa.Table:
+        """One range of one group: in each replicate its weight of positives, of negatives, and of pairs inside it that are in order."""
+        order = np.argsort(cells["score"].to_numpy())
+        score, tp, fp = (cells[c].to_numpy()[order] for c in ("score", "tp", "fp"))
+        won, positives, negatives = (np.zeros(resamples) for _ in range(3))
+        for k in range(0, len(score), STEP):
+            part = slice(k, k + STEP)
+            p, n = cell_draws(score[part], 1, tp[part], resamples), cell_draws(score[part], 0, fp[part], resamples)
+            below = negatives + np.cumsum(n, axis=0) - n
+            won += (p * (below + n / 2)).sum(0)
+            positives += p.sum(0)
+            negatives += n.sum(0)
+        own = {c: cells[c].slice(0, 1) for c in cells.column_names[:width]}
+        return pa.table({**own, **{c: pa.array([v.tolist()], pa.list_(pa.float64())) for c, v in (("inside", won), ("tp", positives), ("fp", negatives))}})
+
+    return summed
+
+
+def bootstrap_auc(scores: DataFrame, group: list[str] = GROUP, resamples: int = PARAMS.resamples) -> DataFrame:
     """(group, low, high, replicates): 2.5 and 97.5 percentiles of the AUC over Poisson resamples; replicates of one label are skipped.
 
-    Each replicate is a group of its own. Weights are summed by score before anything is ordered.
+    Rows of one score and label weigh the same in an AUC, and the sum of k draws of Poisson(1) is one of Poisson(k): each replicate draws once a cell and label, so that the
+    cost follows distinct scores, not rows. All replicates of a range of scores are drawn in one task; the totals of the ranges carry the sums on. Equal scores of different groups share their draws.
     """
-    kept = scores.where(F.col("score").isNotNull()).select(*group, key, "label", "score")
-    blocks = -(-resamples // DRAWS)
-    drawn = kept.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*group, "label", "score", "block", F.posexplode(poisson_draws(F.col(key), F.col("block"))).alias("i", "w"))
-    drawn = drawn.withColumn("replicate", F.col("block") * DRAWS + F.col("i") + 1).where((F.col("w") > 0) & (F.col("replicate") <= resamples))
-    cells = drawn.groupBy(*group, "replicate", "score").agg(F.sum(F.col("w") * F.col("label")).cast("double").alias("tp"), F.sum(F.col("w") * (1 - F.col("label"))).cast("double").alias("fp"))
-    each = cells_auc(cells, [*group, "replicate"]).where(F.col("auc").isNotNull())
+    cells = score_cells(scores, group)
+    kind = ", ".join([*(f"`{c}` {cells.schema[c].dataType.simpleString()}" for c in group), "range int", *(f"{c} array<double>" for c in ("inside", "tp", "fp"))])
+    drawn = cells.select(*group, "range", "score", "tp", "fp").groupBy(*group, "range").applyInArrow(range_replicates(resamples, len(group) + 1), kind)
+    flat = drawn.select(*group, "range", F.posexplode(F.arrays_zip("inside", "tp", "fp")).alias("replicate", "x")).select(*group, "range", "replicate", "x.*")
+    each = ranges_auc(flat, [*group, "replicate"]).where(F.col("auc").isNotNull())
     return each.groupBy(*group).agg(F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.975)).alias("high"), F.count("*").alias("replicates"))

@@ -333,12 +333,17 @@ def evaluate(spark, sf_dir):
     return found.withColumns({c: F.round(c, 9) for c in ("mean_positive", "mean_negative", "auc", "eer", "ece")})
 
 
-BOOT_SQL = """, d as (select *, b * 4 + i + 1 as r, ('0x' || substr(md5(key || '|' || b), 8 * i::int + 1, 8))::bigint / 4294967296.0::double as u from long, range(125) t(b), range(4) k(i)),
- w as (select *, (u >= 0.36787944117144233)::int + (u >= 0.7357588823428847)::int + (u >= 0.9196986029286058)::int + (u >= 0.9810118431238462)::int + (u >= 0.9963401531726563)::int + (u >= 0.9994058151824183)::int + (u >= 0.9999167588507119)::int + (u >= 0.9999897508033253)::int as k from d),
- c as (select dataset, detector, r, score, sum(k * label)::double as tp, sum(k * (1 - label))::double as fp from w where k > 0 group by 1, 2, 3, 4),
- b as (select *, coalesce(sum(fp) over (partition by dataset, detector, r order by score rows between unbounded preceding and 1 preceding), 0) as below from c),
- a as (select dataset, detector, r, case when sum(tp) * sum(fp) > 0 then sum(tp * (below + fp / 2)) / (sum(tp) * sum(fp)) end as auc from b group by 1, 2, 3),
- boot as (select dataset, detector, quantile_cont(auc, 0.025) as low, quantile_cont(auc, 0.975) as high, count(*) as replicates from a where auc is not null group by 1, 2)"""
+#: Poisson draws of cells: cumulative probabilities of each count that occurs, and of them those that a draw has passed.
+BOOT_SQL = """, bcells as (select dataset, detector, score, label, count(*) as bk from long group by 1, 2, 3, 4),
+ bcounts as (select distinct bk from bcells),
+ bpmf as (select bk, bn, exp(bn * ln(bk) - bk - lgamma(bn + 1)) as bp from (select bk, unnest(range(greatest(0, floor(bk - (12 * sqrt(bk) + 20)))::bigint, ceil(bk + 12 * sqrt(bk) + 20)::bigint + 1)) as bn from bcounts)),
+ bcdf as (select bk, min(bn) as blow, list(bc order by bn) as bcum from (select *, sum(bp) over (partition by bk order by bn) / sum(bp) over (partition by bk) as bc from bpmf) group by 1),
+ bdraw as (select *, b * 4 + i + 1 as r, ('0x' || substr(md5(floor(score * 4503599627370496.0::double)::bigint || '|' || label || '|' || b), 8 * i::int + 1, 8))::bigint / 4294967296.0::double as u from bcells, range(125) t(b), range(4) j(i)),
+ bw as (select dataset, detector, r, score, label, blow + len(list_filter(bcum, lambda x: x <= u)) as bweight from bdraw join bcdf using (bk)),
+ bsum as (select dataset, detector, r, score, coalesce(sum(bweight) filter (label = 1), 0)::double as btp, coalesce(sum(bweight) filter (label = 0), 0)::double as bfp from bw group by 1, 2, 3, 4),
+ bbelow as (select *, coalesce(sum(bfp) over (partition by dataset, detector, r order by score rows between unbounded preceding and 1 preceding), 0) as below from bsum),
+ bauc as (select dataset, detector, r, case when sum(btp) * sum(bfp) > 0 then sum(btp * (below + bfp / 2)) / (sum(btp) * sum(bfp)) end as auc from bbelow group by 1, 2, 3),
+ boot as (select dataset, detector, quantile_cont(auc, 0.025) as low, quantile_cont(auc, 0.975) as high, count(*) as replicates from bauc where auc is not null group by 1, 2)"""
 
 
 @query(f"with {LONG}{BOOT_SQL} select dataset, detector, round(low, 9) as low, round(high, 9) as high, replicates from boot")
