@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from ahocorasick import AHOCORASICK, Automaton
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from plumbline.functions.tables import SMALL
 from plumbline.params import FORBIDDEN_PHRASES, FORBIDDEN_WORDS, MANIFEST_SCHEMA
 
 
@@ -15,16 +18,75 @@ def first_marker(text: Column, markers: list[tuple[str, str]]) -> Column:
     return F.coalesce(*[F.when(F.contains(low, F.lit(m)), label) for m, label in markers])
 
 
-def marker_join(texts: DataFrame, markers: DataFrame, most: int = SMALL) -> DataFrame:
-    """``texts`` with ``label``: the first marker by ``pos`` of a user's marker table (pos, marker, label) that ``text`` holds; null for none.
+#: Markers that are looked for one after another, as an expression; more of them by an automaton.
+ONE_BY_ONE = 16
+#: Bytes of the markers of one automaton at most: a worker's trie takes up to about a hundred times as much.
+TRIE_BYTES = 2 << 20
+
+
+def automaton(markers: list[str]) -> tuple[Automaton, int]:
+    """The automaton of all markers, whose values are their least ranks, and the rank of the empty one (their number if there is none)."""
+    found, ranks = Automaton(), {}
+    for rank, m in enumerate(markers):
+        ranks.setdefault(m, rank)
+    empty = ranks.pop("", len(markers))
+    for m, rank in ranks.items():
+        found.add_word(m, rank)
+    found.make_automaton()
+    return found, empty
+
+
+def first_rank(text: str, machine: Automaton, empty: int) -> int:
+    """The least rank of a marker in the text, ``empty`` if there is no lesser one."""
+    least = empty
+    if machine.kind == AHOCORASICK:
+        for _, rank in machine.iter(text):
+            if rank < least:
+                least = rank
+                if not rank:
+                    break
+    return least
+
+
+def scan_markers(texts: DataFrame, rows: list[Row]) -> DataFrame:
+    """``texts`` with _rank and label of the first of ``rows`` that _low holds, where no marker is known yet."""
+    shared = texts.sparkSession.sparkContext.broadcast(([r["marker"] for r in rows], [r["label"] for r in rows]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        markers, labels = shared.value
+        machine, empty = automaton(markers)
+        for batch in batches:
+            low, known, label = (batch.column(c) for c in ("_low", "_known", "label"))
+            ranks = [None if k or t is None else first_rank(t, machine, empty) for t, k in zip(low.to_pylist(), known.to_pylist(), strict=True)]
+            hits = [r is not None and r < len(markers) for r in ranks]
+            told = {"_known": pa.array([k or h for k, h in zip(known.to_pylist(), hits, strict=True)], pa.bool_()), "label": pa.array([labels[r] if h else x for r, h, x in zip(ranks, hits, label.to_pylist(), strict=True)], pa.string())}
+            yield pa.RecordBatch.from_arrays([told.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
+
+    return texts.mapInArrow(scan, texts.schema)
+
+
+def marker_join(texts: DataFrame, markers: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
+    """``texts`` with ``label``: the first marker by ``pos`` of a user's marker table (pos, marker, label) that ``text`` holds in any case; null for none.
 
-    The table is a parameter of at most ``most`` rows: it becomes an expression on the text's own row, so that no text is shuffled.
+    Few markers are an expression on the text's own row. More of them are an Aho-Corasick automaton, broadcast, that reads each text once, however many markers there
+    are, in Arrow batches; no text is shuffled. A table of more than ``trie_bytes`` is scanned by one automaton after another, in the order of its markers. Null markers and texts match nothing; a marker is found as it is written, in the
+    lower-cased text.
     """
-    rows = markers.orderBy("pos", "marker").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"a marker table has more than {most} rows")
-    label = first_marker(F.col("text"), [(r["marker"], r["label"]) for r in rows]) if rows else F.lit(None).cast("string")
-    return texts.withColumn("label", label)
+    parts: list[list[Row]] = [[]]
+    size = 0
+    for r in markers.where(F.col("marker").isNotNull()).select("pos", "marker", "label").orderBy("pos", "marker", "label").toLocalIterator():
+        size += len(r["marker"].encode()) + len((r["label"] or "").encode())
+        if size > trie_bytes and parts[-1]:
+            parts.append([])
+            size = 0
+        parts[-1].append(r)
+    if len(parts) == 1 and len(parts[0]) <= ONE_BY_ONE:
+        label = first_marker(F.col("text"), [(r["marker"], r["label"]) for r in parts[0]]) if parts[0] else F.lit(None).cast("string")
+        return texts.withColumn("label", label)
+    found = texts.withColumns({"label": F.lit(None).cast("string"), "_low": F.lower("text"), "_known": F.lit(False)})
+    for rows in parts:
+        found = scan_markers(found, rows)
+    return found.drop("_low", "_known")
 
 
 def manifest(json: Column) -> Column:

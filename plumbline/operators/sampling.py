@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.numbering import numbered
 from plumbline.params import SUFFIXES
 
 
@@ -22,14 +23,10 @@ def dataset_registry(specs: DataFrame) -> DataFrame:
     return specs.select("dataset", "hub_id", "licence", "commercial", F.inline("sources"))
 
 
-def member_key(archive: Column, path: Column) -> Column:
-    return F.concat_ws("::", archive, path)
-
-
 def balanced_sample(samples: DataFrame, limit: int, seed: int, key: str = "key", group: tuple[str, ...] = ()) -> DataFrame:
-    """The first ``limit // 2`` of each label (and group) in an order drawn by md5 of seed and key."""
-    order = Window.partitionBy(*group, "label").orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key)
-    return samples.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit // 2).drop("_n")
+    """The first ``limit // 2`` of each label (and group) in an order drawn by md5 of seed and key; a label with most of the rows is numbered by ranges, like all."""
+    drawn = samples.withColumn("_drawn", F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))))
+    return numbered(drawn, [*group, "label"], ["_drawn", key]).where(F.col("_n") < limit // 2).drop("_drawn", "_n", "_all")
 
 
 def latest_by_key(rows: DataFrame, key: str, seq: str) -> DataFrame:
@@ -43,10 +40,9 @@ def resume(planned: DataFrame, cached: DataFrame, key: str = "key") -> tuple[Dat
 
 
 def systematic_cap(rows: DataFrame, group: str, order: str, cap: int) -> DataFrame:
-    """Every step-th row of each group, at most ``cap``: the step that spreads them over the group."""
-    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).withColumn("_all", F.count("*").over(Window.partitionBy(group)))
+    """Every step-th row of each group, at most ``cap``: the step that spreads them over the group. No task gets a group: rows are numbered by ranges."""
     step = F.greatest(F.lit(1), F.floor(F.col("_all") / cap))
-    return numbered.where((F.col("_n") % step == 0) & (F.floor(F.col("_n") / step) < cap)).drop("_n", "_all")
+    return numbered(rows, [group], [order]).where((F.col("_n") % step == 0) & (F.floor(F.col("_n") / step) < cap)).drop("_n", "_all")
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:

@@ -658,6 +658,17 @@ def marker_join(spark, sf_dir):
     return provenance.marker_join(fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), markers).select("id", "label")
 
 
+OWN_WORDS = "select doc_id as pos, lower(substr(text, 20, 8)) as marker, 'doc ' || doc_id as label from documents where doc_id % 7 = 0"
+
+
+@query(f"with m as ({OWN_WORDS}) select d.doc_id as id, arg_min(m.label, (m.pos, m.marker)) as label from documents d left join m on contains(lower(d.text), m.marker) group by 1")
+def marker_scan(spark, sf_dir):
+    """Eight letters of each seventh document are a marker: by the automaton."""
+    docs = fx.table(spark, sf_dir, "documents")
+    markers = docs.where("doc_id % 7 = 0").select(F.col("doc_id").alias("pos"), F.lower(F.substring("text", 20, 8)).alias("marker"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("label"))
+    return provenance.marker_join(docs.select(F.col("doc_id").alias("id"), "text"), markers).select("id", "label")
+
+
 #: Pages name each marker in turn, some none: (page_id % (markers + 1)) tells which.
 SOFTWARE = f"coalesce(' made with ' || upper({sql_list([m for m, _ in GENERATORS])}[(page_id % {len(GENERATORS) + 1} + 1)::int]), '')"
 
@@ -820,15 +831,19 @@ CELLS = """sums as (select user_id as grid_id, extract(day from ts)::int - 1 as
  cells as (select g.grid_id, yy::int as y, xx::int as x, coalesce(v, 0) as v from (select distinct grid_id from sums) g cross join range(31) a(yy) cross join range(24) b(xx) left join sums s on s.grid_id = g.grid_id and s.y = yy and s.x = xx)"""
 
 
+def grid_cells(spark, sf_dir):
+    return written(fx.cells(spark, sf_dir), "cells")
+
+
 @query(f"""with {CELLS}, l as (select grid_id, coalesce(lag(v) over h, lead(v) over h) + coalesce(lead(v) over h, lag(v) over h) + coalesce(lag(v) over k, lead(v) over k) + coalesce(lead(v) over k, lag(v) over k) - 4 * v as d from cells
   window h as (partition by grid_id, y order by x), k as (partition by grid_id, x order by y)) select grid_id, round(var_pop(d), 3) as blur from l group by 1""")
 def laplacian_variance(spark, sf_dir):
-    return grids.laplacian_variance(fx.cells(spark, sf_dir)).withColumn("blur", F.round("blur", 3))
+    return grids.laplacian_variance(grid_cells(spark, sf_dir)).withColumn("blur", F.round("blur", 3))
 
 
 @query(f"with {CELLS} select grid_id, round(avg(v), 6) as mean_level from cells group by 1")
 def mean_level(spark, sf_dir):
-    return grids.mean_level(fx.cells(spark, sf_dir)).withColumn("mean_level", F.round("mean_level", 6))
+    return grids.mean_level(grid_cells(spark, sf_dir)).withColumn("mean_level", F.round("mean_level", 6))
 
 
 @query(f"""with {CELLS}, n as (select c.grid_id, c.y, c.x, c.v, median(d.v) as m from cells c cross join range(-1, 2) a(dy) cross join range(-1, 2) b(dx)
@@ -836,7 +851,7 @@ def mean_level(spark, sf_dir):
   e as (select grid_id, y // 10 as ty, x // 8 as tx, var_pop(v - m) as e from n where y // 10 < 3 and x // 8 < 3 group by 1, 2, 3)
  select grid_id, round(case when avg(e) > 1e-6 then stddev_pop(e) / avg(e) else 0 end, 6) as noise_cv from e group by 1""")
 def tile_noise_cv(spark, sf_dir):
-    return grids.tile_noise_cv(fx.cells(spark, sf_dir), tiles=3).withColumn("noise_cv", F.round("noise_cv", 6))
+    return grids.tile_noise_cv(grid_cells(spark, sf_dir), tiles=3).withColumn("noise_cv", F.round("noise_cv", 6))
 
 
 @query(f"""with {CELLS}, r as (select grid_id, y - 1 as i, avg(d) as d from (select *, abs(v - lag(v) over (partition by grid_id, x order by y)) as d from cells) where d is not null group by 1, 2),
@@ -844,7 +859,7 @@ def tile_noise_cv(spark, sf_dir):
   s as (select grid_id, avg(d) filter (i % 8 = 7) / avg(d) filter (i % 8 <> 7) - 1 as k from r group by 1 having avg(d) filter (i % 8 <> 7) > 1e-6 union all select grid_id, avg(d) filter (i % 8 = 7) / avg(d) filter (i % 8 <> 7) - 1 from c group by 1 having avg(d) filter (i % 8 <> 7) > 1e-6)
  select grid_id, round(max(k), 6) as grid_strength from s group by 1""")
 def grid_step_contrast(spark, sf_dir):
-    return grids.grid_step_contrast(fx.cells(spark, sf_dir)).withColumn("grid_strength", F.round("grid_strength", 6))
+    return grids.grid_step_contrast(grid_cells(spark, sf_dir)).withColumn("grid_strength", F.round("grid_strength", 6))
 
 
 @query(f"""with {CELLS}, basis as (select u, w, by_, bx, (case when u = 0 then sqrt(0.125) else 0.5 end) * (case when w = 0 then sqrt(0.125) else 0.5 end) * cos((2 * by_ + 1) * u * pi() / 16) * cos((2 * bx + 1) * w * pi() / 16) as c
@@ -852,7 +867,7 @@ def grid_step_contrast(spark, sf_dir):
   k as (select grid_id, y // 8 * 3 + x // 8 as block, u, w, sum((v - 128) * c) as k from cells join basis on by_ = y % 8 and bx = x % 8 where y < 24 group by 1, 2, 3, 4)
  select grid_id, round(kurtosis_pop(k) filter (u > 0 and w > 0) + 3, 5) as kurtosis, round(sum(abs(k)) filter (u >= 4 and w >= 4) / sum(abs(k)), 6) as high_share from k group by 1""")
 def block_dct_stats(spark, sf_dir):
-    return grids.block_dct_stats(fx.cells(spark, sf_dir)).select("grid_id", F.round("kurtosis", 5).alias("kurtosis"), F.round("high_share", 6).alias("high_share"))
+    return grids.block_dct_stats(grid_cells(spark, sf_dir)).select("grid_id", F.round("kurtosis", 5).alias("kurtosis"), F.round("high_share", 6).alias("high_share"))
 
 
 PROFILE = f"""{CELLS}, at_ as (select grid_id, floor(sqrt((y - 15) ** 2 + (x - 12) ** 2) * 16 / 12)::int as bin, v from cells), m as (select grid_id, bin, avg(v) as m from at_ where bin < 16 group by 1, 2),
@@ -862,12 +877,12 @@ PROFILE = f"""{CELLS}, at_ as (select grid_id, floor(sqrt((y - 15) ** 2 + (x - 1
 
 @query(f"with {PROFILE} select grid_id, bin, round(v, 9) as v from profile")
 def radial_profile(spark, sf_dir):
-    return grids.radial_profile(fx.cells(spark, sf_dir), 16).withColumn("v", F.round("v", 9))
+    return grids.radial_profile(grid_cells(spark, sf_dir), 16).withColumn("v", F.round("v", 9))
 
 
 @query(f"""with {PROFILE}, d as (select grid_id, v - lag(v) over (partition by grid_id order by bin) as d from profile where bin >= 8) select grid_id, round(coalesce(avg(d) filter (d > 0) * 100, 0), 6) as irregularity from d group by 1""")
 def tail_irregularity(spark, sf_dir):
-    return grids.tail_irregularity(grids.radial_profile(fx.cells(spark, sf_dir), 16)).withColumn("irregularity", F.round("irregularity", 6))
+    return grids.tail_irregularity(grids.radial_profile(grid_cells(spark, sf_dir), 16)).withColumn("irregularity", F.round("irregularity", 6))
 
 
 @query(f"""with s as (select vec_id as id, unnest(embedding) as e, unnest({STANDARD_QUANT}) as t from embeddings), z as (select id, (100 * cast(1 + floor(abs(e::double) * 100) as double) - 50) / t as s from s), m as (select id, median(s) as s from z where s > 0 group by 1)
