@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.scalars import pack_bits
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -73,19 +75,26 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploads: id, mime, size, consent; from documents."""
+    return uploads_of(table(spark, sf_dir, "documents"))
+
+
+def uploads_of(documents: DataFrame) -> DataFrame:
     kinds = F.array(*[F.lit(k) for k in ("image/jpeg", "image/png", "image/webp", "text/plain", "image/bmp")])
     size = F.when(F.col("doc_id") % 23 == 0, 0).otherwise(F.col("n_chars"))
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 13 != 0, F.get(kinds, (F.col("doc_id") % 5).cast("int"))).alias("mime"),
         size.cast("long").alias("size"), (F.col("doc_id") % 9 != 0).alias("consent"),
     )
 
 
+def fingerprints_of(embeddings: DataFrame) -> DataFrame:
+    """(id, h): a 64-bit fingerprint of each embedding."""
+    return embeddings.select(F.col("vec_id").alias("id"), pack_bits(F.transform("embedding", lambda x: x.cast("double"))).alias("h"))
+
+
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64-bit fingerprints of the embeddings, and near copies of each fifth with up to two bits flipped."""
-    from plumbline.functions.scalars import pack_bits
-
-    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), pack_bits(F.transform("embedding", lambda x: x.cast("double"))).alias("h"))
+    own = fingerprints_of(table(spark, sf_dir, "embeddings"))
     flip = lambda k: F.expr(f"shiftleft(1L, cast(id * {k} % 64 as int))")
     near = own.where("id % 5 = 0").select((F.col("id") + 1_000_000).alias("id"), F.col("h").bitwiseXOR(flip(1)).bitwiseXOR(flip(7)).alias("h"))
     return own.unionByName(near)

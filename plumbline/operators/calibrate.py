@@ -39,9 +39,10 @@ def derive_weights(aucs: DataFrame, group: list[str] | None = None) -> DataFrame
     return aucs.select(*(group or []), "detector", F.round("auc", 4).alias("auc"), F.round(weight, 4).alias("weight"), why.alias("rationale"))
 
 
-def ordered_weights(weights: DataFrame) -> DataFrame:
-    """Weights as reports list them: by AUC, highest first, equal ones by name."""
-    return weights.orderBy(F.desc_nulls_last("auc"), "detector")
+def ordered_weights(weights: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Weights with ``rank``, their place in reports: by AUC, highest first, equal ones by name; in that order. A group has a row a detector."""
+    order = Window.partitionBy(*(group or [])).orderBy(F.desc_nulls_last("auc"), "detector")
+    return weights.withColumn("rank", F.row_number().over(order)).orderBy(*(group or []), "rank")
 
 
 def calibrated(scores: DataFrame, temperatures: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.tables import written
-from plumbline.operators.calibrate import before_after, calibrated, derive_weights, fit_temperature, ordered_weights, split_guard
+from plumbline.operators.calibrate import before_after, calibrated, derive_weights, fit_temperature, split_guard
 from plumbline.operators.metrics import auc, bootstrap_auc, drop_unscored, evaluate, measurable, roc_curve, tpr_at_fpr
 from plumbline.params import PARAMS, Params
 from plumbline.sources import reports
@@ -56,7 +56,7 @@ def report_rows(frames: dict[str, DataFrame]) -> DataFrame:
         cut.select(F.lit("thresholds").alias("section"), "dataset", "detector", "metric", "value", "note"),
         tidy(frames["intervals"], "intervals", ["low", "high", "replicates"]),
         tidy(frames["temperatures"], "temperature", ["temperature", "nll"], dataset=None),
-        tidy(ordered_weights(frames["weights"]), "weights", ["auc", "weight"], dataset=None, note="rationale"),
+        tidy(frames["weights"], "weights", ["auc", "weight"], dataset=None, note="rationale"),
         tidy(frames["gap"], "gap", ["auc_gap", "eer_gap"], dataset=None),
     ]
     if "robustness" in frames:

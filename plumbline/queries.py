@@ -5,16 +5,22 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from plumbline import fixtures as fx
 from plumbline.functions import scalars as sc
+from plumbline.functions import scorers
 from plumbline.functions.tables import scratch_path, written
 from plumbline.operators import calibrate, fingerprint, fusion, grids, jobs, metrics, provenance, rollup, sampling
 from plumbline.params import FORBIDDEN_PHRASES, FORBIDDEN_WORDS, GENERATORS, NEXT_STEPS, STANDARD_QUANT, TEMPERATURES, TEXTS
 from plumbline.plans import protocol, retention, scoring
-from plumbline.sources import reports, scores
+from plumbline.sources import commits, reports, scores
+from plumbline.sources import jobs as job_source
+from plumbline.sources.commits import Batches
+from plumbline.streaming import jobs as streams
 from plumbline.streaming.jobs import final_status
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -249,8 +255,11 @@ def score_items_long(spark, sf_dir):
     return scored.select("item_id", F.round("score", 9).alias("score"), "override", F.array_join("notes", "; ").alias("notes"))
 
 
-@query(f"""with {ITEMS} select item_id, case when marker is not null and frequency < 0.88 then 'generator_metadata' when marker is null and manifest_valid and frequency > 0.35 then 'c2pa_valid' end as override,
-  case when marker is not null and frequency < 0.88 then 0.88::double when marker is null and manifest_valid and frequency > 0.35 then 0.35::double else frequency end as score from items""")
+OVERRIDE_SQL = f"""with {ITEMS} select item_id, case when marker is not null and frequency < 0.88 then 'generator_metadata' when marker is null and manifest_valid and frequency > 0.35 then 'c2pa_valid' end as override,
+  case when marker is not null and frequency < 0.88 then 0.88::double when marker is null and manifest_valid and frequency > 0.35 then 0.35::double else frequency end as score from items"""
+
+
+@query(OVERRIDE_SQL)
 def override_rules(spark, sf_dir):
     return fusion.override(fx.items(spark, sf_dir).withColumn("score", F.col("frequency"))).select("item_id", "override", "score")
 
@@ -376,9 +385,9 @@ LIFT_SQL = """, l as (select dataset, detector, auc, greatest(0, auc - 0.5) as l
    when lift = 0 then 'left out: measured AUC ' || round(auc::decimal(28, 10), 3)::varchar || ', chance is 0.5' else 'its share of all lift over chance; measured AUC ' || round(auc::decimal(28, 10), 3)::varchar end as rationale from l)"""
 
 
-@query(f"with {LONG}{AUC_SQL}{LIFT_SQL} select dataset, detector, auc, weight, rationale from weights order by auc desc, detector")
+@query(f"with {LONG}{AUC_SQL}{LIFT_SQL} select dataset, detector, auc, weight, rationale, cast(row_number() over (partition by dataset order by auc desc, detector) as int) as rank from weights")
 def derive_weights(spark, sf_dir):
-    return calibrate.ordered_weights(calibrate.derive_weights(metrics.auc(long_signals(spark, sf_dir)), ["dataset"]))
+    return calibrate.ordered_weights(calibrate.derive_weights(metrics.auc(long_signals(spark, sf_dir)), ["dataset"]), ["dataset"])
 
 
 @query(f"""with {LONG}{LOSS}, moved as (select l.key, l.dataset, l.detector, l.label, 1 / (1 + exp(-(ln(greatest(0.000001, least(0.999999, l.score)) / (1 - greatest(0.000001, least(0.999999, l.score)))) / f.temperature))) as score
@@ -456,10 +465,9 @@ def cross_dataset_protocol(spark, sf_dir):
     return reports.read_nested(reports.nested(protocol_report(spark, sf_dir))).withColumn("value", F.round("value", 7))
 
 
-@query(f"{PROTOCOL_SQL} select case when dataset is null then section else section || ' ' || dataset end as section, coalesce(detector, '') as detector, metric, value is not null as measured, coalesce(note, '') as note from rows_")
+@query(f"{PROTOCOL_SQL} select case when dataset is null then section else section || ' ' || dataset end as section, coalesce(detector, '') as detector, metric, coalesce(printf('%.4f', value), '\u2014') as value, coalesce(note, '') as note from rows_")
 def report_table(spark, sf_dir):
-    table = reports.report_table(protocol_report(spark, sf_dir))
-    return table.select("section", "detector", "metric", (F.col("value") != "\u2014").alias("measured"), "note")
+    return reports.report_table(protocol_report(spark, sf_dir))
 
 
 @query(f"""with {LONG}{EVAL_SQL} select i.detector, round(i.auc, 9) as auc_in, round(c.auc, 9) as auc_cross, round(i.auc - c.auc, 9) as auc_gap, round(i.eer, 9) as eer_in, round(c.eer, 9) as eer_cross, round(i.eer - c.eer, 9) as eer_gap
@@ -724,8 +732,11 @@ UPLOADS = """uploads as (select doc_id as id, case when doc_id % 13 <> 0 then ['
 TYPES = "('image/jpeg', 'image/png', 'image/webp', 'image/bmp')"
 
 
-@query(f"""with {UPLOADS} select id, case when not consent then 400 when coalesce(mime, '') not in {TYPES} then 415 when size = 0 then 400 when size > 4000 then 413 else 202 end as status,
-  case when not consent then 'no consent' when coalesce(mime, '') not in {TYPES} then 'unsupported type' when size = 0 then 'empty file' when size > 4000 then 'too large' end as reason from uploads""")
+ADMIT_SQL = f"""with {UPLOADS} select id, case when not consent then 400 when coalesce(mime, '') not in {TYPES} then 415 when size = 0 then 400 when size > 4000 then 413 else 202 end as status,
+  case when not consent then 'no consent' when coalesce(mime, '') not in {TYPES} then 'unsupported type' when size = 0 then 'empty file' when size > 4000 then 'too large' end as reason from uploads"""
+
+
+@query(ADMIT_SQL)
 def admit(spark, sf_dir):
     return jobs.admit(fx.uploads(spark, sf_dir), 4000).select("id", "status", "reason")
 
@@ -825,6 +836,95 @@ def bursts(spark, sf_dir):
     return sessions(e, "5 hours").select("item_id", F.col("w.start").alias("start"), "score", "n")
 
 
+# ---- streams and the job source
+
+
+def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its file."""
+    return spark.readStream.schema(fx.table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def finished(query: StreamingQuery) -> None:
+    query.awaitTermination()
+
+
+@query(ADMIT_SQL)
+def stream_admit(spark, sf_dir):
+    at = {k: scratch_path(spark, f"stream-{k}") for k in ("admitted", "rejected", "checkpoint")}
+    finished(streams.stream_admit(fx.uploads_of(arriving(spark, sf_dir, "documents")), 4000, at["admitted"], at["rejected"], at["checkpoint"]))
+    return spark.read.parquet(at["admitted"]).unionByName(spark.read.parquet(at["rejected"])).select("id", "status", "reason")
+
+
+@query(OVERRIDE_SQL)
+def stream_score(spark, sf_dir):
+    """Items that arrive are scored and committed; readers follow the manifests."""
+    batches = Batches(spark, scratch_path(spark, "stream-scored"))
+    score = lambda items: fusion.override(items.withColumn("score", F.col("frequency"))).select("item_id", "override", "score")
+    finished(streams.stream_commit(fx.items_of(arriving(spark, sf_dir, "orders")), score, batches, scratch_path(spark, "stream-checkpoint")))
+    return batches.read("item_id long, override string, score double")
+
+
+@query(f"with {HASHES} select distinct h from own")
+def repeat_uploads(spark, sf_dir):
+    """The fingerprints of uploads, of which repeats are dropped: each is told once."""
+    own = fx.fingerprints_of(arriving(spark, sf_dir, "embeddings")).select(F.col("h").alias("phash"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"))
+    out = scratch_path(spark, "stream-first")
+    finished(streams.repeat_uploads(own, "1 hour").writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "stream-checkpoint")).trigger(availableNow=True).start(out))
+    return spark.read.schema("phash long, ts timestamp").parquet(out).select(F.col("phash").alias("h"))
+
+
+@query(f"with {JOBS}, l as (select user_id as id, max(ttl) as ttl from jobs group by 1) select id, 'live' as state, ttl from l union all select id, 'expired', ttl from l where ttl <= (select max(created_at) from jobs)")
+def expiry_window(spark, sf_dir):
+    return streams.expiry_states(stamped(spark, sf_dir).select(F.col("user_id").alias("id"), "created_at", "ttl"))
+
+
+@query("select doc_id as key, length(text) as size from documents")
+def resume_batches(spark, sf_dir):
+    """Two runs over overlapping thirds and the rest: each key is committed once."""
+    docs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    batches = Batches(spark, scratch_path(spark, "resumed"))
+    for part in (docs.where("key % 3 < 2"), docs.where("key % 3 > 0"), docs):
+        commits.resume_batches(batches, part, lambda rows: rows.select("key", F.length("text").cast("long").alias("size")), "key long, size long")
+    return batches.read("key long, size long")
+
+
+def laid_jobs(spark, sf_dir):
+    path = scratch_path(spark, "jobs")
+    job_source.write_jobs(stamped(spark, sf_dir), path, "quarter", 4)
+    return job_source.read_jobs(spark, path)
+
+
+@query(f"with {JOBS} select id, user_id, storage_key from jobs where ttl <= {NOW} and storage_key is not null and media_deleted_at is null")
+def jobs_table_due(spark, sf_dir):
+    return job_source.due_jobs(laid_jobs(spark, sf_dir), F.expr(NOW), None, "quarter").select("id", "user_id", "storage_key")
+
+
+@query(f"with {JOBS}, r as (select id as request_id, id, user_id + (case when id % 4 = 0 then 1 else 0 end) as user_id from jobs where user_id % 50 = 1) select r.request_id, case when j.id is null then 404 else 200 end as code, j.status from r left join jobs j on r.id = j.id and r.user_id = j.user_id")
+def jobs_table_owned(spark, sf_dir):
+    asked = fx.jobs(spark, sf_dir).where("user_id % 50 = 1").select(F.col("id").alias("request_id"), "id", (F.col("user_id") + F.when(F.col("id") % 4 == 0, 1).otherwise(0)).alias("user_id"))
+    return job_source.owned_jobs(laid_jobs(spark, sf_dir), asked, 4).select("request_id", "code", "status")
+
+
+#: A fixed linear model: two weights for each place of an embedding.
+LINEAR = ((7, 3), (5, 2))
+
+
+@query("select vec_id, " + ", ".join(f"round(list_sum(list_transform(embedding, lambda x, i: x::double * (((i - 1) % {m} - {c}) / 10.0::double))), 6) as logit_{k}" for k, (m, c) in enumerate(LINEAR)) + " from embeddings")
+def batch_scorer(spark, sf_dir):
+    def load():
+        return lambda m: m.astype(float) @ np.array([[(i % n - c) / 10 for n, c in LINEAR] for i in range(m.shape[1])])
+
+    scored = scorers.batch_scorer(fx.table(spark, sf_dir, "embeddings"), load, "embedding", ["vec_id"])
+    return scored.select("vec_id", *[F.round(F.get("logits", F.lit(k)), 6).alias(f"logit_{k}") for k in range(len(LINEAR))])
+
+
+@query("select o_orderkey as id, v as variant, round(o_totalprice * (case v when 'q90' then 0.9 when 'q60' then 0.6 else 0.3 end)::double, 4) as x from orders, (values ('q90'), ('q60'), ('q30')) t(v)")
+def variant_generator(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("x"))
+    made = scorers.variants(rows, lambda batch, name: batch.assign(x=batch["x"] * (int(name[1:]) / 100)), ["q90", "q60", "q30"])
+    return made.withColumn("x", F.round("x", 4))
+
+
 # ---- grids
 
 CELLS = """sums as (select user_id as grid_id, extract(day from ts)::int - 1 as y, extract(hour from ts)::int as x, round(sum(value), 2) as v from events group by 1, 2, 3),
@@ -897,8 +997,8 @@ def temperature_scaled(spark, sf_dir):
     return long_signals(spark, sf_dir).select("key", "detector", F.round(sc.apply_temperature(F.col("score"), F.lit(2.5)), 9).alias("scaled"))
 
 
-@query("select label, string_agg(label || '', '') is null as never_null, count(*) as n from (select case when frequency >= 0.88 then 'Very strong indication' when frequency >= 0.7 then 'Strong indication' when frequency >= 0.45 then 'Mixed signals' when frequency >= 0.2 then 'Weak indication' else 'Low indication' end as label from (with " + ITEMS + " select * from items)) group by 1")
+@query("select label, count(*) as n from (select case when frequency >= 0.88 then 'Very strong indication' when frequency >= 0.7 then 'Strong indication' when frequency >= 0.45 then 'Mixed signals' when frequency >= 0.2 then 'Weak indication' else 'Low indication' end as label from (with " + ITEMS + " select * from items)) group by 1")
 def band_labels(spark, sf_dir):
     rows = sc.band_join(fx.items(spark, sf_dir).select("item_id", F.col("frequency").alias("score")), sc.band_table(spark))
-    return rows.groupBy("label").agg(F.lit(False).alias("never_null"), F.count("*").alias("n"))
+    return rows.groupBy("label").agg(F.count("*").alias("n"))
 
