@@ -9,9 +9,10 @@ from pyspark.sql import types as T
 from plumbline.operators.jobs import owned_rows, select_expired
 from plumbline.params import PARAMS
 
-JOBS = T._parse_datatype_string("id long, user_id long, status string, created_at timestamp, storage_key string, media_deleted_at timestamp, ttl timestamp")
+TIME = T.TimestampType()
+JOBS = T.StructType().add("id", "long").add("user_id", "long").add("status", "string").add("created_at", TIME).add("storage_key", "string").add("media_deleted_at", TIME).add("ttl", TIME)
 #: Folders: the start of the stretch in which a job expires, and the user's share.
-LAYOUT = T._parse_datatype_string("ttl_from date, user_share int")
+LAYOUT = T.StructType().add("ttl_from", "date").add("user_share", "integer")
 SHARES = 16
 
 
