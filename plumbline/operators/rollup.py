@@ -141,7 +141,8 @@ def pool_variants(logits: DataFrame, positive: int = 1) -> DataFrame:
     kinds = made.select("item_id", "variant", "p", F.posexplode("logits").alias("class", "z"))
     means = kinds.groupBy("item_id", "class").agg(F.avg("z").alias("z")).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("class", "z"))).alias("zs"))
     pooled = means.select("item_id", F.get(softmax(F.transform("zs", lambda s: s["z"])), F.lit(positive)).alias("score"))
-    return pooled.join(made.groupBy("item_id").agg(F.stddev_pop("p").alias("spread"), F.count("*").alias("n_variants")), "item_id")
+    spreads = made.groupBy("item_id").agg(F.stddev_pop("p").alias("spread"), F.count("*").alias("n_variants"))
+    return pooled.join(spreads.hint("merge"), "item_id")  # rows of an explosion have no true size
 
 
 def in_distribution(penalties: Column, rollup_penalties: Column, n_parts: Column) -> Column:

@@ -101,6 +101,7 @@ TEXTS = {
 NEXT_STEPS = {
     "no_part": "Try a copy in which the parts are larger and sharper.",
     "quiet": "These scores ask for nothing. If something else raises doubt, look for the source: it tells more than a score.",
+    "raised_one": "Look at the elevated part and then for the source: who published the item, when, and in which earlier form.",
     "raised": "Look at the elevated parts ({k}) and then for the source: who published the item, when, and in which earlier form.",
 }
 

@@ -103,7 +103,7 @@ def part_scores(spark, sf_dir):
 def penalty_rows(spark, sf_dir):
     rows = rollup.penalty_rows(scored_parts(spark, sf_dir), "item_id", "part_index")
     counts = rows.groupBy("item_id", "part_index").agg(F.count("*").alias("n"))
-    return counts.join(rollup.confidence_of_rows(rows, "item_id", "part_index"), ["item_id", "part_index"]).withColumn("confidence", F.round("confidence", 9))
+    return counts.join(rollup.confidence_of_rows(rows, "item_id", "part_index").hint("merge"), ["item_id", "part_index"]).withColumn("confidence", F.round("confidence", 9))
 
 
 @query(f"""with {ROLLED} select item_id, score, spread, n_parts, n_elevated, pattern, case when pattern = 'all_elevated' then 0.85
@@ -162,7 +162,7 @@ SCORE_TEXT = f"""array_to_string(list_filter([case when n_parts = 0 then 'no det
     case override when 'generator_metadata' then 'metadata names ' || marker || ': raised to 0.88; markers can be removed, so none proves nothing'
       when 'c2pa_valid' then 'valid credentials of an unnamed signer: lowered to 0.35; they attest the signing, not what came before' end], lambda x: x is not null), '; ') as notes,
   {KIND(0)} as headline, {KIND(1)} as detail,
-  case when n_parts = 0 then {FILLED(NEXT_STEPS["no_part"])} when n_elevated = 0 then {FILLED(NEXT_STEPS["quiet"])} else {FILLED(NEXT_STEPS["raised"])} end as next_steps"""
+  case when n_parts = 0 then {FILLED(NEXT_STEPS["no_part"])} when n_elevated = 0 then {FILLED(NEXT_STEPS["quiet"])} when n_elevated = 1 then {FILLED(NEXT_STEPS["raised_one"])} else {FILLED(NEXT_STEPS["raised"])} end as next_steps"""
 SCORE_ITEMS = f"""with {ROLLED}, {ITEMS}, j as (
   select i.*, r.score as s, r.spread as sp, coalesce(r.n_parts, 0) as n_parts, coalesce(r.n_elevated, 0) as n_elevated, coalesce(r.pattern, 'none_elevated') as pattern, r.top_h,
     (case when r.top_h < 64 then 0.6::double else 1 end) as g1, (case when i.blur < 60 then 0.7::double else 1 end) as g2, (case when i.luma < 40 or i.luma > 215 then 0.8::double else 1 end) as g3,

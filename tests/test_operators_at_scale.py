@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from plumbline.functions.numbering import numbered
 from plumbline.functions.tables import written
-from plumbline.operators import grids, metrics, provenance, sampling
+from plumbline.operators import grids, jobs, metrics, provenance, sampling
 from pyspark.sql import functions as F
 
 
@@ -129,6 +129,15 @@ def test_bootstrap_on_cells_is_that_on_rows(spark):
     assert got.replicates == 400 and abs(got.low - low) < 0.012 and abs(got.high - high) < 0.012
 
 
+def test_rules_counted_and_enforced(spark):
+    df = spark.createDataFrame([(1, 0.5, 3), (2, 1.5, 0), (3, None, 4), (4, 0.1, 0)], "id long, score double, w int")
+    checks = {"score": F.col("score") <= 1, "width": F.col("w") > 0, "id": F.col("id") > 0}
+    assert {r.rule: r.broken for r in jobs.violation_counts(df, checks).collect()} == {"score": 1, "width": 2, "id": 0}
+    assert jobs.strict(df.where("id % 2 = 1"), checks).count() == 2
+    with pytest.raises(Exception, match="rule broken: width"):
+        jobs.strict(df.where("id = 4"), checks).collect()
+
+
 def test_poisson_tables():
     for k in (1, 7, 300, 5_000_000):
         low, cumulative = metrics.poisson_table(k)
