@@ -252,7 +252,12 @@ def group_pairs(shared: DataFrame) -> DataFrame:
 
 def shingle_links(docs: DataFrame, share: tuple[int, int] = SHARE) -> tuple[DataFrame, DataFrame]:
     """(sets, edges): (id, n, rep) of each row, rep being the smallest id with an equal set; and the links (a, b) that
-    join the same classes as all links do."""
+    join the same classes as all links do. Both are written."""
+    with light_batches(docs.sparkSession, rows=1000):  # whole texts pass the workers
+        return links_of(docs, share)
+
+
+def links_of(docs: DataFrame, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     described = written(texts.mapInArrow(describe, "id long, n long, s1 long, s2 long"), "sets")
     # only classes of several rows are joined; written first, so that a class with a large share of all rows is split (AQE splits joins of plain shuffles)
