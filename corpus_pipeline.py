@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fresh, written
+from plumbline.llm.common import fresh, light_batches, written
 from plumbline.llm.decontamination import decontaminate
 from plumbline.llm.jaccard_join import jaccard_components
 from plumbline.llm.language_id import UNKNOWN, identify_languages
@@ -32,7 +32,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     own = fresh("_own", docs.columns)
     found = identify_languages(docs.select("doc_id", "text", "lang", F.struct(*others).alias(own)) if others else docs)
     kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*[F.col(own)[c].alias(c) if c in others else F.col(c) for c in docs.columns])
+    kept = kept.select(*[F.col(own)[c].alias(c) if c in others else F.col(c) for c in docs.columns])
+    with light_batches(spark, rows=1000):  # whole rows pass the workers: less memory of theirs and of the executors
+        return written(kept, "known-language")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
