@@ -2,7 +2,7 @@
 
 A text is its lower-cased words and one end token. A latent state emits a *class* of words (by a hash of a word's last three bytes;
 the end token has its own), and a class its words by their training counts: P(word | class) = (c + 1) / (N_class + V_class + 1). The
-states are first fitted to a bounded sample of ``INIT_DOCS`` training texts on the driver; then ``ROUNDS`` rounds of
+states are first fitted on the driver to a bounded sample: the ``INIT_DOCS`` distinct training texts of at most ``INIT_BYTES`` bytes with the least hashes; then ``ROUNDS`` rounds of
 Baum-Welch run over all training texts: each task adds up the expected counts of its texts, Spark sums them over the tasks.
 The likelihood of a text is exact: the scaled forward recursion over all its tokens. Texts are cut into blocks of
 ``BLOCK`` tokens whose transfer matrices are computed side by side and chained per text, so that a long text costs
@@ -29,6 +29,8 @@ from plumbline.llm.shingles import chunks, mix, word_hashes, word_tails
 STATES = 5
 CLASSES = 1024
 INIT_DOCS = 400
+#: Bytes of a text in the sample at most: 50 MiB in all.
+INIT_BYTES = 1 << 17
 INIT_ROUNDS = 12
 ROUNDS = 2
 BLOCK = 64
@@ -208,18 +210,20 @@ def expected_counts(model: Model):
 def trained(texts: DataFrame, shares: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
     """The model after local rounds on a bounded sample and ``rounds`` over all of ``texts(doc_id, text)``."""
     # hashes first, so that no task sends more than these to the driver
-    mark = F.xxhash64("doc_id", "text").alias("_mark")
-    few = least_hashes(F.xxhash64("doc_id", "text"), INIT_DOCS, texts.select("doc_id").count())
-    chosen = F.broadcast(texts.where(few).select(mark).distinct().orderBy("_mark").limit(INIT_DOCS))
-    sample = texts.select("text", mark).join(chosen, "_mark", "left_semi").orderBy("_mark", "text").select("text").limit(INIT_DOCS)
+    mark, short = F.xxhash64("doc_id", "text").alias("_mark"), F.octet_length("text") <= INIT_BYTES
+    rows = texts.agg(F.count("*").alias("all"), F.count_if(short).alias("short")).first()
     model = Model.fresh(shares, states)
-    column = pa.array([r["text"] for r in sample.collect()], pa.string())
-    if not len(column):
+    if not rows["all"]:
         return model
-    _, classes, bounds = word_classes(column)
-    blocks = Blocks(classes, bounds)
-    for _ in range(INIT_ROUNDS):
-        model = Model.from_counts(model.expected(blocks)[0], states)
+    few = short & least_hashes(F.xxhash64("doc_id", "text"), INIT_DOCS, rows["short"])
+    chosen = F.broadcast(texts.where(few).select(mark).distinct().orderBy("_mark").limit(INIT_DOCS))
+    sample = texts.where(few).select("text", mark).join(chosen, "_mark", "left_semi").dropDuplicates(["_mark"])
+    column = pa.array([r["text"] for r in sorted(sample.collect(), key=lambda r: r["_mark"])], pa.string())
+    if len(column):
+        _, classes, bounds = word_classes(column)
+        blocks = Blocks(classes, bounds)
+        for _ in range(INIT_ROUNDS):
+            model = Model.from_counts(model.expected(blocks)[0], states)
     size = states + states * states + states * CLASSES
     for _ in range(rounds):
         cells = texts.select("text").mapInArrow(expected_counts(model), "cell int, value double")

@@ -8,8 +8,8 @@ State starts anew at each segment: a worker labels each distinct one once and re
 their length; context across segments is the price.
 
 Trained in numpy on the driver by backpropagation through time with Adam, from a bounded sample: the ``max_langs`` most frequent languages, at most ``max_docs`` distinct rows of
-each, those with the smallest hash of id and text, at most ``doc_segments`` segments of each row, spread over its whole text, and at most ``max_segments`` of a language. A quarter of the
-rows is held back from training for the factor.
+each, those with the smallest hash of id and text, at most ``doc_segments`` segments of each row, spread over its whole text, and about ``max_segments`` of a language (the same share of
+each row's, one at least), which are cut before they reach the driver. A quarter of the rows is held back from training for the factor.
 
 Texts that are null or have no letter are ``und`` with score 0, as is everything where no labelled row exists. With one learned language all
 other texts get it with score 1. Ties go to the first language by name. Rows that repeat an id are labelled each on its own; rows without an id are never held out. Extra columns pass
@@ -33,7 +33,7 @@ from plumbline.llm.common import least_hashes, written
 SEGMENT_BYTES = 32
 HIDDEN = 16
 MAX_DOCS = 300
-MAX_SEGMENTS = 9_000
+MAX_SEGMENTS = 12_000
 MAX_LANGS = 200
 DOC_SEGMENTS = 200
 #: Factors on mean votes that are tried.
@@ -185,8 +185,8 @@ def sampler(most: int):
     return sample
 
 
-def sampled(docs: DataFrame, max_docs: int, max_langs: int, doc_segments: int) -> DataFrame:
-    """(lang, mark, segments): the training rows, bounded by the three numbers."""
+def sampled(docs: DataFrame, max_docs: int, max_langs: int, doc_segments: int, max_segments: int) -> DataFrame:
+    """(lang, mark, segments): the training rows, bounded by the four numbers; of a language that has more than ``max_segments`` each row keeps the same share."""
     learn = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("doc_id", "text").alias("mark"))
     langs = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     if not langs:
@@ -199,7 +199,11 @@ def sampled(docs: DataFrame, max_docs: int, max_langs: int, doc_segments: int) -
     first = marks.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))).where(F.col("n") <= max_docs).select("lang", "mark")
     first = F.broadcast(written(first, "language-sample"))  # at most max_langs times max_docs rows
     rows = learn.where(few).join(first, ["lang", "mark"], "left_semi").dropDuplicates(["lang", "mark"])
-    return rows.select("lang", "text", "mark").mapInArrow(sampler(doc_segments), "lang string, mark long, segments array<binary>")
+    found = written(rows.select("lang", "text", "mark").mapInArrow(sampler(doc_segments), "lang string, mark long, segments array<binary>"), "language-segments")
+    shares = found.groupBy("lang").agg(F.least(F.lit(1.0), max_segments / F.sum(F.size("segments"))).alias("share"))  # at most max_langs rows
+    # even steps: those segments at which the share of the segments so far reaches the next whole number, the first always
+    step = lambda i: F.ceil((i + 1) * F.col("share")) > F.ceil(i * F.col("share"))
+    return found.join(F.broadcast(shares), "lang").select("lang", "mark", F.filter("segments", lambda _, i: step(i)).alias("segments"))
 
 
 def sharpness(net: BiGru, rows: list[tuple[int, list[bytes]]]) -> float:
@@ -222,15 +226,14 @@ def sharpness(net: BiGru, rows: list[tuple[int, list[bytes]]]) -> float:
 
 def fitted(docs: DataFrame, max_docs: int = MAX_DOCS, max_segments: int = MAX_SEGMENTS, max_langs: int = MAX_LANGS, doc_segments: int = DOC_SEGMENTS) -> tuple[list[str], BiGru | None, float]:
     """The learned languages, the network and the factor on mean votes."""
-    rows = sorted((r["lang"], r["mark"], [bytes(w) for w in r["segments"]]) for r in sampled(docs, max_docs, max_langs, doc_segments).collect())
+    rows = sorted((r["lang"], r["mark"], [bytes(w) for w in r["segments"]]) for r in sampled(docs, max_docs, max_langs, doc_segments, max_segments).collect())
     kinds = sorted({lang for lang, _, _ in rows})
-    words, labels, kept_back, rng = [], [], [], np.random.default_rng(0)
+    words, labels, kept_back = [], [], []
     for k, kind in enumerate(kinds):
         own = [(mark, found) for lang, mark, found in rows if lang == kind]
         back = [found for mark, found in own if mark % 4 == 0 and found] if len(own) >= 8 else []
         kept_back += [(k, found) for found in back]
         mine = [w for mark, found in own if not (back and mark % 4 == 0) for w in found]
-        mine = [mine[i] for i in rng.permutation(len(mine))[:max_segments]]
         words += mine
         labels += [k] * len(mine)
     if len(kinds) < 2 or not words:

@@ -100,6 +100,27 @@ def test_empty_tables(spark):
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
 
 
+def test_states_are_fitted_to_distinct_texts_of_bounded_length(spark, monkeypatch):
+    texts = ["aing bing aing", "keux leux keux", "cing ding " * 50, "aing bing aing"]
+    df = spark.createDataFrame([(1, t) for t in texts * 3] + [(2, texts[1])], "doc_id long, text string")
+    seen = []
+
+    class Watched(hm.Blocks):
+        def __init__(self, classes, bounds):
+            seen.append(len(bounds) - 1)
+            super().__init__(classes, bounds)
+
+    shares = np.full(hm.CLASSES, 1 / hm.CLASSES)
+    monkeypatch.setattr(hm, "Blocks", Watched)
+    monkeypatch.setattr(hm, "INIT_BYTES", 100)
+    hm.trained(df, shares, 2, rounds=0)
+    assert seen == [3]  # (1, aing), (1, keux), (2, keux); repeated rows count once and the long text is left to the rounds over all
+    monkeypatch.setattr(hm, "INIT_BYTES", 3)
+    monkeypatch.setattr(hm, "Blocks", Watched.__bases__[0])
+    fresh, model = hm.Model.fresh(shares, 2), hm.trained(df, shares, 2, rounds=1)
+    assert any(not np.allclose(a, b) for a, b in zip(vars(fresh).values(), vars(model).values()) if isinstance(a, np.ndarray) and a.shape == b.shape)
+
+
 def test_classes():
     keys, classes, bounds = hm.word_classes(pa.array(["running xning", "", "RUNNING"]))
     assert bounds.tolist() == [0, 3, 4, 6] and classes[0] == classes[1] == classes[4]

@@ -75,8 +75,14 @@ def test_samples_are_bounded_and_scores_tell_junk(spark):
     rows = [(i, say(k, 30), k) for i in range(240) for k in [rng.choice("xy") * 2]]
     rows += [(7, "the same row " * 9, "xx")] * 60  # repeated rows count once
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = sampled(df, max_docs=10, max_langs=1, doc_segments=5).collect()
+    got = sampled(df, max_docs=10, max_langs=1, doc_segments=5, max_segments=1000).collect()
     assert len({r.lang for r in got}) == 1 and len(got) == 10 and all(len(r.segments) <= 5 for r in got)
+    # a language with more segments than its bound: every row keeps the same share at even steps, before anything is collected
+    whole = {r.mark: r.segments for r in sampled(df, max_docs=10, max_langs=1, doc_segments=30, max_segments=1000).collect()}
+    cut = {r.mark: r.segments for r in sampled(df, max_docs=10, max_langs=1, doc_segments=30, max_segments=60).collect()}
+    assert set(cut) == set(whole) and 60 <= sum(map(len, cut.values())) <= 70
+    share = 60 / sum(map(len, whole.values()))
+    assert all(abs(len(cut[m]) - share * len(whole[m])) <= 1 and cut[m][0] == whole[m][0] for m in whole)
     junk = spark.createDataFrame([(1, "qwp zzx vvk wqq xzv " * 30, None), (2, say("xx", 40), None), (3, say("yy", 3), None)], "doc_id long, text string, lang string")
     score = {r.doc_id: r.score for r in identify_languages(junk, fitted(df)).collect()}
     assert score[1] < min(score[2], score[3]) and min(score[2], score[3]) > 0.8
