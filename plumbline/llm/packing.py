@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import shuffle_partitions, written
+from plumbline.llm.common import light_batches, shuffle_partitions, written
 from plumbline.llm.shingles import chunks
 
 CAPACITY = 4096
@@ -303,7 +303,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, groups: int = GROUPS) -> DataFrame:
     """One row a piece of ``docs(doc_id, text, ...)``: PIECES with ``sequence_id`` and ``offset``."""
     spark = docs.sparkSession
-    pieces = written(token_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
+    with light_batches(spark, rows=1000):  # whole texts pass the workers
+        pieces = written(token_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for row in pieces.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[row["length"]] = row["count"]
