@@ -42,7 +42,7 @@ EPOCHS = 3
 BATCH = 256
 RATE = 0.01
 #: Votes kept by a Python worker; beyond it, the memory starts anew.
-VOTE_MEMORY = 600_000
+VOTE_MEMORY = 300_000
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 
