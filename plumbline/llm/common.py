@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.tables import drop, scratch_path, written
 
-__all__ = ["LOWER", "SPACE", "SPACE_RUN", "UPPER", "ascii_lower", "drop", "fresh", "least_hashes", "light_batches", "scratch_path", "shuffle_partitions", "words", "written"]
+__all__ = ["LOWER", "SPACE", "SPACE_RUN", "UPPER", "ascii_lower", "drop", "fresh", "handing_back", "least_hashes", "light_batches", "scratch_path", "shuffle_partitions", "words", "written"]
 
 #: ASCII letters and the six ASCII white-space characters of the word rule [^\x20\x09-\x0D]+.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -47,6 +49,24 @@ def light_batches(spark: SparkSession, rows: int = 500, size: int = 8 << 20) ->
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def handing_back(partition: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``partition``, after whose last batch the Python worker hands its free memory back to the system.
+
+    Later stages reuse the workers: what one stage has freed but the allocators keep would stand beside what the next one and the executor need.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from partition(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library alone
+            if trim:
+                trim(0)
+
+    return run
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """``name``, with as many underscores as no column shares it (in any case)."""
     taken = {c.lower() for c in columns}

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from plumbline.llm.common import least_hashes, written
+from plumbline.llm.common import handing_back, least_hashes, written
 
 SEGMENT_BYTES = 32
 HIDDEN = 16
@@ -199,7 +199,7 @@ def sampled(docs: DataFrame, max_docs: int, max_langs: int, doc_segments: int, m
     first = marks.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))).where(F.col("n") <= max_docs).select("lang", "mark")
     first = F.broadcast(written(first, "language-sample"))  # at most max_langs times max_docs rows
     rows = learn.where(few).join(first, ["lang", "mark"], "left_semi").dropDuplicates(["lang", "mark"])
-    found = written(rows.select("lang", "text", "mark").mapInArrow(sampler(doc_segments), "lang string, mark long, segments array<binary>"), "language-segments")
+    found = written(rows.select("lang", "text", "mark").mapInArrow(handing_back(sampler(doc_segments)), "lang string, mark long, segments array<binary>"), "language-segments")
     shares = found.groupBy("lang").agg(F.least(F.lit(1.0), max_segments / F.sum(F.size("segments"))).alias("share"))  # at most max_langs rows
     # even steps: those segments at which the share of the segments so far reaches the next whole number, the first always
     step = lambda i: F.ceil((i + 1) * F.col("share")) > F.ceil(i * F.col("share"))
@@ -300,4 +300,4 @@ def identify_languages(docs: DataFrame, model: tuple[list[str], BiGru | None, fl
                 names, scores = labeller.label(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*others, "lang_pred", "score"])
 
-    return docs.select(*others).mapInArrow(label, schema).withColumn("held_out", held_out(F.col("doc_id")))
+    return docs.select(*others).mapInArrow(handing_back(label), schema).withColumn("held_out", held_out(F.col("doc_id")))
