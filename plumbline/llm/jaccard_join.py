@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import drop, light_batches, written
+from plumbline.llm.common import drop, handing_back, light_batches, written
 from plumbline.llm.components import connected_components
 from plumbline.llm.shingles import chunks, mix, shingle_sets
 
@@ -226,7 +226,7 @@ def verified(texts: DataFrame, pairs: DataFrame, share: tuple[int, int]) -> Data
     one, other = known.select(F.col("id").alias("a"), F.col("text").alias("text_a")), known.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(other.hint("shuffle_hash"), "b").join(one.hint("merge"), "a").select("a", "b", "text_a", "text_b")
     with light_batches(texts.sparkSession):  # a row holds two texts
-        edges = written(joined.mapInArrow(compare(share), "a long, b long").distinct(), "links")
+        edges = written(joined.mapInArrow(handing_back(compare(share)), "a long, b long").distinct(), "links")
     drop(ids)
     return edges
 
@@ -238,7 +238,7 @@ def crowded(texts: DataFrame, share: tuple[int, int]) -> DataFrame:
     their count, which serves as well, as counts only order the hot signatures, alike for all sets. No row is left out. A signature told here has ``CROWD`` sets in the
     sample, so that the table has at most one row for each ``CROWD`` signatures of the sample; where these are too many to broadcast, they meet the signatures in a shuffle join.
     """
-    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).mapInArrow(sign(share), "key long, id long, band short, spare short")
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).mapInArrow(handing_back(sign(share)), "key long, id long, band short, spare short")
     found = some.groupBy("key").agg((F.count("*") * SAMPLED).alias("about")).where(F.col("about") >= CROWD * SAMPLED)
     return written(found, "crowded")
 
@@ -259,7 +259,7 @@ def shingle_links(docs: DataFrame, share: tuple[int, int] = SHARE) -> tuple[Data
 
 def links_of(docs: DataFrame, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    described = written(texts.mapInArrow(describe, "id long, n long, s1 long, s2 long"), "sets")
+    described = written(texts.mapInArrow(handing_back(describe), "id long, n long, s1 long, s2 long"), "sets")
     # only classes of several rows are joined; written first, so that a class with a large share of all rows is split (AQE splits joins of plain shuffles)
     classes = described.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     classes = written(classes, "equal-sets")
@@ -270,7 +270,7 @@ def links_of(docs: DataFrame, share: tuple[int, int]) -> tuple[DataFrame, DataFr
     copies = written(sets.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < id and high < id").select("id"), "copies")
     own = with_ids(texts, copies, "left_anti")
     hottest = crowded(own, share)
-    keys = own.mapInArrow(sign(share), "key long, id long, band short, spare short").join(hottest.hint("broadcast" if hottest.count() <= BROADCAST_IDS else "merge"), "key", "left")
+    keys = own.mapInArrow(handing_back(sign(share)), "key long, id long, band short, spare short").join(hottest.hint("broadcast" if hottest.count() <= BROADCAST_IDS else "merge"), "key", "left")
     salt = F.when(F.col("about").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0)
     counted = keys.withColumn("salt", salt).withColumn("cnt", F.coalesce("about", F.count("*").over(Window.partitionBy("key", "salt")))).drop("salt", "about")
     shared = written(counted.where("cnt > 1"), "signatures")
@@ -297,7 +297,7 @@ def links_of(docs: DataFrame, share: tuple[int, int]) -> tuple[DataFrame, DataFr
     drop(placed, torn)
     asked = written(open_.groupBy("id").agg(F.sort_array(F.collect_set("band")).alias("bands")), "asked")
     few = asked.count() <= BROADCAST_IDS
-    sketches = texts.join(asked.hint("broadcast" if few else "shuffle_hash"), "id").mapInArrow(sketch(share), "id long, band short, n int, sketch binary")
+    sketches = texts.join(asked.hint("broadcast" if few else "shuffle_hash"), "id").mapInArrow(handing_back(sketch(share)), "id long, band short, n int, sketch binary")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", "id", "band", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
