@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import light_batches, shuffle_partitions, written
+from plumbline.llm.common import handing_back, light_batches, shuffle_partitions, written
 from plumbline.llm.shingles import chunks
 
 CAPACITY = 4096
@@ -297,7 +297,7 @@ def placer(runs):
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document, cut only where it is longer than ``capacity``."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(piece_maker(tokenizer_path, capacity, end_id), PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(handing_back(piece_maker(tokenizer_path, capacity, end_id)), PIECES)
 
 
 def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, groups: int = GROUPS) -> DataFrame:
@@ -318,4 +318,4 @@ def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
     within = Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32")
     numbered = dealt.withColumn("n", F.row_number().over(within) - 1).join(sizes.hint("merge"), ["length", "shard"])
     numbered = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("n")).alias("number"))
-    return numbered.mapInArrow(placer(runs), PLACED)
+    return numbered.mapInArrow(handing_back(placer(runs)), PLACED)
