@@ -40,7 +40,7 @@ GROUPS = 128
 #: Lengths above capacity / SMALL_SHARE are large.
 SMALL_SHARE = 4
 #: Distinct words kept by a Python worker; beyond it, the memory starts anew.
-WORD_MEMORY = 400_000
+WORD_MEMORY = 800_000
 #: Bytes of text whose distinct words are looked up together.
 CHUNK_BYTES = 8 << 20
 #: ASCII marks that may close a word.
@@ -61,7 +61,8 @@ class WordIds:
     A tokenizer for which ``PROBES`` show that words don't stand by themselves gets whole texts instead.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = WORD_MEMORY):
+        self.memory = memory
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -117,7 +118,7 @@ class WordIds:
         distinct = coded.dictionary.to_pylist()
         known = self.known
         new = [w for w in distinct if w not in known]
-        if len(known) + len(new) > WORD_MEMORY:
+        if len(known) + len(new) > self.memory:
             known.clear()
             new = distinct
         self.learn(new)
@@ -132,11 +133,11 @@ class WordIds:
         return out
 
 
-def piece_maker(path: str, capacity: int, end_id: int):
+def piece_maker(path: str, capacity: int, end_id: int, word_memory: int = WORD_MEMORY):
     end = int(end_id).to_bytes(4, "little")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = WordIds(path, word_memory)
         for batch in batches:
             for part in chunks(batch, "text", CHUNK_BYTES):
                 ids, rows = part.column(0).to_pylist(), []
@@ -295,16 +296,16 @@ def placer(runs):
     return place
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, word_memory: int = WORD_MEMORY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document, cut only where it is longer than ``capacity``."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(handing_back(piece_maker(tokenizer_path, capacity, end_id)), PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(handing_back(piece_maker(tokenizer_path, capacity, end_id, word_memory)), PIECES)
 
 
-def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, groups: int = GROUPS) -> DataFrame:
+def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, groups: int = GROUPS, word_memory: int = WORD_MEMORY) -> DataFrame:
     """One row a piece of ``docs(doc_id, text, ...)``: PIECES with ``sequence_id`` and ``offset``."""
     spark = docs.sparkSession
     with light_batches(spark, rows=1000):  # whole texts pass the workers
-        pieces = written(token_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
+        pieces = written(token_pieces(docs, tokenizer_path, capacity, end_id, word_memory), "pieces")
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for row in pieces.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[row["length"]] = row["count"]
