@@ -23,6 +23,8 @@ from plumbline.llm.queries import table, tokenizer_path
 #: A language is rejected below this probability of its mean vote: no learned language stands out. With four languages chance is 0.25. Clean documents lie
 #: well above, as do those in two languages; letters without any learned language come down to chance.
 LEAST_SCORE = 0.3
+#: Words that a Python worker remembers while it packs: fewer than the operator's own, as the executors are full from earlier stages.
+WORD_MEMORY = 200_000
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +77,7 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packing of all kept documents into token sequences."""
-    return best_fit_pack(docs, tokenizer_path())
+    return best_fit_pack(docs, tokenizer_path(), word_memory=WORD_MEMORY)
 
 
 STAGES = [
