@@ -23,3 +23,10 @@ def test_stream_admit_reads_all_part_files(spark, folders):
     found = rows("stream_admit", spark, folders)
     assert len(found) == spark.read.parquet(f"{folders}/documents.parquet").count()
     assert found == rows("stream_admit", spark, SF)
+
+
+@pytest.mark.parametrize("query", ["repeat_uploads", "stream_score"])
+def test_streams_of_folders_equal_those_of_one_file(spark, folders, query):
+    found = rows(query, spark, folders)
+    assert found
+    assert found == rows(query, spark, SF)
