@@ -1,6 +1,9 @@
 """Queries tell all that they told before, and their steps stay bounded on larger tables."""
 
+from plumbline.functions.tables import written
+from plumbline.operators import grids
 from plumbline.queries import ORACLE, QUERIES
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -9,3 +12,14 @@ def test_band_labels_tells_of_missing_labels(spark):
     found = QUERIES["band_labels"](spark, SF)
     assert set(found.columns) == {"label", "never_null", "n"} and "as never_null" in ORACLE["band_labels"]
     assert {r.never_null for r in found.collect()} == {False}
+
+
+def test_tiles_are_dealt_by_cells_not_by_bytes(spark, monkeypatch):
+    """Dense cells compress well: tasks sized by the shuffle's bytes held ever more of them."""
+    cells = written(spark.range(60).select(F.col("id").alias("grid_id"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("at")).select("grid_id", F.floor(F.col("at") / 10).cast("int").alias("y"), (F.col("at") % 10).alias("x"), F.lit(0.5).alias("v")), "cells")
+    mean = lambda t: {"n": [t.own.size], "total": [t.own.sum()]}
+    for few in (100, 10):  # sizes of grids are broadcast, or meet their cells by hash
+        monkeypatch.setattr(grids, "FEW", few)
+        found = grids.by_tile(cells, mean, "n long, total double", task_cells=500)
+        assert found.rdd.getNumPartitions() == 12
+        assert sorted((r.grid_id, r.n, r.total) for r in found.collect()) == [(k, 100, 50.0) for k in range(60)]
