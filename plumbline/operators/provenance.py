@@ -9,6 +9,7 @@ from ahocorasick import AHOCORASICK, Automaton
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from plumbline.functions.tables import drop, written
 from plumbline.params import FORBIDDEN_PHRASES, FORBIDDEN_WORDS, MANIFEST_SCHEMA
 
 
@@ -69,12 +70,15 @@ def marker_join(texts: DataFrame, markers: DataFrame, trie_bytes: int = TRIE_BYT
     """``texts`` with ``label``: the first marker by ``pos`` of a user's marker table (pos, marker, label) that ``text`` holds in any case; null for none.
 
     Few markers are an expression on the text's own row. More of them are an Aho-Corasick automaton, broadcast, that reads each text once, however many markers there
-    are, in Arrow batches; no text is shuffled. A table of more than ``trie_bytes`` is scanned by one automaton after another, in the order of its markers. Null markers and texts match nothing; a marker is found as it is written, in the
+    are, in Arrow batches; no text is shuffled. A table of more than ``trie_bytes`` is scanned by one automaton after another, in the order of its markers: each writes what it
+    found before the next begins, so that a worker holds one of them, whatever their number. Null markers and texts match nothing; a marker is found as it is written, in the
     lower-cased text.
     """
     parts: list[list[Row]] = [[]]
     size = 0
-    for r in markers.where(F.col("marker").isNotNull()).select("pos", "marker", "label").orderBy("pos", "marker", "label").toLocalIterator():
+    # of equal markers only the first is ever told
+    firsts = markers.where(F.col("marker").isNotNull()).groupBy("marker").agg(F.min(F.struct("pos", "label")).alias("first"))
+    for r in firsts.select("first.pos", "marker", "first.label").orderBy("pos", "marker", "label").toLocalIterator():
         size += len(r["marker"].encode()) + len((r["label"] or "").encode())
         if size > trie_bytes and parts[-1]:
             parts.append([])
@@ -83,10 +87,15 @@ def marker_join(texts: DataFrame, markers: DataFrame, trie_bytes: int = TRIE_BYT
     if len(parts) == 1 and len(parts[0]) <= ONE_BY_ONE:
         label = first_marker(F.col("text"), [(r["marker"], r["label"]) for r in parts[0]]) if parts[0] else F.lit(None).cast("string")
         return texts.withColumn("label", label)
-    found = texts.withColumns({"label": F.lit(None).cast("string"), "_low": F.lower("text"), "_known": F.lit(False)})
-    for rows in parts:
-        found = scan_markers(found, rows)
-    return found.drop("_low", "_known")
+    found, last = texts.withColumns({"label": F.lit(None).cast("string"), "_known": F.lit(False)}), None
+    for k, rows in enumerate(parts):
+        found = scan_markers(found.withColumn("_low", F.lower("text")), rows).drop("_low")
+        if k < len(parts) - 1:
+            found = written(found, "marked")
+            if last is not None:
+                drop(last)
+            last = found
+    return found.drop("_known")
 
 
 def manifest(json: Column) -> Column:

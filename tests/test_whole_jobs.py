@@ -1,7 +1,7 @@
 """Queries tell all that they told before, and their steps stay bounded on larger tables."""
 
 from plumbline.functions.tables import written
-from plumbline.operators import grids
+from plumbline.operators import grids, provenance
 from plumbline.queries import ORACLE, QUERIES
 from pyspark.sql import functions as F
 
@@ -23,3 +23,13 @@ def test_tiles_are_dealt_by_cells_not_by_bytes(spark, monkeypatch):
         found = grids.by_tile(cells, mean, "n long, total double", task_cells=500)
         assert found.rdd.getNumPartitions() == 12
         assert sorted((r.grid_id, r.n, r.total) for r in found.collect()) == [(k, 100, 50.0) for k in range(60)]
+
+
+def test_one_automaton_of_markers_at_a_time(spark):
+    """However many parts a marker table has, a task holds one of them; equal markers are one, told by the first."""
+    texts = spark.range(200).select("id", F.concat(F.lit("see Word"), F.col("id").cast("string"), F.lit(".")).alias("text"))
+    markers = spark.range(400).select((F.col("id") % 200).cast("int").alias("pos"), F.concat(F.lit("word"), (F.col("id") % 200).cast("string"), F.lit(".")).alias("marker"), F.when(F.col("id") < 200, "b").otherwise("a").alias("label"))
+    found = provenance.marker_join(texts, markers, trie_bytes=300)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert found.columns == ["id", "text", "label"] and {tuple(r) for r in found.select("label").collect()} == {("a",)}
+    assert found.count() == 200
