@@ -23,7 +23,8 @@ def cross_dataset(samples: DataFrame, detectors: list[str], calibration: str, re
     robustness of ``sweep(key, variant, label, <detectors>)`` and coverage of ``registry(dataset, ...)``. Scored rows are written once and serve all of them.
     """
     split_guard(calibration, reporting)
-    long = written(measurable(drop_unscored(samples, detectors, ["key", "dataset", "label"])), "scored")
+    # scores are written before they are read twice: they may cost much, and the rows are narrow
+    long = written(measurable(written(drop_unscored(samples, detectors, ["key", "dataset", "label"]), "scores")), "scored")
     fit, report = long.where(F.col("dataset") == calibration), long.where(F.col("dataset") == reporting)
     temperatures = written(fit_temperature(fit).drop("dataset"), "temperatures")
     within, raw = written(evaluate(fit), "in-dataset"), written(evaluate(report), "raw")
@@ -33,7 +34,7 @@ def cross_dataset(samples: DataFrame, detectors: list[str], calibration: str, re
         "intervals": bootstrap_auc(report, resamples=p.resamples), "gap": reports.generalisation_gap(within, raw),
     }
     if sweep is not None:
-        frames["robustness"] = auc(measurable(drop_unscored(sweep, detectors, ["key", "variant", "label"]), ["variant", "detector"]), ["variant", "detector"])
+        frames["robustness"] = auc(measurable(written(drop_unscored(sweep, detectors, ["key", "variant", "label"]), "sweep"), ["variant", "detector"]), ["variant", "detector"])
     if registry is not None:
         frames["coverage"] = reports.coverage(samples, registry.where(F.col("dataset").isin(calibration, reporting)))
     return frames

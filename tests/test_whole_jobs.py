@@ -2,6 +2,7 @@
 
 from plumbline.functions.tables import written
 from plumbline.operators import grids, provenance
+from plumbline.plans.protocol import cross_dataset
 from plumbline.queries import ORACLE, QUERIES
 from pyspark.sql import functions as F
 
@@ -33,3 +34,19 @@ def test_one_automaton_of_markers_at_a_time(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert found.columns == ["id", "text", "label"] and {tuple(r) for r in found.select("label").collect()} == {("a",)}
     assert found.count() == 200
+
+
+def test_protocol_scores_a_sweep_once(spark):
+    """Scores may cost much: the rows that the measurable groups are chosen from and those that are kept are the same table."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    base = spark.range(120).select(F.col("id").cast("string").alias("key"), F.when(F.col("id") < 60, "a").otherwise("b").alias("dataset"), (F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 7 / 7.0).alias("spatial"))
+    rows = base.select("key", F.lit("90").alias("variant"), "label", "spatial")
+    frames = cross_dataset(base, ["spatial"], "a", "b", sweep=rows.mapInArrow(counted, rows.schema))
+    assert [r.variant for r in frames["robustness"].collect()] == ["90"]
+    assert seen.value == 120
