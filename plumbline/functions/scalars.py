@@ -103,10 +103,10 @@ def from_hex64(text: Column) -> Column:
 
 
 def pack_bits(values: Column) -> Column:
-    """64 values as bits, most significant first: above the median of all but the first."""
+    """Up to 64 values as bits, most significant first: above the median of all but the first, which a missing value is not. Null for more."""
     median = F.get(F.array_sort(F.slice(values, 2, 63)), F.lit(31))
     # the median enters as an array, so that it is found once and not for each bit
-    bits = F.zip_with(values, F.array_repeat(median, 64), lambda v, m: (v > m).cast("long"))
+    bits = F.zip_with(values, F.array_repeat(median, F.when(F.size(values) <= 64, F.size(values))), lambda v, m: F.coalesce(v > m, F.lit(False)).cast("long"))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, bit: F.shiftleft(a, 1).bitwiseOR(bit))
 
 
