@@ -86,3 +86,33 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, item, "a", "b"), (2, "clean text of no item at all", "c", "d")], "doc_id long, text string, _doc string, _TEXT_HASH string")
     kept = decontaminate(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert [tuple(r) for r in kept.collect()] == [(2, "clean text of no item at all", "c", "d")]
+
+
+def test_passage_of_many_items_in_a_long_text(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    long_text = " ".join([f"w{i % 977}" for i in range(40_000)] + [passage] + [f"v{i % 977}" for i in range(20)])
+    docs, bench = frames(spark, [(1, long_text)], [(i, f"own{i} {passage} end{i}") for i in range(1000)])
+    found = contaminated(docs.coalesce(1), bench).collect()
+    assert sorted(r.item_id for r in found) == list(range(1000))
+    assert all((r.agreed, r.compared) == (WINDOW, WINDOW) for r in found)
+
+
+def test_blocks_of_a_large_benchmark_are_joined_one_at_a_time(spark):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(20)]
+    docs, bench = frames(spark, [(i, f"a {t} b") for i, t in items], items)
+    found = contaminated(docs, bench, max_seeds=200)
+    assert found._jdf.queryExecution().analyzed().toString().count("strategy=broadcast") <= 1
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, i) for i, _ in items}
+
+
+def test_stretches_and_equal_items(spark, monkeypatch):
+    say = lambda k, n: " ".join(f"{k}{i % 31}" for i in range(n))
+    items = [(1, say("a", 50)), (2, say("A", 50)), (2, say("b", 14)), (3, say("c", 9)), (None, say("b", 14)), (4, "x y"), (5, "X  Y"), (1, say("a", 50))]
+    texts = [(1, say("q", 30) + " " + say("a", 40)), (2, say("b", 90)), (3, "z " + say("c", 9)), (4, "x y x y"), (5, say("a", 33) + " " + say("b", 20)), (6, "x")]
+    docs, bench = frames(spark, texts, items)
+    rows = lambda **options: sorted(map(str, contaminated(docs, bench, **options).collect()))
+    whole = rows()
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()}
+    assert got == {(i, k) for i, t in texts for k, b in items if plain(t, b)}
+    monkeypatch.setattr("plumbline.llm.decontamination.STRETCH", 7)
+    assert rows() == rows(max_seeds=60) == whole
