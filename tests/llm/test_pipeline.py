@@ -111,3 +111,11 @@ def test_letters_of_no_language_go(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.known_language(spark, df, "").collect()}
     assert {i for i, t, _ in rows if i < 500} <= kept and not kept & {500, 501, 502}
+
+
+def test_a_passage_of_many_items_in_a_long_text(spark, tmp_path):
+    passage = " ".join(f"p{i}" for i in range(20))
+    long_text = " ".join(f"w{i % 977}" for i in range(40_000))
+    spark.createDataFrame([(i, f"own{i} {passage} end{i}") for i in range(1000)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, f"{long_text} {passage} end"), (2, long_text)], "doc_id long, text string").coalesce(1)
+    assert [r.doc_id for r in corpus_pipeline.without_benchmarks(spark, docs, str(tmp_path)).collect()] == [2]
